@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from papyrine.llm import ngram_join
+from papyrine.llm import mixing, ngram_join, packing
 from papyrine.tables import table
 
 
@@ -20,7 +21,7 @@ WITH RECURSIVE words AS (
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
   FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (
@@ -37,13 +38,60 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x, min(y) AS comp
 """
 
 
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, source_size, 3 * source_size AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM sources),
+levels AS (
+  SELECT *, row_number() OVER r AS level,
+    sum(source_size) OVER () - coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER () - coalesce(sum(w) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shares
+  FROM weighed WINDOW r AS (ORDER BY cap / w, source NULLS LAST)),
+cut AS (SELECT level AS l, rest AS t, shares AS s FROM levels WHERE rest * w <= cap * shares ORDER BY level LIMIT 1),
+targets AS (
+  SELECT source, source_size, CASE WHEN level < l THEN cap::DOUBLE ELSE (w * t)::DOUBLE / s::DOUBLE END AS target FROM levels, cut),
+queued AS (
+  SELECT d.*, t.source_size, t.target,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+passed AS (
+  SELECT doc_id, size, source, key, pass, (pass * source_size + upto)::DOUBLE / target AS finish
+  FROM queued, (SELECT unnest([0, 1, 2]) AS pass) WHERE size > 0),
+sent AS (
+  SELECT doc_id, size, sum(size) OVER (ORDER BY finish, source NULLS FIRST, key, doc_id, size, pass ROWS UNBOUNDED PRECEDING) AS upto FROM passed),
+taken AS (SELECT doc_id, sum(size) AS taken FROM sent WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::BIGINT AS taken FROM queued q LEFT JOIN taken t USING (doc_id)
+"""
+
+
+#: The tokenizers file of op9 and the pipeline; executors read it at this path.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op6_mixing_sources": op6_mixing_sources,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1_SQL,
+        "op6_mixing_sources": OP6_SQL,
     }

@@ -83,11 +83,26 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
 
 
+def slices(column: pa.Array, most: int = 4 << 20):
+    """(first row, number of rows) of consecutive parts of a string array, of about most bytes each."""
+    offsets = utf8(column)[1]
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        yield a, b - a
+        a = b
+
+
 def shingle_sets(column: pa.Array, width: int = 5):
     """For each document the sorted distinct hashes of its word shingles.
 
     With fewer words than width the whole sequence is one shingle; without words the set is empty.
     """
+    for part in slices(column):
+        yield from _shingle_sets(column.slice(*part), width)
+
+
+def _shingle_sets(column: pa.Array, width: int):
     data, offsets = utf8(column)
     starts, ends, first = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
