@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import mixing, ngram_join, packing
+from papyrine.llm import mixing, ngram_join, packing, quality_rules
 from papyrine.tables import table
 
 
@@ -38,6 +38,69 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x, min(y) AS comp
 """
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # The texts aren't needed again, so only what the rules look at is written.
+    rows = quality_rules.quality_rules(docs, keep=["doc_id"])
+    names = {"_q_n_words": "n_words", "_q_chars": "word_chars", "_q_symbols": "n_symbols", "_q_dup_lines": "n_dup_lines", "_q_repeats": "n_repeat_words", "_q_base": "base_failed", "_q_kept": "kept"}
+    return rows.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
+
+
+OP3_SQL = r"""
+WITH split AS (
+  SELECT doc_id, coalesce('.' || lang, '') AS lang, coalesce('.' || source, '') AS source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM split) WHERE regexp_matches(l, '[^ 	-]') GROUP BY doc_id),
+grams AS (SELECT doc_id, i, [w[i], w[i+1], w[i+2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split WHERE len(w) >= 3)),
+found AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM found) GROUP BY doc_id),
+counts AS (
+  SELECT s.doc_id, s.lang, s.source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(l.n_lines, 0)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM split s LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+based AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
+    1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * word_chars // greatest(n_words, 1) AS word_length
+  FROM counts),
+flat AS (
+  SELECT lang, source, ratio, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END AS b
+  FROM (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS ratio,
+    unnest([symbols, dup_lines, repeats, word_length]) AS v FROM based WHERE NOT base_failed)),
+sketches AS (SELECT lang, source, ratio, b, count(*) AS n FROM flat GROUP BY ALL),
+levels AS (
+  SELECT lang, source, ratio, b, n, 2 AS level FROM sketches
+  UNION ALL SELECT lang, NULL, ratio, b, sum(n), 1 FROM sketches GROUP BY lang, ratio, b
+  UNION ALL SELECT NULL, NULL, ratio, b, sum(n), 0 FROM sketches GROUP BY ratio, b),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS seen FROM levels),
+quartiles AS (
+  SELECT level, lang, source, ratio, min(b) FILTER (4 * upto >= seen) AS q1, min(b) FILTER (4 * upto >= 3 * seen) AS q3, max(seen) AS seen
+  FROM ranked GROUP BY level, lang, source, ratio),
+chosen AS (
+  SELECT g.lang, g.source, g.ratio,
+    CASE WHEN g.seen >= 50 THEN g.q1 WHEN l.seen >= 50 THEN l.q1 ELSE a.q1 END AS q1,
+    CASE WHEN g.seen >= 50 THEN g.q3 WHEN l.seen >= 50 THEN l.q3 ELSE a.q3 END AS q3
+  FROM quartiles g JOIN quartiles l ON l.level = 1 AND l.lang = g.lang AND l.ratio = g.ratio
+    JOIN quartiles a ON a.level = 0 AND a.ratio = g.ratio WHERE g.level = 2),
+fences AS (
+  SELECT lang, source,
+    max(q3 + 3 * (q3 - q1) + 30) FILTER (ratio = 'symbols') AS symbols_high,
+    max(q3 + 3 * (q3 - q1) + 400) FILTER (ratio = 'dup_lines') AS dup_high,
+    max(q3 + 3 * (q3 - q1) + 100) FILTER (ratio = 'repeats') AS repeats_high,
+    max(q3 + 3 * (q3 - q1) + 1500) FILTER (ratio = 'word_length') AS length_high,
+    max(q1 - 3 * (q3 - q1) - 1500) FILTER (ratio = 'word_length') AS length_low
+  FROM chosen GROUP BY lang, source)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(NOT base_failed AND symbols <= symbols_high AND dup_lines <= dup_high AND repeats <= repeats_high
+    AND word_length BETWEEN length_low AND length_high, false) AS kept
+FROM based b LEFT JOIN fences f USING (lang, source)
+"""
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -45,7 +108,8 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
     md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -85,6 +149,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op3_quality_rules": op3_quality_rules,
         "op6_mixing_sources": op6_mixing_sources,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
@@ -93,5 +158,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1_SQL,
+        "op3_quality_rules": OP3_SQL,
         "op6_mixing_sources": OP6_SQL,
     }
