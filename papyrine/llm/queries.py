@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import mixing, ngram_join, packing, quality_rules
+from papyrine.llm import mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
 from papyrine.tables import table
 
 
@@ -49,10 +49,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH split AS (
   SELECT doc_id, coalesce('.' || lang, '') AS lang, coalesce('.' || source, '') AS source, coalesce(text, '') AS t,
-    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+    regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 lines AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM split) WHERE regexp_matches(l, '[^ 	-]') GROUP BY doc_id),
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM split) WHERE regexp_matches(l, '[^ 	-
+]') GROUP BY doc_id),
 grams AS (SELECT doc_id, i, [w[i], w[i+1], w[i+2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split WHERE len(w) >= 3)),
 found AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM found) GROUP BY doc_id),
@@ -101,6 +103,10 @@ FROM based b LEFT JOIN fences f USING (lang, source)
 """
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -136,6 +142,10 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::BIGINT A
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The tokenizers file of op9 and the pipeline; executors read it at this path.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -150,7 +160,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op3_quality_rules": op3_quality_rules,
+        "op4_quality_classifier": op4_quality_classifier,
         "op6_mixing_sources": op6_mixing_sources,
+        "op7_toxicity": op7_toxicity,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
