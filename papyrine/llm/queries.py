@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm import mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from papyrine.llm import chat, html_text, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, topk, toxicity
 from papyrine.tables import table
 
 
@@ -38,6 +38,22 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x, min(y) AS comp
 """
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 10
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     # The texts aren't needed again, so only what the rules look at is written.
@@ -107,6 +123,33 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_NOTICES = ", ".join(f"({i}, '{x}', '{n}')" for i, (x, n) in enumerate(license_scan.TEMPLATES))
+_GRAMS = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))"
+_SPLIT_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP5_SQL = f"""
+WITH notices(template, license, notice) AS (VALUES {_NOTICES}),
+known AS (
+  SELECT template, license, list_distinct({_GRAMS}) AS grams FROM (SELECT template, license, {_SPLIT_WORDS.format("notice")} AS w FROM notices)),
+sized AS (SELECT *, len(grams) AS t, (len(grams) + 3) // 4 AS step FROM known),
+texts AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT_WORDS.format("text")} AS w FROM documents),
+placed AS (
+  SELECT r, doc_id, unnest(range(0, len(w) - 4)) AS p, unnest({_GRAMS}) AS g FROM texts WHERE len(w) >= 5),
+wanted AS (SELECT license, template, t, step, unnest(grams) AS g FROM sized),
+hits AS (
+  SELECT DISTINCT r, doc_id, license, template, t, g,
+    unnest(range(CASE WHEN p < t + step THEN 0 ELSE (p - (t + step - 1) + step - 1) // step END, p // step + 1)) AS win
+  FROM placed JOIN wanted USING (g)),
+held AS (
+  SELECT r, doc_id, license, template, t, win, count(*) AS common FROM hits GROUP BY ALL HAVING 100 * count(*) >= 80 * t),
+once AS (SELECT r, doc_id, license, t, win, max(common) AS common FROM held GROUP BY ALL)
+SELECT doc_id, license, count(*) AS n_windows, max(common)::BIGINT AS n_common FROM once GROUP BY doc_id, license
+"""
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -146,6 +189,39 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: A conversation whose texts hold what other templates use as control strings.
+ODD_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = spark.createDataFrame(ODD_CONVERSATION, "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    back = chat.read_back(chat.chat_examples(turns))
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    trained = F.array_join("replies", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+numbered AS (
+  SELECT *, row_number() OVER w AS i, length(role || text) + len(regexp_extract_all(role || text, '[\\<]')) + 20 AS chars,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+summed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM numbered)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (role = 'assistant' OR i = n)::BIGINT AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+
+
 #: The tokenizers file of op9 and the pipeline; executors read it at this path.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -156,20 +232,31 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_exact_top_k": op2_exact_top_k,
         "op3_quality_rules": op3_quality_rules,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_license_scan": op5_license_scan,
         "op6_mixing_sources": op6_mixing_sources,
         "op7_toxicity": op7_toxicity,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1_SQL,
+        "op2_exact_top_k": OP2_SQL,
         "op3_quality_rules": OP3_SQL,
+        "op5_license_scan": OP5_SQL,
         "op6_mixing_sources": OP6_SQL,
+        "op8_chat_formatting": OP8_SQL,
     }
