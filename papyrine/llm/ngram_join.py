@@ -8,8 +8,8 @@ sets collect at least V - H(r, s) units of agreement over the segments, where a
 m and the number of segments with v = 2 are chosen per band by cost; V exceeds the least possible sum by some slack.
 Signatures of empty subsets, and those shared by more than HOT sets, get v = 0: they are counted as possible
 agreement (z) instead of being joined. Pairs that only skipped signatures could connect have z above the slack; such
-sets are joined on the skipped signatures after all, first each with the most central set of its signature and then,
-where several components remain, with those of other components.
+sets are first each compared with the most central set of their signatures. Those that then still share a skipped
+signature with another component are joined on their rarest shingles (prefix filtering), which loses no pair either.
 
 All candidate pairs are verified on the whole sets. Sets are compared as 64-bit hashes of shingles.
 """
@@ -289,13 +289,11 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     # Sets whose skipped allocation exceeds their slack could have links that only hot signatures show.
     slack = plans - 1 - _differing(2 * F.col("n"), num, den)
     heavy = hot.join(skipped, ["cls", "band"]).filter(F.col("z") + F.col("zhot") > slack).select("sig", "cls", "n").distinct()
-    heavy = heavy.join(classes.select("cls", "rep"), "cls").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "cls", "n", F.coalesce("component", "rep").alias("label"))
+    heavy = heavy.join(classes.select("cls", "rep"), "cls").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "cls", "rep", "n", F.coalesce("component", "rep").alias("label"))
     mixed = heavy.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
-    heavy = materialize(heavy.join(mixed, "sig", "left_semi"), "ngram-heavy")
+    heavy = materialize(heavy.join(mixed, "sig", "left_semi").select("cls", "rep", "n", "label").distinct(), "ngram-heavy")
     if not heavy.isEmpty():
-        other = heavy.select("sig", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "label")))
-        more = heavy.join(other, "sig").filter((F.col("label") < F.col("label2")) & (num * F.greatest("n", "n2") <= den * F.least("n", "n2"))).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
-        more = _verify(text, classes, more.distinct(), width, num, den)
+        more = _verify(text, classes, _rarest_pairs(text, heavy, width, num, den), width, num, den)
         labels = materialize(connected_components(verified.union(more)), "ngram-labels2")
 
     found_labels = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "cls2", F.coalesce("component", "rep").alias("component"))
@@ -303,6 +301,31 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _sets(text: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """rep, h: the sets of the documents whose ids are in reps.doc_id."""
+    return text.join(reps, "doc_id", "left_semi").mapInArrow(lambda b: _set_batches(b, width), "rep long, h array<long>").dropDuplicates(["rep"])
+
+
+def _rarest_pairs(text: DataFrame, heavy: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs a < b of different labels that share one of their rarest shingles, as all similar pairs do.
+
+    With all sets in one order, sets that need o common elements share one among the first |r| - o + 1 of r and the
+    first |s| - o + 1 of s. The order is by frequency in these sets, so what many share comes last.
+    """
+    sets = _sets(text, heavy.select(F.col("rep").alias("doc_id")), width).join(heavy, "rep")
+    tokens = materialize(sets.select("cls", "n", "label", F.explode("h").alias("token")), "ngram-tokens")
+    order = Window.partitionBy("cls").orderBy("df", "token")
+    ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("at", F.row_number().over(order) - 1)
+    ranked = ranked.filter((F.col("at") <= F.col("n") - F.ceil(num * F.col("n") / den)) & (F.col("df") > 1)).select("token", "cls", "n", "label", "at")
+    ranked = materialize(ranked, "ngram-rarest")
+    mixed = ranked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+    ranked = ranked.join(mixed, "token", "left_semi")
+    other = ranked.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "label", "at")))
+    common = F.ceil(num * (F.col("n") + F.col("n2")) / (num + den))
+    near = (F.col("label") < F.col("label2")) & (F.col("at") <= F.col("n") - common) & (F.col("at2") <= F.col("n2") - common)
+    return ranked.join(other, "token").filter(near).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+
+
 def _differing(total, num: int, den: int):
     return F.floor((den - num) * total.cast("long") / (den + num))
 
@@ -320,8 +343,7 @@ def _verify(text: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, n
     named = pairs.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("src")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
     named = materialize(named, "ngram-candidates")
     used = named.select(F.col("src").alias("doc_id")).union(named.select(F.col("dst").alias("doc_id"))).distinct()
-    sets = text.join(used, "doc_id", "left_semi").mapInArrow(lambda b: _set_batches(b, width), "rep long, h array<long>").dropDuplicates(["rep"])
-    sets = materialize(sets, "ngram-sets")
+    sets = materialize(_sets(text, used, width), "ngram-sets")
     both = named.join(sets.select(F.col("rep").alias("src"), F.col("h").alias("hs")), "src").join(sets.select(F.col("rep").alias("dst"), F.col("h").alias("hd")), "dst")
     common = F.size(F.array_intersect("hs", "hd"))
     return both.select("src", "dst", common.alias("common"), (F.size("hs") + F.size("hd")).alias("total")).filter(den * F.col("common") >= num * (F.col("total") - F.col("common"))).select("src", "dst")
