@@ -6,7 +6,7 @@ hashes is cut into m segments, and segment i is given an allocation v_i: 1 (its
 subset may differ by one element, found through one-deletion neighbours). If the allocations sum to V, similar
 sets collect at least V - H(r, s) units of agreement over the segments, where a segment gives max(0, v_i - difference).
 m and the number of segments with v = 2 are chosen per band by cost; V exceeds the least possible sum by some slack.
-Signatures of empty subsets, and those shared by more than HOT sets, get v = 0: they are counted as possible
+Signatures of empty subsets (as far as the slack allows), and those shared by more than HOT sets, get v = 0: they are counted as possible
 agreement (z) instead of being joined. Pairs that only skipped signatures could connect have z above the slack; such
 sets are first each compared with the most central set of their signatures. Those that then still share a skipped
 signature with another component are joined on their rarest shingles (prefix filtering), which loses no pair either.
@@ -81,6 +81,11 @@ class Bands:
             self._grow(self._plans[-1][1] + 1 if self._plans else 1)
         return self._plans[band]
 
+    def slack(self, size: int, band: int) -> int:
+        """Units that may be skipped of a set without losing a pair: those beyond what any partner in the band needs."""
+        _, high, m, doubled = self.plan(band)
+        return m + doubled - 1 - self.differing(size + min(high, size * self.den // self.num))
+
     def joined_by(self, size: int) -> range:
         """Bands in which sets of this size meet sets as large or larger."""
         home = self.of(size)
@@ -106,6 +111,10 @@ def _class_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b)], ["doc_id", "n", "cls", "cls2"])
 
 
+def _band_salt(band: int) -> np.ndarray:
+    return np.array([band], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _signatures(h: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, int]:
     """Signatures, their kinds, and the allocation of the empty segments."""
     _, _, m, doubled = bands.plan(band)
@@ -114,10 +123,9 @@ def _signatures(h: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.
     own = segment[at]
     mixed = mix(h)
     total, count = np.add.reduceat(mixed, at), np.diff(at, append=len(h))
-    salt = mix(own + np.array([band], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    salt = mix(own + _band_salt(band))
     kinds = np.where(own < doubled, _NEAR, _EXACT)
     sigs = [mix((total + count.astype(np.uint64)) ^ salt)]
-    empty = m - len(own) + doubled - int((own < doubled).sum())
     near = int(np.searchsorted(own, np.uint64(doubled)))
     if near:
         stop = at[near] if near < len(at) else len(h)
@@ -126,8 +134,16 @@ def _signatures(h: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.
         some = left > 0
         sigs.append(mix(((total[part] - mixed[:stop] + left.astype(np.uint64)) ^ salt[part])[some]))
         kinds = np.concatenate((kinds, np.full(int(some.sum()), _DELETED)))
-        # A subset of one element has an empty neighbour, which is skipped: it may agree in one unit.
-        empty += int((~some).sum())
+    # Empty subsets, and the empty neighbours of subsets of one element, are skipped if the slack allows it.
+    empty = m - len(own) + doubled - near + (int((~some).sum()) if near else 0)
+    if empty > bands.slack(len(h), band):
+        absent = np.setdiff1d(np.arange(m, dtype=np.uint64), own)
+        sigs.append(mix(mix(absent + _band_salt(band))))
+        kinds = np.concatenate((kinds, np.where(absent < doubled, _NEAR, _EXACT)))
+        if near:
+            sigs.append(mix(salt[part][~some]))
+            kinds = np.concatenate((kinds, np.full(int((~some).sum()), _DELETED)))
+        empty = 0
     return np.concatenate(sigs), kinds, empty
 
 
@@ -273,22 +289,25 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     of_a, of_b = (skipped.select(F.col("cls").alias(x), "band", F.col("zhot").alias(f"h{x}")) for x in "ab")
     pairs = found.filter("hot = 0").groupBy("a", "b", "band").agg(F.sum("units").alias("units"), *(F.first(c).alias(c) for c in ("na", "nb", "za", "zb")))
     pairs = pairs.join(of_a, ["a", "band"], "left").join(of_b, ["b", "band"], "left").fillna(0, ["ha", "hb"])
-    plans = _plan_column(spark, bands, found)
+    plans, tops = _band_columns(bands, found)
     needed = plans - _differing(F.col("na") + F.col("nb"), num, den)
     pairs = pairs.filter(F.col("units") + F.least(F.col("za") + F.col("ha"), F.col("zb") + F.col("hb")) >= needed).select("a", "b")
 
-    # Each set of a hot group with the group's most central set: the one in most hot groups.
-    central = hot.join(skipped, ["cls", "band"])
-    pivots = central.groupBy("sig").agg(F.max_by(F.struct("cls", "n"), F.struct("zhot", "cls")).alias("p"))
-    star = hot.filter(F.col("units") >= 1).select("sig", "cls", "n").join(pivots, "sig").filter((F.col("cls") != F.col("p.cls")) & (num * F.greatest("n", "p.n") <= den * F.least("n", "p.n")))
+    # Sets whose skipped allocation exceeds their slack could have links that only hot signatures show. Each is compared
+    # with the most central one of its signatures, the one in most hot groups, if they share enough of these.
+    slack = plans - 1 - _differing(F.col("n") + F.least(tops, F.floor(F.col("n") * den / num)), num, den)
+    heavy = materialize(hot.join(skipped, ["cls", "band"]).filter(F.col("z") + F.col("zhot") > slack).select("sig", "cls", "n", "band", "units", "zhot"), "ngram-hot")
+    pivots = heavy.groupBy("sig").agg(F.max_by(F.struct("cls", "n"), F.struct("zhot", "cls")).alias("p"))
+    star = heavy.join(pivots, "sig").filter((F.col("cls") != F.col("p.cls")) & (num * F.greatest("n", "p.n") <= den * F.least("n", "p.n")))
+    star = star.groupBy("cls", "p", "n", "band").agg(F.sum("units").alias("units"))
+    star = star.filter(2 * F.col("units") >= plans - _differing(F.col("n") + F.col("p.n"), num, den))
     star = star.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"))
 
     verified = materialize(_verify(text, classes, pairs.union(star).distinct(), width, num, den), "ngram-links")
     labels = materialize(connected_components(verified), "ngram-labels")
 
-    # Sets whose skipped allocation exceeds their slack could have links that only hot signatures show.
-    slack = plans - 1 - _differing(2 * F.col("n"), num, den)
-    heavy = hot.join(skipped, ["cls", "band"]).filter(F.col("z") + F.col("zhot") > slack).select("sig", "cls", "n").distinct()
+    # Those that share a skipped signature with another component are joined on their rarest shingles.
+    heavy = heavy.select("sig", "cls", "n").distinct()
     heavy = heavy.join(classes.select("cls", "rep"), "cls").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "cls", "rep", "n", F.coalesce("component", "rep").alias("label"))
     mixed = heavy.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
     heavy = materialize(heavy.join(mixed, "sig", "left_semi").select("cls", "rep", "n", "label").distinct(), "ngram-heavy")
@@ -326,15 +345,30 @@ def _rarest_pairs(text: DataFrame, heavy: DataFrame, width: int, num: int, den:
     return ranked.join(other, "token").filter(near).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, with all columns, whose doc_id is the least of their component.
+
+    Of rows that share such a doc_id the first by hash of text stays. Rows without a doc_id can't be named and stay.
+    """
+    found = ngram_components(docs, width, num, den)
+    stay = materialize(found.filter("doc_id is not null and component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "ngram-stay")
+    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if not stay.filter("rows > 1").isEmpty():
+        again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith("map")))
+        kept = kept.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(docs.columns)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def _differing(total, num: int, den: int):
     return F.floor((den - num) * total.cast("long") / (den + num))
 
 
-def _plan_column(spark, bands: Bands, found: DataFrame):
-    """V of the column band. There are few bands: their number grows with the logarithm of the largest set."""
-    top = found.agg(F.max("band")).first()[0]
-    sums = [bands.plan(k)[2] + bands.plan(k)[3] for k in range((top or 0) + 1)]
-    return F.element_at(F.array(*(F.lit(v) for v in sums)), F.col("band").cast("int") + 1)
+def _band_columns(bands: Bands, found: DataFrame):
+    """V and the largest size of the column band. There are few bands: their number grows with the logarithm of the largest set."""
+    top = found.agg(F.max("band")).first()[0] or 0
+    values = [bands.plan(k) for k in range(top + 1)]
+    at = F.col("band").cast("int") + 1
+    return F.element_at(F.array(*(F.lit(m + doubled) for _, _, m, doubled in values)), at), F.element_at(F.array(*(F.lit(high) for _, high, _, _ in values)), at)
 
 
 def _verify(text: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
