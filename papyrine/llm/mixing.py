@@ -82,3 +82,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: i
     out = queued.join(last, ["_named", "_upto"], "left").withColumn("times", earlier + F.coalesce("_last", F.lit(0)))
     times = F.when(F.col("size") > 0, F.col("times")).otherwise(0).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = PASSES) -> DataFrame:
+    """The rows of docs, with all columns, each as often as the mix has it."""
+    keys = ["doc_id", "source", "size"]
+    mixed = materialize(mix_sources(docs, weights, passes).select(*keys, "times"), "mixing-times")
+    chosen = sized(docs).withColumnRenamed("_size", "size") if "size" not in docs.columns else sized(docs.withColumnRenamed("size", "_own_size")).withColumnRenamed("_size", "size")
+    nth = Window.partitionBy(*keys)
+    if mixed.groupBy(*keys).count().filter("count > 1").isEmpty():
+        mixed, chosen = mixed.withColumn("_nth", F.lit(1)), chosen.withColumn("_nth", F.lit(1))
+    else:  # rows that are alike in the keys: the n-th by text gets the n-th number of times
+        mixed = mixed.withColumn("_nth", F.row_number().over(nth.orderBy(F.col("times").desc())))
+        chosen = chosen.withColumn("_nth", F.row_number().over(nth.orderBy(F.xxhash64("text"))))
+    taken = mixed.filter("times > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_nth").alias("_n"), "times")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_nth") == F.col("_n"))
+    out = chosen.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    if "_own_size" in out.columns:
+        out = out.drop("size").withColumnRenamed("_own_size", "size")
+    return out.select(docs.columns)

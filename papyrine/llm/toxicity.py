@@ -241,3 +241,15 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.5) ->
     held_out = crc_remainder(FOLDS) == 0
     scored = score_toxicity(docs, learn_toxicity(docs, labels, held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def _clean_batches(batches: Iterator[pa.RecordBatch], model: Model, at: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(model.score(batch.column(at).cast(pa.string())) < least))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all columns, that score below least. Learns as classify_toxicity does, from the same fold."""
+    model = learn_toxicity(docs, labels, crc_remainder(FOLDS) == 0)
+    at = docs.columns.index("text")
+    return docs.mapInArrow(lambda b: _clean_batches(b, model, at, least), docs.schema)
