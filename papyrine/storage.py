@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="papyrine-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return "file://" + _local_dirs[app]
 
 
