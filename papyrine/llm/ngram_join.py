@@ -303,16 +303,21 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     star = star.filter(2 * F.col("units") >= plans - _differing(F.col("n") + F.col("p.n"), num, den))
     star = star.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"))
 
-    verified = materialize(_verify(text, classes, pairs.union(star).distinct(), width, num, den), "ngram-links")
+    # The sets of all documents that are looked at below, made once: this is the only shuffle of texts.
+    reps = classes.select("cls", "rep")
+    candidates = materialize(_named(pairs.union(star).distinct(), reps), "ngram-candidates")
+    heavy = materialize(heavy.select("sig", "cls", "n").distinct().join(reps, "cls"), "ngram-heavy")
+    used = candidates.select("src").union(candidates.select("dst")).union(heavy.select("rep")).distinct()
+    sets = materialize(_sets(text, used.withColumnRenamed("src", "doc_id"), width), "ngram-sets")
+    verified = materialize(_verify(candidates, sets, num, den), "ngram-links")
     labels = materialize(connected_components(verified), "ngram-labels")
 
     # Those that share a skipped signature with another component are joined on their rarest shingles.
-    heavy = heavy.select("sig", "cls", "n").distinct()
-    heavy = heavy.join(classes.select("cls", "rep"), "cls").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "cls", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    heavy = heavy.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
     mixed = heavy.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
-    heavy = materialize(heavy.join(mixed, "sig", "left_semi").select("cls", "rep", "n", "label").distinct(), "ngram-heavy")
+    heavy = materialize(heavy.join(mixed, "sig", "left_semi").select("cls", "rep", "n", "label").distinct(), "ngram-mixed")
     if not heavy.isEmpty():
-        more = _verify(text, classes, _rarest_pairs(text, heavy, width, num, den), width, num, den)
+        more = _verify(materialize(_named(_rarest_pairs(sets, heavy, num, den), reps), "ngram-more"), sets, num, den)
         labels = materialize(connected_components(verified.union(more)), "ngram-labels2")
 
     found_labels = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "cls2", F.coalesce("component", "rep").alias("component"))
@@ -325,14 +330,18 @@ def _sets(text: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return text.join(reps, "doc_id", "left_semi").mapInArrow(lambda b: _set_batches(b, width), "rep long, h array<long>").dropDuplicates(["rep"])
 
 
-def _rarest_pairs(text: DataFrame, heavy: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _named(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """src, dst: the representatives of pairs of classes a, b."""
+    return pairs.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("src")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
+
+
+def _rarest_pairs(sets: DataFrame, heavy: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs a < b of different labels that share one of their rarest shingles, as all similar pairs do.
 
     With all sets in one order, sets that need o common elements share one among the first |r| - o + 1 of r and the
     first |s| - o + 1 of s. The order is by frequency in these sets, so what many share comes last.
     """
-    sets = _sets(text, heavy.select(F.col("rep").alias("doc_id")), width).join(heavy, "rep")
-    tokens = materialize(sets.select("cls", "n", "label", F.explode("h").alias("token")), "ngram-tokens")
+    tokens = materialize(sets.join(heavy, "rep").select("cls", "n", "label", F.explode("h").alias("token")), "ngram-tokens")
     order = Window.partitionBy("cls").orderBy("df", "token")
     ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("at", F.row_number().over(order) - 1)
     ranked = ranked.filter((F.col("at") <= F.col("n") - F.ceil(num * F.col("n") / den)) & (F.col("df") > 1)).select("token", "cls", "n", "label", "at")
@@ -371,13 +380,8 @@ def _band_columns(bands: Bands, found: DataFrame):
     return F.element_at(F.array(*(F.lit(m + doubled) for _, _, m, doubled in values)), at), F.element_at(F.array(*(F.lit(high) for _, high, _, _ in values)), at)
 
 
-def _verify(text: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs of classes, as src and dst of representatives' doc_ids, whose whole sets are similar enough."""
-    reps = classes.select("cls", "rep")
-    named = pairs.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("src")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
-    named = materialize(named, "ngram-candidates")
-    used = named.select(F.col("src").alias("doc_id")).union(named.select(F.col("dst").alias("doc_id"))).distinct()
-    sets = materialize(_sets(text, used, width), "ngram-sets")
-    both = named.join(sets.select(F.col("rep").alias("src"), F.col("h").alias("hs")), "src").join(sets.select(F.col("rep").alias("dst"), F.col("h").alias("hd")), "dst")
-    common = F.size(F.array_intersect("hs", "hd"))
-    return both.select("src", "dst", common.alias("common"), (F.size("hs") + F.size("hd")).alias("total")).filter(den * F.col("common") >= num * (F.col("total") - F.col("common"))).select("src", "dst")
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs src, dst of representatives' doc_ids whose whole sets are similar enough."""
+    both = pairs.join(sets.select(F.col("rep").alias("src"), F.col("h").alias("hs")), "src").join(sets.select(F.col("rep").alias("dst"), F.col("h").alias("hd")), "dst")
+    counted = both.select("src", "dst", F.size(F.array_intersect("hs", "hd")).alias("common"), (F.size("hs") + F.size("hd")).alias("total"))
+    return counted.filter(den * F.col("common") >= num * (F.col("total") - F.col("common"))).select("src", "dst")
