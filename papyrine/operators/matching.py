@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.storage import materialize
+
 CONFIDENCE = {"direct": 1.0, "related": 0.6, "partial": 0.4, "missing": 0.0}
 
 
@@ -20,8 +22,9 @@ def cascade(pairs: DataFrame, have: DataFrame, want: DataFrame, relations: DataF
     Equal is direct; a relation (src, dst, ord) from the wanted skill is related; containment either way is partial;
     else missing. The first kind counts. Containment only looks at skills of the pair that had neither.
     """
-    wanted = pairs.join(want.select(F.col("owner").alias("right"), "skill"), "right")
-    had = have.select(F.col("owner").alias("left"), F.col("skill").alias("own"))
+    # Both sides are looked at four times, so they are made once.
+    wanted = materialize(pairs.join(want.select(F.col("owner").alias("right"), "skill"), "right"), "cascade-wanted")
+    had = materialize(have.select(F.col("owner").alias("left"), F.col("skill").alias("own")), "cascade-had")
     direct = wanted.join(had.withColumnRenamed("own", "skill"), ["left", "skill"], "left_semi").withColumn("kind", F.lit("direct"))
     rest = wanted.join(direct.select("left", "right", "skill"), ["left", "right", "skill"], "left_anti")
     linked = rest.join(relations.select(F.col("src").alias("skill"), F.col("dst").alias("own")), "skill").join(had, ["left", "own"], "left_semi")

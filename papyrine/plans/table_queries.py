@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyrine.functions.text import search_tokens
 from papyrine.operators import evaluation, intervals, matching, retrieval, rubric
 from papyrine.plans import retrieval_queries
+from papyrine.storage import materialize
 from papyrine.tables import table
 
 
@@ -90,7 +91,7 @@ def recall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _skills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Pairs of documents and passages that BM25 brings together, their terms as skills, and relations: terms with one beginning."""
-    found = retrieval_queries.bm25_search(spark, sf_dir).select(F.col("chunk_id").alias("left"), F.col("query_id").alias("right"))
+    found = materialize(retrieval_queries.bm25_search(spark, sf_dir).select(F.col("chunk_id").alias("left"), F.col("query_id").alias("right")), "skills-pairs")
     have = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("owner"), F.explode(search_tokens(F.col("text"))).alias("skill"))
     have = have.join(found.select(F.col("left").alias("owner")).distinct(), "owner", "left_semi")
     words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 12)
