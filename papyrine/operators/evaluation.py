@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from papyrine.functions.text import group_percent
 
 
-def midranks(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds the average rank of equal values. Only counts by value are ordered as a whole, not the rows."""
+def midranks(rows: DataFrame, value: str, out: str, blocks: int = 64) -> DataFrame:
+    """Adds the average rank of equal values.
+
+    Only counts by value are put in order, in blocks between approximate quantiles, so no task sees all of them.
+    """
     counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select(F.col(value), (upto - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+    splits = sorted(set(counts.approxQuantile(value, [i / blocks for i in range(1, blocks)], 0.01)))
+    block = sum(((F.col(value) > s).cast("int") for s in splits), F.lit(0))
+    counts = counts.withColumn("_block", block)
+    sums = counts.groupBy("_block").agg(F.sum("_n").alias("_sum"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy("_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.join(starts, "_block").select(F.col(value), (upto - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
     return rows.join(ranks, value)
 
 

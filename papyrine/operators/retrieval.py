@@ -28,11 +28,11 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     Only terms of queries are joined with the postings, so frequent terms that nobody asks for cost nothing.
     """
     asked = query_terms(queries)
-    counted = chunks.select("chunk_id", F.size(search_tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    totals = chunks.select(F.size(search_tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl")).first()
     found = postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(counted)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of totals
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    weights = df.select("term", F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(totals["avgdl"] or 1.0))
     pairs = asked.join(weights, "term").join(found, "term").withColumn("part", F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
     return pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
 
@@ -52,14 +52,16 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
-def cosine_pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, cosine of every query with every vector: a set of queries against all rows.
+def cosine_pairs(vectors: DataFrame, queries: DataFrame, blocks: int = 32) -> DataFrame:
+    """query_id, chunk_id, cosine of every query with every other vector.
 
-    Queries are few against the vectors; each executor gets all of them only if Spark finds them small enough.
+    The vectors fall into blocks by a hash of their id, and the queries go to each block: a set of queries against all
+    rows, as an equi-join on the block.
     """
-    left = queries.select("query_id", unit(F.col("embedding")).alias("q"))
-    right = vectors.select("chunk_id", unit(F.col("embedding")).alias("v"))
-    return left.join(right, F.col("query_id") != F.col("chunk_id")).select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("cosine"))
+    left = queries.select("query_id", unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = vectors.select("chunk_id", unit(F.col("embedding")).alias("v"), F.pmod(F.hash("chunk_id"), F.lit(blocks)).alias("block"))
+    pairs = left.join(right, "block").filter(F.col("query_id") != F.col("chunk_id"))
+    return pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("cosine"))
 
 
 def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, score1: str, score2: str, k: int) -> DataFrame:
