@@ -34,6 +34,8 @@ HOT = 24
 BAND_RATIO = 1.4
 #: Cost of a segment with at most one element, in signatures.
 WEAK_COST = 8.0
+#: Up to this many ids of documents whose sets are needed are broadcast (8 MB); more are joined by a shuffle of texts.
+BROADCAST_IDS = 1_000_000
 _EXACT, _NEAR, _DELETED = 0, 1, 2
 
 
@@ -254,11 +256,11 @@ def _group_batches(batches: Iterator[pa.RecordBatch], num: int, den: int, hot: i
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        sets = list(shingle_sets(batch.column(1), width))
+        sets = list(shingle_sets(batch.column(0), width))
+        keys = pa.array([_set_keys(h)[0] for h in sets], pa.int64())
         offsets = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
         values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["rep", "h"])
+        yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cls", "h"])
 
 
 def shingle_classes(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -303,12 +305,17 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     star = star.filter(2 * F.col("units") >= plans - _differing(F.col("n") + F.col("p.n"), num, den))
     star = star.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"))
 
-    # The sets of all documents that are looked at below, made once: this is the only shuffle of texts.
+    # The sets of all documents that are looked at below, made once.
     reps = classes.select("cls", "rep")
     candidates = materialize(_named(pairs.union(star).distinct(), reps), "ngram-candidates")
     heavy = materialize(heavy.select("sig", "cls", "n").distinct().join(reps, "cls"), "ngram-heavy")
     used = candidates.select("src").union(candidates.select("dst")).union(heavy.select("rep")).distinct()
-    sets = materialize(_sets(text, used.withColumnRenamed("src", "doc_id"), width), "ngram-sets")
+    used = materialize(used.select(F.col("src").alias("doc_id")), "ngram-used")
+    if used.count() <= BROADCAST_IDS:
+        used = F.broadcast(used)
+    repeated = not of_docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    sets = text.join(used, "doc_id", "left_semi").select("text").mapInArrow(lambda b: _set_batches(b, width), "cls long, h array<long>")
+    sets = materialize(sets.dropDuplicates(["cls"]) if repeated else sets, "ngram-sets")
     verified = materialize(_verify(candidates, sets, num, den), "ngram-links")
     labels = materialize(connected_components(verified), "ngram-labels")
 
@@ -325,14 +332,9 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sets(text: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """rep, h: the sets of the documents whose ids are in reps.doc_id."""
-    return text.join(reps, "doc_id", "left_semi").mapInArrow(lambda b: _set_batches(b, width), "rep long, h array<long>").dropDuplicates(["rep"])
-
-
 def _named(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """src, dst: the representatives of pairs of classes a, b."""
-    return pairs.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("src")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst")
+    """Pairs of classes a, b with src, dst: their representatives."""
+    return pairs.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("src")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("dst")), "b").select("a", "b", "src", "dst")
 
 
 def _rarest_pairs(sets: DataFrame, heavy: DataFrame, num: int, den: int) -> DataFrame:
@@ -341,7 +343,7 @@ def _rarest_pairs(sets: DataFrame, heavy: DataFrame, num: int, den: int) -> Data
     With all sets in one order, sets that need o common elements share one among the first |r| - o + 1 of r and the
     first |s| - o + 1 of s. The order is by frequency in these sets, so what many share comes last.
     """
-    tokens = materialize(sets.join(heavy, "rep").select("cls", "n", "label", F.explode("h").alias("token")), "ngram-tokens")
+    tokens = materialize(sets.join(heavy, "cls").select("cls", "n", "label", F.explode("h").alias("token")), "ngram-tokens")
     order = Window.partitionBy("cls").orderBy("df", "token")
     ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("at", F.row_number().over(order) - 1)
     ranked = ranked.filter((F.col("at") <= F.col("n") - F.ceil(num * F.col("n") / den)) & (F.col("df") > 1)).select("token", "cls", "n", "label", "at")
@@ -381,7 +383,7 @@ def _band_columns(bands: Bands, found: DataFrame):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs src, dst of representatives' doc_ids whose whole sets are similar enough."""
-    both = pairs.join(sets.select(F.col("rep").alias("src"), F.col("h").alias("hs")), "src").join(sets.select(F.col("rep").alias("dst"), F.col("h").alias("hd")), "dst")
-    counted = both.select("src", "dst", F.size(F.array_intersect("hs", "hd")).alias("common"), (F.size("hs") + F.size("hd")).alias("total"))
+    """src, dst of the pairs a, b of classes whose whole sets are similar enough."""
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("cls").alias("b"), F.col("h").alias("hb")), "b")
+    counted = both.select("src", "dst", F.size(F.array_intersect("ha", "hb")).alias("common"), (F.size("ha") + F.size("hb")).alias("total"))
     return counted.filter(den * F.col("common") >= num * (F.col("total") - F.col("common"))).select("src", "dst")
