@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.components import connected_components
-from papyrine.llm.textbytes import mix, shingle_sets
+from papyrine.llm.textbytes import mix, shingle_sets, slices
 from papyrine.storage import materialize
 
 #: Sets in a group with a common signature of which all pairs are compared at once.
@@ -168,7 +168,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], width: int, num: int,
                 tags = kinds + 4 * (band + 1)
                 out.append((sigs.view(np.int64), np.full(len(sigs), cls), np.full(len(sigs), len(h)), np.full(len(sigs), empty), -tags if k else tags))
                 size += len(sigs)
-            if size > 200_000:
+            if size > 50_000:
                 yield _columns(out, "sig cls n z tag")
                 out, size = [], 0
         if out:
@@ -256,11 +256,11 @@ def _group_batches(batches: Iterator[pa.RecordBatch], num: int, den: int, hot: i
 
 def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(shingle_sets(batch.column(0), width))
-        keys = pa.array([_set_keys(h)[0] for h in sets], pa.int64())
-        offsets = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
-        values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["cls", "h"])
+        for part in slices(batch.column(0)):
+            sets = list(shingle_sets(batch.column(0).slice(*part), width))
+            keys = pa.array([_set_keys(h)[0] for h in sets], pa.int64())
+            offsets = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["cls", "h"])
 
 
 def shingle_classes(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -30,8 +30,8 @@ DEPTH = 5
 #: Share of the fitted repeats that is kept; the other pieces are left for gaps. All of them would leave too few small pieces.
 KEPT_SHARE = 0.5
 BLOCKS = 1024
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 1_500_000
+#: Words, and parts of words, whose ids a Python worker remembers.
+REMEMBERED, REMEMBERED_PARTS = 600_000, 50_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,6 +69,8 @@ class WordIds:
     def _encode(self, word: str) -> list[int]:
         if "<|" in word or not _PLAIN(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
+        if len(self.pieces) > REMEMBERED_PARTS:
+            self.pieces = {}
         ids: list[int] = []
         for piece in _PIECES.findall(word.lower()):
             got = self.pieces.get(piece)

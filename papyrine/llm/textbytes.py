@@ -83,7 +83,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
 
 
-def slices(column: pa.Array, most: int = 4 << 20):
+def slices(column: pa.Array, most: int = 1 << 20):
     """(first row, number of rows) of consecutive parts of a string array, of about most bytes each."""
     offsets = utf8(column)[1]
     a = 0
