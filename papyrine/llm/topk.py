@@ -42,33 +42,38 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def no_random_access(q: np.ndarray, x: np.ndarray, order: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
-    """Rows of x that can be among the k largest products with q, ties included. order, rank: lists by component, ascending."""
-    n, width = x.shape
-    if n <= k:
-        return np.arange(n)
-    dims = np.flatnonzero(q)
-    if not len(dims):
-        return np.arange(n)
-    up = q[dims] > 0
-    products = x[:, dims].astype(np.float64) * q[dims]
-    ends = np.where(up, 0, n - 1)
-    least = products[order[ends, dims], np.arange(len(dims))]
-    place = np.where(up, n - 1 - rank[:, dims], rank[:, dims])  # how many entries of the list come before
-    depth = max(k, n // 16)
-    while depth < n:
-        seen = place < depth
-        at = np.where(up, n - depth, depth - 1)
-        frontier = products[order[at, dims], np.arange(len(dims))]
-        known = np.where(seen, products, 0.0).sum(axis=1)
-        lower = known + (~seen) @ least
-        upper = known + (~seen) @ frontier
-        kth = np.partition(lower, n - k)[n - k]
-        left = np.flatnonzero(upper >= kth)
-        if len(left) <= 4 * k or depth * 2 >= n:
-            return left
-        depth *= 2
-    return np.arange(n)
+def no_random_access(q: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of q the rows of x that can be among the k largest products, ties included.
+
+    All queries read the lists to the same depths: an eighth, a quarter and half of their entries. What is read at a depth
+    is the same for all queries that read a list from the same end, so sums over read entries are matrix products of
+    the entries read from the upper ends with the positive parts of the queries, and of the lower with the negative.
+    """
+    n = len(x)
+    left: list[np.ndarray] = [np.arange(n)] * len(q)
+    if n <= k or not q.any():
+        return left
+    order = np.argsort(x, axis=0, kind="stable")
+    rank = np.empty(x.shape, np.int32)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], x.shape), axis=0)
+    dims = np.arange(x.shape[1])
+    values, both = x.astype(np.float64), np.concatenate((np.maximum(q, 0), np.minimum(q, 0)), axis=1).astype(np.float64).T
+    lowest, highest = values[order[0], dims], values[order[-1], dims]
+    least = both * np.concatenate((lowest, highest))[:, None]
+    asking = np.arange(len(q))
+    for depth in (n // 8, n // 4, n // 2):
+        if depth < k or not len(asking):
+            continue
+        read = np.concatenate((rank >= n - depth, rank < depth), axis=1).astype(np.float64)
+        frontier = both * np.concatenate((values[order[n - depth], dims], values[order[depth - 1], dims]))[:, None]
+        known = (read * np.concatenate((values, values), axis=1)) @ both[:, asking]
+        lower = known + least[:, asking].sum(axis=0) - read @ least[:, asking]
+        upper = known + frontier[:, asking].sum(axis=0) - read @ frontier[:, asking]
+        outside = upper >= np.partition(lower, n - k, axis=0)[n - k]
+        for j, i in enumerate(asking):
+            left[i] = np.flatnonzero(outside[:, j])
+        asking = asking[outside.sum(axis=0) > 4 * k]
+    return left
 
 
 def _search(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -78,14 +83,11 @@ def _search(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFram
     vectors = vectors.assign(t=vectors.v.map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates("vec_id")
     width = max(1, max(map(len, vectors.v)), max(map(len, queries.v)))
     x, q, ids = _matrix(vectors.v, width), _matrix(queries.v, width), vectors.vec_id.to_numpy()
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(x))[:, None], x.shape), axis=0)
     # Bounds are sums of doubles: exact while sums stay below 2**53, else left wide by comparing all.
     exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width < 2**53
     out = []
-    for own, row in zip(queries.vec_id.to_numpy(), q, strict=True):
-        left = no_random_access(row, x, order, rank, k + 1) if exact else np.arange(len(x))
+    some = no_random_access(q, x, k + 1) if exact else [np.arange(len(x))] * len(q)
+    for own, row, left in zip(queries.vec_id.to_numpy(), q, some, strict=True):
         left = left[ids[left] != own]
         score = x[left] @ row
         best = np.lexsort((ids[left], -score))[:k]
