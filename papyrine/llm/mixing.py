@@ -18,6 +18,8 @@ from papyrine.storage import materialize
 PASSES = 3
 #: Steps of virtual time whose totals are gathered before the order within the last step is looked at.
 STEPS = 4096
+#: Up to this many documents of a mix are broadcast to be joined with their texts (25 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = PASSES) -> DataFrame:
@@ -96,6 +98,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passe
         mixed = mixed.withColumn("_nth", F.row_number().over(nth.orderBy(F.col("times").desc())))
         chosen = chosen.withColumn("_nth", F.row_number().over(nth.orderBy(F.xxhash64("text"))))
     taken = mixed.filter("times > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_nth").alias("_n"), "times")
+    if mixed.count() <= BROADCAST_ROWS:
+        taken = F.broadcast(taken)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_nth") == F.col("_n"))
     out = chosen.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     if "_own_size" in out.columns:

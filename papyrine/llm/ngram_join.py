@@ -363,7 +363,8 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     """
     found = ngram_components(docs, width, num, den)
     stay = materialize(found.filter("doc_id is not null and component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "ngram-stay")
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    ids = F.broadcast(stay.select("doc_id")) if stay.count() <= BROADCAST_IDS else stay.select("doc_id")
+    kept = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
     if not stay.filter("rows > 1").isEmpty():
         again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith("map")))
         kept = kept.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(docs.columns)
