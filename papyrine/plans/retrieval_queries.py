@@ -9,8 +9,8 @@ from papyrine.functions.text import SEARCH_STOP
 from papyrine.operators import retrieval
 from papyrine.tables import table
 
-#: Words of a passage that are asked for, and results of a query.
-ASKED, RESULTS = 12, 3
+#: Results of a query.
+RESULTS = 3
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, ASKED), " ").alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,8 +94,7 @@ def _skills(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     found = materialize(retrieval_queries.bm25_search(spark, sf_dir).select(F.col("chunk_id").alias("left"), F.col("query_id").alias("right")), "skills-pairs")
     have = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("owner"), F.explode(search_tokens(F.col("text"))).alias("skill"))
     have = have.join(found.select(F.col("left").alias("owner")).distinct(), "owner", "left_semi")
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 12)
-    want = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("owner"), F.explode(search_tokens(F.array_join(words, " "))).alias("skill"))
+    want = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("owner"), F.explode(search_tokens(F.col("text"))).alias("skill"))
     terms = want.select("skill").distinct()
     aliases = terms.filter(F.col("skill").rlike(r"[.-]$")).select(F.col("skill").alias("alias"), F.regexp_replace("skill", r"[.-]+$", "").alias("canonical"))
     wanted, had = matching.normalized(want, aliases), matching.normalized(have, aliases)
