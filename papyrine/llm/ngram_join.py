@@ -6,8 +6,8 @@ hashes is cut into m segments, and segment i is given an allocation v_i: 1 (its
 subset may differ by one element, found through one-deletion neighbours). If the allocations sum to V, similar
 sets collect at least V - H(r, s) units of agreement over the segments, where a segment gives max(0, v_i - difference).
 m and the number of segments with v = 2 are chosen per band by cost; V exceeds the least possible sum by some slack.
-Signatures of empty subsets (as far as the slack allows), and those shared by more than HOT sets, get v = 0: they are counted as possible
-agreement (z) instead of being joined. Pairs that only skipped signatures could connect have z above the slack; such
+Signatures of empty subsets (of sets whose slack allows it), and those shared by more than HOT sets, get v = 0: they are counted as possible
+agreement (z) instead of being joined, also where only one set of a pair skips them. Pairs that only skipped signatures could connect have z above the slack; such
 sets are first each compared with the most central set of their signatures. Those that then still share a skipped
 signature with another component are joined on their rarest shingles (prefix filtering), which loses no pair either.
 
@@ -118,7 +118,7 @@ def _band_salt(band: int) -> np.ndarray:
 
 
 def _signatures(h: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, int]:
-    """Signatures, their kinds, and the allocation of the empty segments."""
+    """Signatures, their kinds, and the allocation of the empty segments: negative if they have signatures, not skipped."""
     _, _, m, doubled = bands.plan(band)
     segment = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     at = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
@@ -145,7 +145,7 @@ def _signatures(h: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.
         if near:
             sigs.append(mix(salt[part][~some]))
             kinds = np.concatenate((kinds, np.full(int((~some).sum()), _DELETED)))
-        empty = 0
+        empty = -empty
     return np.concatenate(sigs), kinds, empty
 
 
@@ -293,12 +293,12 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     pairs = pairs.join(of_a, ["a", "band"], "left").join(of_b, ["b", "band"], "left").fillna(0, ["ha", "hb"])
     plans, tops = _band_columns(bands, found)
     needed = plans - _differing(F.col("na") + F.col("nb"), num, den)
-    pairs = pairs.filter(F.col("units") + F.least(F.col("za") + F.col("ha"), F.col("zb") + F.col("hb")) >= needed).select("a", "b")
+    pairs = pairs.filter(F.col("units") + _unseen_empty(F.col("za"), F.col("zb")) + F.least("ha", "hb") >= needed).select("a", "b")
 
-    # Sets whose skipped allocation exceeds their slack could have links that only hot signatures show. Each is compared
-    # with the most central one of its signatures, the one in most hot groups, if they share enough of these.
+    # Sets whose skipped allocation exceeds their slack could have links that only hot signatures show, and so could those
+    # with signatures of empty subsets (z < 0: more of these than the slack) that partners may have skipped. Each is compared with the most central one of its signatures, the one in most hot groups, if they share enough of these.
     slack = plans - 1 - _differing(F.col("n") + F.least(tops, F.floor(F.col("n") * den / num)), num, den)
-    heavy = materialize(hot.join(skipped, ["cls", "band"]).filter(F.col("z") + F.col("zhot") > slack).select("sig", "cls", "n", "band", "units", "zhot"), "ngram-hot")
+    heavy = materialize(hot.join(skipped, ["cls", "band"]).filter((F.col("z") < 0) | (F.col("z") + F.col("zhot") > slack)).select("sig", "cls", "n", "band", "units", "zhot"), "ngram-hot")
     pivots = heavy.groupBy("sig").agg(F.max_by(F.struct("cls", "n"), F.struct("zhot", "cls")).alias("p"))
     star = heavy.join(pivots, "sig").filter((F.col("cls") != F.col("p.cls")) & (num * F.greatest("n", "p.n") <= den * F.least("n", "p.n")))
     star = star.groupBy("cls", "p", "n", "band").agg(F.sum("units").alias("units"))
@@ -375,6 +375,15 @@ def _differing(total, num: int, den: int):
     return F.floor((den - num) * total.cast("long") / (den + num))
 
 
+def _unseen_empty(za, zb):
+    """The most units that two sets agree in by empty subsets without a common signature.
+
+    Each set decides by its own slack whether it skips them, so one can have signatures (negative) where the other has none.
+    """
+    both = F.when((za >= 0) & (zb >= 0), F.least(za, zb)).when((za < 0) & (zb < 0), 0)
+    return both.otherwise(F.least(F.abs(za), F.abs(zb)))
+
+
 def _band_columns(bands: Bands, found: DataFrame):
     """V and the largest size of the column band. There are few bands: their number grows with the logarithm of the largest set."""
     top = found.agg(F.max("band")).first()[0] or 0

@@ -82,6 +82,18 @@ def test_ngram_components_match_brute_force(spark, monkeypatch, seed, hot):
     assert got.component_id.tolist() == components(sets)
 
 
+def test_ngram_links_at_the_threshold(spark, monkeypatch):
+    """Pairs alone with each other, as similar as just links them; HOT is high, as if there were few sets."""
+    monkeypatch.setattr(ngram_join, "HOT", 10_000)
+    rng = random.Random(7)
+    texts = []
+    for n in [5] * 500 + [6] * 100 + [7] * 100 + list(range(8, 26)) * 12:
+        words = [f"v{rng.getrandbits(48)}" for _ in range(n + 4 + n // 4)]
+        texts += [" ".join(words[: n + 4]), " ".join(words)]
+    got = ngram_join.ngram_components(frame(spark, texts)).toPandas().sort_values("doc_id")
+    assert got.component_id.tolist() == components([shingles(x) for x in texts]) == [i - i % 2 for i in range(len(texts))]
+
+
 def test_ngram_components_of_nothing(spark):
     assert ngram_join.ngram_components(frame(spark, ["x"]).filter("false")).count() == 0
     assert ngram_join.ngram_components(frame(spark, [None, ""])).count() == 2
