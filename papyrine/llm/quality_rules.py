@@ -29,8 +29,10 @@ _POSITIONS = 26
 
 def text_counts(text: Column) -> list[dict[str, Column]]:
     """Columns to add one dict after the other: counts of a text's words, symbols, lines and repeats."""
-    trimmed = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    lines = F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    trimmed = F.btrim(whole, F.lit(" \t\n\x0b\f\r"))
+    # Lines are compared as they are: the first and last keep their outer white space.
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     high = F.expr(f"transform(_q_grams, (x, i) -> (shiftleft(shiftright(x, {_POSITIONS}), {_POSITIONS}) | cast(i as bigint)))")
     mask = f"{(1 << _POSITIONS) - 1}L"
 

@@ -137,6 +137,14 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.quality_rules(frame(spark, ["x"]).filter("false")).count() == 0
 
 
+def test_lines_keep_their_outer_white_space(spark):
+    texts = [" a b\na b", "a b\na b ", "x\r\nx\r\n", "\tx\nx\n\tx", "\n\nx\ny\nx\n ", " \n ", "a b\na b"]
+    rows = quality_rules.quality_rules(frame(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    got = rows[["_q_n_words", "_q_chars", "_q_symbols", "_q_dup_lines", "_q_repeats"]].values.tolist()
+    assert got == [list(counts(x)) for x in texts]
+    assert rows["_q_dup_lines"].tolist() == [0, 0, 1, 1, 1, 0, 1]
+
+
 def test_mix_reaches_targets(spark):
     texts = [("w " * (1 + i % 50)).strip() for i in range(400)] + [None, ""]
     docs = frame(spark, texts)
