@@ -46,7 +46,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage word for word, the first three of each by id.
+    """All documents that hold a passage word for word, those of each passage numbered by id.
 
     Candidates come from the index: a document with the passage has all its terms.
     """
@@ -57,8 +57,8 @@ def passage_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = terms.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared")).join(sizes, "query_id").filter("shared = n_terms")
     texts = _chunks(spark, sf_dir).withColumnRenamed("text", "whole_text")
     found = whole.join(items, "query_id").join(texts, "chunk_id").filter(F.contains("whole_text", "text"))
-    best = Window.partitionBy("query_id").orderBy("chunk_id")
-    return found.select("query_id", "chunk_id", F.row_number().over(best).cast("long").alias("rank")).filter("rank <= 3")
+    by_id = Window.partitionBy("query_id").orderBy("chunk_id")
+    return found.select("query_id", "chunk_id", F.row_number().over(by_id).cast("long").alias("rank"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

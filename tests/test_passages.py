@@ -59,3 +59,16 @@ def test_every_term_of_a_passage_is_wanted(spark, passages):
     folder, _, asked = passages
     rows = table_queries.skill_match_cascade(spark, folder).collect()
     assert rows and all(r.n_direct + r.n_related + r.n_partial + r.n_missing == len({t.rstrip(".-") for t in terms(asked[r.right])}) for r in rows)
+
+
+def test_every_holder_is_evidence_and_expected(spark, passages):
+    folder, docs, asked = passages
+    holders = {(q, i) for q, x in asked.items() for i, y in docs.items() if x in y}
+    assert max(collections.Counter(q for q, _ in holders).values()) > 3
+    rows = retrieval_queries.passage_evidence(spark, folder).collect()
+    assert {(r.query_id, r.chunk_id) for r in rows} == holders and len(rows) == len(holders)
+    want, best = scores(docs, asked), set()
+    for q in asked:
+        best |= set(sorted((k for k in want if k[0] == q), key=lambda k: (-round(want[k], 6), k[1]))[:3])
+    report = table_queries.recall_report(spark, folder).first()
+    assert (report.n_queries, report.recall) == (len(holders), round(len(holders & best) / len(holders), 6))
