@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A tolerant reader makes a tree of each page. Elements that are never article text (by tag, role, class or being hidden)
-are left out. For every node, with C characters, T tags, L characters and M tags in links below it, the density is
+are left out; class and id don't count for headings, paragraphs, article and main. For every node, with C characters, T tags, L characters and M tags in links below it, the density is
 
     C / T * log(C / L * T / M) / log(ln(C / (C - L) * L + Lb / Cb * C + e))
 
@@ -30,14 +30,21 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements of which none holds article text.
 OUTSIDE = frozenset("head nav footer aside form button input dialog menu".split()) | RAW
 _OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words of class and id names of menus, headers, footers, sidebars, notices, adverts and reader comments.
+#: Words within class and id names of menus, headers, footers, sidebars, notices, adverts and reader comments.
 _OUTSIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
-    "subscription sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus discussion replies reply share sharing social related "
-    "recommended recommendations login signup signin search toolbar widget pagination pager alert hidden teaser tags".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe "
+    "subscription sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus "
+    "recommended recommendations login signup signin toolbar widget pagination pager hidden teaser".split()
 )
+#: Whole names of the same that are made of words which articles have in names of their own.
+_OUTSIDE_NAMES = frozenset(
+    "side side-bar side-nav side-menu menu main-menu menu-main site-menu menu-item search search-form search-box search-bar site-search discussion discussions notice notices notice-bar "
+    "site-notice alert alerts alert-bar tags tag-list tags-list post-tags entry-tags share sharing share-buttons share-links share-bar social social-share social-links social-buttons "
+    "social-icons social-media-links related related-posts related-articles related-content related-links related-stories replies reply reply-form".split()
+)
+#: Elements whose class and id say what the article tells.
+_TELLING_TAGS = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
 _HEADER_WORDS = frozenset("header head topnav".split())
-_KEEP_TAGS = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME_LEVEL = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -139,9 +146,9 @@ class Page:
         self.end[0] = len(self.events)
 
 
-def _is_outside(page: Page, node: int, within_article: bool, has_heading: bool, has_main: bool) -> bool:
+def _is_outside(page: Page, node: int, within_article: bool, has_heading: bool, has_main: bool, is_wrapper: bool) -> bool:
     tag = page.tags[node]
-    if tag in OUTSIDE:
+    if tag in OUTSIDE and not is_wrapper:
         return True
     if tag == "header":
         return not (within_article and has_heading)
@@ -151,14 +158,20 @@ def _is_outside(page: Page, node: int, within_article: bool, has_heading: bool,
     found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(raw)}
     if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
         return True
-    if found.get("role", "").lower() in _OUTSIDE_ROLES and tag not in _KEEP_TAGS:
+    if tag in _TELLING_TAGS or is_wrapper:
+        return False
+    if found.get("role", "").lower() in _OUTSIDE_ROLES:
         return True
-    words = set(re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    if tag in ("html", "body", "main") or has_main:
+    if has_main:
         return False
+    names = set(re.sub(r"_+", "-", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower()).split())
+    words = {w for name in names for w in name.split("-")}
     if words & _OUTSIDE_WORDS:
         return True
-    return bool(words & _HEADER_WORDS) and tag not in _KEEP_TAGS and not has_heading
+    # Sections, also those made of div, are named after their headings.
+    if names & _OUTSIDE_NAMES and tag != "section" and "section" not in names:
+        return True
+    return bool(words & _HEADER_WORDS) and not has_heading
 
 
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, body_share: float) -> float:
@@ -183,12 +196,21 @@ def main_text(source: str | None) -> str:
         up = parents[node]
         heading[up] |= heading[node] or tags[node] in ("h1", "h2")
         inner[up] |= inner[node] or tags[node] in ("h1", "main")
+    # Forms around the article or most of the text are no forms to fill in, but a page's layout.
+    held, told = [0] * n, [tag in ("article", "main") for tag in tags]
+    for text, node in zip(page.events, page.owner, strict=True):
+        if text:
+            held[node] += len("".join(text.split()))
+    for node in range(n - 1, 0, -1):
+        held[parents[node]] += held[node]
+        told[parents[node]] |= told[node]
+    wrapper = [tags[k] == "form" and (told[k] or 2 * held[k] > held[0]) for k in range(n)]
     out, article, link = [False] * n, [False] * n, [False] * n
     for node in range(1, n):
         up = parents[node]
         article[node] = article[up] or tags[node] == "article"
         link[node] = link[up] or tags[node] == "a"
-        out[node] = out[up] or _is_outside(page, node, article[node], heading[node], inner[node])
+        out[node] = out[up] or _is_outside(page, node, article[node], heading[node], inner[node], wrapper[node])
     chars, link_chars = [0] * n, [0] * n
     for text, node in zip(page.events, page.owner, strict=True):
         if text and not out[node]:

@@ -73,6 +73,28 @@ def test_main_text_of_sections():
     assert text.startswith("A paragraph") and text.endswith("number 23.") and text.count("number") == 12
 
 
+def test_main_text_with_telling_names():
+    one, two, three = (f"Paragraph {x} of the text, with enough words in it to be dense, as paragraphs of articles are." for x in ("one", "two", "three"))
+    menu = "<div class='menu'><a href=x>Home</a></div><div class='related-posts'><a href=x>Other</a></div>"
+    pages = [
+        (f"<article><h2>A paper</h2><p>{one}</p><section id='discussion'><h2>Discussion</h2><p>{two}</p></section></article>", f"A paper {one} Discussion {two}"),
+        (f"<article><p>{one}</p><h2 id='side-effects'>Side effects</h2><p class='notice'>{two}</p></article>", f"{one} Side effects {two}"),
+        (f"<article><h1 id='social-media-rules'>Rules</h1><p>{one}</p></article>", f"Rules {one}"),
+        (f"<article class='social-policy'><p>{one}</p><p>{two}</p></article>", f"{one} {two}"),
+        (f"<article><p>{one}</p><div id='related-work' class='level2'><p>{two}</p></div><div class='section' id='search'><p>{three}</p></div></article>", f"{one} {two} {three}"),
+        (f"<form id='aspnetForm' method='post'><input type='hidden' value='x'><div><p>{one}</p><p>{two}</p></div><button>Go</button></form>", f"{one} {two}"),
+        (f"<div>{'<a href=x>a link to elsewhere</a> ' * 40}</div><form><article><p>{one}</p><p>{two}</p></article></form>", f"{one} {two}"),
+    ]
+    for body, text in pages:
+        assert html_text.main_text(f"<html><body>{menu}{body}</body></html>") == text
+
+
+def test_small_forms_and_notices_stay_out():
+    one = "A paragraph of the text, with enough words in it to be dense, as paragraphs of articles are."
+    odd = "".join(f"<div class='{x}'><p>Words that are not the article's.</p></div>" for x in ("notice", "socialShare", "search_form", "alert", "cookie-notice", "comment-list"))
+    assert html_text.main_text(f"<body><div><p>{one}</p>{odd}<form><p>Your name</p></form><p>{one}</p></div></body>") == f"{one} {one}"
+
+
 def test_pages_frame(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, 4), (None, "u", "<p>x", 5)], "page_id long, url string, html string, n_chars int")
     got = html_text.extract_main_text(rows).toPandas()
