@@ -83,6 +83,24 @@ def final_scores(scores: DataFrame, k: int, least: float = 0.1) -> DataFrame:
     return shared.filter(F.col("score") >= least).select("query_id", "chunk_id", "rank", "score")
 
 
+def holders(chunks: DataFrame, passages: DataFrame, blocks: int = 32) -> DataFrame:
+    """query_id, chunk_id of chunks (chunk_id, text) that contain a passage (query_id, text), at any place of words.
+
+    Terms with both ends inside the passage are terms of every text around it, so only chunks with all of these are
+    looked at. A passage without such a term is looked for in all chunks, in blocks.
+    """
+    inner = F.regexp_replace(F.lower("text"), r"^[a-z0-9_+#.-]+|[a-z0-9_+#.-]+$", "")
+    asked = query_terms(passages.select("query_id", inner.alias("text"))).select("query_id", "term")
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    named = passages.select("query_id", F.col("text").alias("passage"))
+    found = postings(chunks).select("chunk_id", "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
+    likely = found.join(sizes, "query_id").filter("shared = n_terms").join(named, "query_id").join(chunks, "chunk_id")
+    bare = named.join(sizes, "query_id", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = chunks.withColumn("block", F.pmod(F.hash("chunk_id"), F.lit(blocks))).join(bare, "block")
+    columns = ["query_id", "chunk_id", "passage", "text"]
+    return likely.select(columns).unionByName(every.select(columns)).filter(F.contains("text", "passage")).select("query_id", "chunk_id")
+
+
 def recall_at(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """n_queries and recall: the share of expected (query_id, chunk_id) that are among the k best."""
     hit = expected.join(results.filter(F.col("rank") <= k).select("query_id", "chunk_id", F.lit(1.0).alias("hit")), ["query_id", "chunk_id"], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import SEARCH_STOP
@@ -46,19 +46,9 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents that hold a passage word for word, those of each passage numbered by id.
-
-    Candidates come from the index: a document with the passage has all its terms.
-    """
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    asked = retrieval.query_terms(items)
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    terms = retrieval.postings(_chunks(spark, sf_dir)).select("chunk_id", "term")
-    whole = terms.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared")).join(sizes, "query_id").filter("shared = n_terms")
-    texts = _chunks(spark, sf_dir).withColumnRenamed("text", "whole_text")
-    found = whole.join(items, "query_id").join(texts, "chunk_id").filter(F.contains("whole_text", "text"))
-    by_id = Window.partitionBy("query_id").orderBy("chunk_id")
-    return found.select("query_id", "chunk_id", F.row_number().over(by_id).cast("long").alias("rank"))
+    """All pairs of a passage and a document that holds it word for word."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").filter(F.col("text").isNotNull())
+    return retrieval.holders(_chunks(spark, sf_dir), items)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +104,7 @@ posts AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELEC
 totals AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
 asked AS (
   SELECT query_id, term, count(*) AS qtf FROM (
-    SELECT item_id AS query_id, unnest({_TERMS.format(r"array_to_string(regexp_extract_all(text, '[^\x20\x09-\x0D]+')[1:12], ' ')")}) AS term FROM benchmark)
+    SELECT item_id AS query_id, unnest({_TERMS.format("text")}) AS term FROM benchmark)
   GROUP BY query_id, term),
 idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, n),
 scores AS (
@@ -142,10 +132,7 @@ fused AS (
   SELECT query_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + rank), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS rrf
   FROM ranked FULL JOIN second USING (query_id, chunk_id))
 SELECT query_id, chunk_id, rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused) WHERE rank <= 3""",
-    "passage_evidence": """
-SELECT query_id, chunk_id, rank FROM (
-  SELECT b.item_id AS query_id, d.doc_id AS chunk_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank
-  FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE rank <= 3""",
+    "passage_evidence": "SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "cosine_topk": _COS + """SELECT query_id, chunk_id, rank, cosine FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 5""",
     "chunk_best_match": _COS + "SELECT label, count(*) AS n, round(avg(best), 5) AS mean_best FROM (SELECT query_id, label, max(cosine) AS best FROM pairs GROUP BY 1, 2) GROUP BY label",

@@ -234,8 +234,7 @@ SELECT n_name, rank, o_orderkey, c_name, coalesce(n, 0) AS n_lines FROM named LE
     "label_precision": _LABELLED + """, c AS (SELECT count(*) FILTER (p AND quality = 1) AS tp, count(*) FILTER (p AND quality = 0) AS fp, count(*) FILTER (NOT p AND quality = 1) AS fn, count(*) FILTER (NOT p AND quality = 0) AS tn FROM (SELECT *, n_chars >= 500 AS p FROM r))
 SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c""".replace(") , c", "), c"),
     "stratified_sample": "SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels) WHERE r <= round(n * 0.2::DOUBLE)",
-    "recall_report": retrieval_queries._BM25 + """, found AS (SELECT query_id, chunk_id FROM (
-  SELECT b.item_id AS query_id, d.doc_id AS chunk_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE rank <= 3)
+    "recall_report": retrieval_queries._BM25 + """, found AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
 SELECT count(*) AS n_queries, round(avg((r.rank IS NOT NULL)::INT::DOUBLE), 6) AS recall FROM found f LEFT JOIN ranked r ON r.query_id = f.query_id AND r.chunk_id = f.chunk_id AND r.rank <= 3""",
     "skill_match_cascade": _CASCADE + "SELECT * FROM matched",
     "jd_requirement_verdicts": _CASCADE + """, judged AS (

@@ -72,3 +72,13 @@ def test_every_holder_is_evidence_and_expected(spark, passages):
         best |= set(sorted((k for k in want if k[0] == q), key=lambda k: (-round(want[k], 6), k[1]))[:3])
     report = table_queries.recall_report(spark, folder).first()
     assert (report.n_queries, report.recall) == (len(holders), round(len(holders & best) / len(holders), 6))
+
+
+def test_passages_are_held_at_any_place(spark):
+    from papyrine.operators.retrieval import holders
+
+    docs = {1: "xconcat sat.x", 2: "the of", 3: "Of the end", 4: "a cat sat", 5: None, 6: "", 7: "one two three"}
+    asked = {1: "cat sat.", 2: "the of", 3: "two", 4: "One two", 5: "e tw"}
+    chunks = spark.createDataFrame(list(docs.items()), "chunk_id long, text string")
+    items = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    assert {tuple(r) for r in holders(chunks, items).collect()} == {(q, i) for q, x in asked.items() for i, y in docs.items() if y and x in y}
