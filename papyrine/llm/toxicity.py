@@ -1,10 +1,11 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, and a linear classifier.
 
 Voters are words and beginnings of words that toxic documents of the training sample have far more often than others,
-each with the count from which it speaks, and a few patterns. The sample's own labels are one more voter. The label
-model gives each voter the rates at which it speaks for toxic and for other documents, estimated by expectation
-maximisation, and weighs voters down by their correlation within the classes, so that many spellings of one cue don't
-count as many cues. A logistic classifier on counts and rates of the voters' cues learns the posteriors.
+each with the count from which it speaks, and a few patterns. Labels only choose the voters and give the share of toxic
+documents; they are no voter and no starting point. The label model sees nothing but votes: voters whose votes correlate
+strongly are one voter with many spellings, and of each the rates at which it speaks for toxic and for other documents
+are estimated by expectation maximisation. A logistic classifier on counts and rates of the voters' cues learns the
+posteriors.
 """
 
 from __future__ import annotations
@@ -113,35 +114,62 @@ def votes(counts: np.ndarray, patterns: np.ndarray, least: np.ndarray, pattern_l
     return np.concatenate((counts >= least, patterns > pattern_limits), axis=1).astype(float)
 
 
-def label_model(said: np.ndarray, start: np.ndarray, annotator: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Posterior probabilities of the label 1.
+#: Voters with at least this correlation count as one.
+SAME = 0.8
 
-    said: votes by document and voter. start: first guess of the posteriors. annotator: votes (0 or 1) of the labels.
-    The class-conditional rates of all voters, the annotator among them, are re-estimated until they settle. A voter's
-    evidence is divided by 1 + the sum of its positive correlations with the others within the classes.
+
+@dataclass(frozen=True)
+class LabelModel:
+    """What the votes alone tell. group: the joint voter of each voter; speaks: rates of speaking for other and toxic documents."""
+
+    correlation: np.ndarray
+    group: np.ndarray
+    speaks: np.ndarray
+    posterior: np.ndarray
+
+    def accuracies(self, prior: float) -> np.ndarray:
+        """The share of documents about which each joint voter is right."""
+        return (1 - prior) * (1 - self.speaks[0]) + prior * self.speaks[1]
+
+
+def joint_voters(correlation: np.ndarray, least: float = SAME) -> np.ndarray:
+    """For each voter the number of its group: voters linked by correlations of at least least, directly or over others."""
+    group = np.arange(len(correlation))
+    near = (correlation >= least) | np.eye(len(correlation), dtype=bool)
+    while True:
+        new = np.where(near, group, len(group)).min(axis=1, initial=len(group)) if len(group) else group
+        if (new == group).all():
+            return np.unique(group, return_inverse=True)[1]
+        group = new
+
+
+def label_model(said: np.ndarray, prior: float, steps: int = 100) -> LabelModel:
+    """Rates of the joint voters and posterior probabilities of the label 1, from votes (document by voter) and its share.
+
+    A joint voter speaks where half of its voters do. Documents with the most speaking voters, as many as prior says, are
+    the first guess; rates and posteriors are then re-estimated in turn until they settle. Rates are drawn towards a
+    voter's overall rate by one document's weight.
     """
-    posterior = np.clip(start, 0.02, 0.98)
-    every = np.column_stack((said, annotator))
-    prior = float(posterior.mean())
+    n = len(said)
+    apart = said - said.mean(axis=0)
+    spread = np.sqrt((apart**2).mean(axis=0))
+    correlation = (apart.T @ apart / max(1, n)) / np.maximum(np.outer(spread, spread), 1e-12)
+    group = joint_voters(correlation)
+    member = np.eye(group.max(initial=-1) + 1)[group]
+    votes = (2 * (said @ member) >= member.sum(axis=0)).astype(float)
+    spoken = votes.sum(axis=1)
+    enough = max(1.0, np.sort(spoken)[::-1][min(n - 1, max(0, round(prior * n) - 1))])
+    posterior = np.where(spoken >= enough, 0.9, 0.05)
+    overall = votes.mean(axis=0)
     for _ in range(steps):
-        rates = []
-        for p in (1 - posterior, posterior):
-            rates.append((p @ every + 1) / (p.sum() + 2))
-        inner = every - np.where(posterior[:, None] >= 0.5, rates[1], rates[0])
-        spread = np.sqrt((inner**2).mean(axis=0)) + 1e-9
-        correlation = (inner / spread).T @ (inner / spread) / len(inner)
-        np.fill_diagonal(correlation, 0)
-        correlation[np.abs(correlation) < 3 / np.sqrt(len(inner))] = 0  # what chance alone gives
-        worth = 1 / (1 + np.maximum(0, correlation).sum(axis=0))
-        worth[-1] = 1.0
-        fires, silent = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        z = np.log(prior / (1 - prior)) + every @ (worth * fires) + (1 - every) @ (worth * silent)
+        speaks = np.stack([np.clip((p @ votes + overall) / (p.sum() + 1), 1e-4, 1 - 1e-4) for p in (1 - posterior, posterior)])
+        z = np.log(prior / (1 - prior)) + votes @ np.log(speaks[1] / speaks[0]) + (1 - votes) @ np.log((1 - speaks[1]) / (1 - speaks[0]))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         moved = np.abs(new - posterior).max()
-        posterior, prior = new, float(np.clip(new.mean(), 0.01, 0.99))
+        posterior = new
         if moved < 1e-4:
             break
-    return posterior
+    return LabelModel(correlation, group, speaks, posterior)
 
 
 def _inputs(counts: np.ndarray, words: np.ndarray, patterns: np.ndarray) -> np.ndarray:
@@ -186,7 +214,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: flo
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, held_out, per_class: int = PER_CLASS) -> Model:
-    """A model from labels.toxic of documents for which held_out doesn't hold."""
+    """A model of documents for which held_out doesn't hold; labels.toxic chooses the voters and tells the share of toxic ones."""
     sample = labelled_sample(docs, labels, "toxic", held_out, per_class)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -198,7 +226,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, held_out, per_class: int
     best = best.orderBy((F.col("odds") * F.sqrt(F.col("toxic"))).desc(), "cue").limit(CUES).collect()
     cues = np.sort(np.array([r["cue"] for r in best], np.int64).view(np.uint64))
 
-    # At most 2 * per_class rows (and repeated rows of theirs) of CUES counts come to the driver.
+    # At most 2 * per_class rows of CUES counts come to the driver.
     rows = sample.mapInArrow(lambda b: _sample_batches(b, cues), "doc_id long, y int, words long, counts array<int>, patterns array<double>").toArrow()
     y, words = rows.column("y").to_numpy(), rows.column("words").to_numpy()
     counts = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(len(y), len(cues)).astype(np.int64)
@@ -206,14 +234,15 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, held_out, per_class: int
     order = np.lexsort((counts.sum(axis=1), words, y, rows.column("doc_id").to_numpy()))
     y, words, counts, patterns = y[order], words[order], counts[order], patterns[order]
 
+    # The sample was drawn by label, so its documents weigh by how rarely their label was drawn.
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     least = np.ones(len(cues), np.int64)
     for k in range(len(cues)):  # the count from which a cue tells most
         gains = [((counts[y == 1, k] >= n).mean() - (counts[y == 0, k] >= n).mean(), -n) for n in (1, 2, 3)]
         least[k] = -max(gains)[1]
     said = votes(counts, patterns, least, np.quantile(patterns, 0.98, axis=0))
-    posterior = label_model(said, 0.05 + 0.9 * y, y.astype(float))
-    weights, bias = fit_linear(_inputs(counts, words, patterns), posterior, weight)
+    told = label_model(said, float(np.clip(y.mean(), 0.01, 0.99)))
+    weights, bias = fit_linear(_inputs(counts, words, patterns), told.posterior, weight)
     return Model(cues, weights, bias)
 
 

@@ -10,7 +10,10 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql.functions import lit as F_lit
+
 from papyrine.llm import license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, textbytes, toxicity
+from papyrine.llm.labelled import labelled_sample
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -242,11 +245,65 @@ def test_classifiers_on_held_out_documents(spark):
     assert quality_classifier.classify_quality(docs, none).select("score").distinct().count() == 1
 
 
-def test_label_model_does_not_count_one_cue_twice():
+def votes_of(rng, y, rates):
+    return np.column_stack([rng.random(len(y)) < np.where(y == 1, a, b) for a, b in rates]).astype(float)
+
+
+def test_label_model_finds_accuracies_from_votes_alone():
     rng = np.random.default_rng(0)
-    y = (rng.random(4000) < 0.3).astype(float)
-    one = np.where(rng.random(4000) < 0.7, y, 1 - y)
-    own = [np.where(rng.random(4000) < 0.75, y, 1 - y) for _ in range(4)]
-    said = np.column_stack([one] * 6 + own)
-    posterior = toxicity.label_model(said, 0.2 + 0.6 * y, np.where(rng.random(4000) < 0.8, y, 1 - y))
-    assert ((posterior > 0.5) == y).mean() > 0.9
+    y = (rng.random(6000) < 0.25).astype(int)
+    rates = [(0.7, 0.05), (0.6, 0.02), (0.5, 0.05), (0.65, 0.1), (0.1, 0.1), (0.4, 0.01)]
+    said = votes_of(rng, y, rates)
+    one = said[:, :1]
+    echoed = np.column_stack([one] * 5 + [said[:, 1:]])  # one cue in six spellings
+    told = toxicity.label_model(echoed, y.mean())
+    assert told.group[0] == told.group[4] and len(set(told.group.tolist())) == len(rates)
+    assert np.abs(told.speaks.T[:, ::-1] - np.array(rates)).max() < 0.05
+    assert np.allclose(told.posterior, toxicity.label_model(said, y.mean()).posterior, atol=0.02)
+    wrong = (told.posterior > 0.5) != y
+    assert 0 < wrong.mean() < 0.1  # votes differ from labels, and so do the posteriors
+
+
+def test_label_model_matches_plain_expectation_maximisation():
+    rng = np.random.default_rng(3)
+    y = (rng.random(120) < 0.3).astype(int)
+    said = votes_of(rng, y, [(0.8, 0.1), (0.7, 0.2), (0.6, 0.1), (0.5, 0.05)])
+    prior, rows = 0.3, said.tolist()
+    most = sorted((sum(r) for r in rows), reverse=True)[round(prior * len(rows)) - 1]
+    p = [0.9 if sum(r) >= most else 0.05 for r in rows]
+    overall = [sum(r[k] for r in rows) / len(rows) for k in range(4)]
+    for _ in range(100):
+        def rate(weights, k):
+            return (sum(w * r[k] for w, r in zip(weights, rows, strict=True)) + overall[k]) / (sum(weights) + 1)
+
+        yes, no = ([rate(w, k) for k in range(4)] for w in (p, [1 - x for x in p]))
+        new = []
+        for r in rows:
+            a, b = prior, 1 - prior
+            for k in range(4):
+                a *= yes[k] if r[k] else 1 - yes[k]
+                b *= no[k] if r[k] else 1 - no[k]
+            new.append(a / (a + b))
+        moved, p = max(abs(x - z) for x, z in zip(p, new, strict=True)), new
+        if moved < 1e-4:
+            break
+    assert np.allclose(toxicity.label_model(said, prior).posterior, p, atol=1e-6)
+
+
+def test_classifiers_on_odd_tables(spark):
+    """Repeated rows, very long texts, clashing columns, conflicting labels and empty tables."""
+    docs, labels = labelled(spark, random.Random(6))
+    odd = spark.createDataFrame([(900, "dolt " * 40_000, "en", None, "c", 1), (901, "stone " * 200_000, "en", None, "c", 1), (None, "sun", None, None, None, None)], SCHEMA)
+    renamed = {"lang": "score", "source": "held_out", "n_words": "y", "kept": "predicted"}
+    many = docs.union(docs).union(docs).union(odd).withColumnsRenamed(renamed)
+    both = labels.union(labels.selectExpr("doc_id", "quality", "0 AS toxic")).withColumn("text", F_lit("x"))
+    for classify in (toxicity.classify_toxicity, quality_classifier.classify_quality):
+        rows = classify(many, both).toPandas()
+        assert len(rows) == 3 * 502 + 3 and rows.score.between(0, 1).all()
+        assert rows.groupby("doc_id").score.nunique().max() == 1
+        assert rows[rows.doc_id.isna()].held_out.isna().all()
+        assert classify(docs.filter("false"), labels).count() == 0
+    toxic = toxicity.classify_toxicity(many, both).toPandas().set_index("doc_id").score
+    assert toxic[900] > 0.5 > toxic[901]
+    sample = labelled_sample(docs.union(docs), labels, "toxic", F_lit(False), 50)
+    assert sample.count() == 100 == sample.select("doc_id").distinct().count()
