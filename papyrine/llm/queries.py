@@ -39,7 +39,7 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x, min(y) AS comp
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10).select("query_id", "rank", "vec_id", "score")
 
 
 OP2_SQL = """

@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 
+import numpy as np
+
 from papyrine.llm import chat, html_text, topk
 
 
@@ -28,6 +30,38 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk.top_k(rows.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
     few = topk.top_k(rows.filter("vec_id in (0, 1, 2)"), F.col("vec_id") % 100 == 0).toPandas()
     assert len(few) == 2
+    clashing = rows.withColumns({c: F.lit("z") for c in ("rank", "query_id", "v", "_block", "_asked")})
+    assert topk.top_k(clashing, F.col("vec_id") % 100 == 0).count() == 40
+
+
+def test_lists_are_read_until_outsiders_cannot_qualify():
+    rng = np.random.default_rng(2)
+    x = np.concatenate((np.floor(rng.normal(0, 100, (4000, 6))), np.floor(rng.normal(0, 100, (11, 6))) + 3000))
+    q = np.abs(np.floor(rng.normal(0, 50, (20, 6)))) + 1
+    shares = []
+    for row, (left, score, stop, read) in zip(q, topk.read_lists(q, x, 11), strict=True):
+        exact = x @ row
+        best = np.argsort(-exact, kind="stable")[:11]
+        assert set(best) <= set(left) and np.array_equal(score, exact[left])
+        shares.append((stop, read))
+    assert all(stop == read < 0.126 for stop, read in shares)  # the large ones are first in all lists
+    for a in (rng.normal(0, 1, (500, 8)), np.ones((50, 3)), np.zeros((9, 2)), np.floor(rng.normal(0, 3, (300, 2)))):
+        for row, (left, score, stop, read) in zip(a[:5], topk.read_lists(a[:5], a, 4), strict=True):
+            assert set(np.flatnonzero(a @ row > np.sort(a @ row)[-4] + 1e-9)) <= set(left) and stop <= read <= 1
+            assert np.allclose(score, a[left] @ row)
+
+
+def test_large_components_are_exact(spark):
+    from pyspark.sql import functions as F
+
+    vectors = {0: [3e6, 1.0], 1: [5e5, 0.0], 2: [4e5, 0.0], 3: [4e5, 1 / 1024], 4: [-4e5, 0.5], 5: [3e38, 0.0], 6: [1e15, 1.0]}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = topk.top_k(rows.filter("vec_id < 5"), F.col("vec_id") == 0).collect()
+    own = [math.floor(1024 * c) for c in vectors[0]]
+    exact = {k: sum(a * math.floor(1024 * c) for a, c in zip(own, v, strict=True)) for k, v in vectors.items()}
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == sorted(((k, exact[k]) for k in (1, 2, 3, 4)), key=lambda x: -x[1])
+    far = {r.vec_id: r.score for r in topk.top_k(rows, F.col("vec_id") == 0).collect()}
+    assert far[5] == 2**63 - 1 == far[6] and far[2] == exact[2]
 
 
 def test_chat_examples_can_be_read_back(spark):
