@@ -127,7 +127,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-_NOTICES = ", ".join(f"({i}, '{x}', '{n}')" for i, (x, n) in enumerate(license_scan.TEMPLATES))
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, x, n.replace("'", "''")) for i, (x, n) in enumerate(license_scan.TEMPLATES))
 _GRAMS = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))"
 _SPLIT_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 OP5_SQL = f"""

@@ -205,13 +205,68 @@ def test_plans_place_every_piece_once():
 
 
 def test_licenses_are_found_whole_and_nearly_whole(spark):
-    notice = dict(license_scan.TEMPLATES[::-1])["MIT"]
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     long = "permission is hereby granted, free of charge, to any person obtaining a copy of THIS software and associated documentation files"
     filler = " ".join(f"word{i}" for i in range(300))
     texts = [None, "", "short", f"{filler} {notice} {filler}", f"{filler} {long}", f"{long.replace('software', 'thing')} {filler}", filler, f"{notice}\n{notice}"]
     got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     assert {d for d, x in got if x == "MIT"} >= {3, 4, 7} and not {d for d, _ in got} & {0, 1, 2, 6}
-    assert license_scan.scan_licenses(frame(spark, texts), []).count() == 0
+    none = spark.createDataFrame([], "license string, notice string")
+    assert license_scan.scan_licenses(frame(spark, texts), none).count() == 0
+    assert license_scan.scan_licenses(frame(spark, texts), spark.createDataFrame([(None, None), ("x", "too short")], "license string, notice string")).count() == 0
+    assert license_scan.scan_licenses(frame(spark, texts).filter("false")).count() == 0
+
+
+def license_words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower()) if w]
+
+
+def licenses_by_brute_force(texts, templates):
+    """(row, licence): windows that hold 80% of a template, and the most shingles of one; every window is looked at."""
+    out = {}
+    for row, text in enumerate(texts):
+        w = license_words(text)
+        h = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        found = {}
+        for name, notice in templates:
+            v = license_words(notice)
+            known = {tuple(v[i : i + 5]) for i in range(len(v) - 4)}
+            t, step = len(known), -(-len(known) // 4)
+            for start in range(0, len(h), step) if t else ():
+                common = len(known & set(h[start : start + t + step]))
+                if 100 * common >= 80 * t:
+                    found[name, t, start] = max(found.get((name, t, start), 0), common)
+        for (name, _, _), common in found.items():
+            n, most = out.get((row, name), (0, 0))
+            out[row, name] = n + 1, max(most, common)
+    return out
+
+
+@pytest.mark.parametrize("at_once", [2_000, 0])
+def test_bands_recall_all_that_brute_force_finds(spark, monkeypatch, at_once):
+    """Passages whole, with words changed, at the edge of 80%, repeated rows, long texts, odd and clashing columns."""
+    monkeypatch.setattr(license_scan, "TEMPLATES_AT_ONCE", at_once)
+    monkeypatch.setattr(license_scan, "PIECE", 64)
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    templates = [(f"L{i % 7}", " ".join(rng.choice(vocabulary) for _ in range(rng.choice([5, 6, 9, 14, 30, 80])))) for i in range(15)]
+    texts = [None, "", " ... "]
+    for _ in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([3, 40, 400]))]
+        for _ in range(rng.choice([0, 1, 2, 5])):
+            passage = license_words(rng.choice(templates)[1])
+            passage = edited(rng, passage, rng.choice([0, 0, 1, 1, 2, 3]), vocabulary) if len(passage) > 6 else passage
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = passage
+        texts.append(" ".join(words).upper() if rng.random() < 0.2 else ", ".join(words))
+    texts.append(" ".join(rng.choice(templates)[1] for _ in range(200)))
+    docs = frame(spark, texts).withColumnsRenamed({"lang": "license", "source": "shingle", "n_words": "h", "kept": "at"})
+    table = spark.createDataFrame(templates, "license string, notice string")
+    wanted = licenses_by_brute_force(texts, templates)
+    got = {(r.doc_id, r.license): (r.n_windows, r.n_common) for r in license_scan.scan_licenses(docs, table).collect()}
+    assert len(wanted) > 150 and got == wanted  # a recall of 1; 0.9 would do
+    twice = {(r.doc_id, r.license): r.n_windows for r in license_scan.scan_licenses(docs.union(docs), table).collect()}
+    assert twice == {k: 2 * n for k, (n, _) in wanted.items()}
 
 
 def labelled(spark, rng):
