@@ -8,10 +8,10 @@ running total would exceed the budget.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.blocks import running_sums
+from papyrine.llm.blocks import ranged_sums, running_sums
 from papyrine.storage import materialize
 
 #: Passes over a source at most.
@@ -29,27 +29,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passe
     times the source's size, and the others share the excess by weight. Level k gives the first k sources by size per
     weight their limit; the first level whose share is within the next source's limit holds. Empty tables give no rows.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1)
-    planned = sizes.withColumn("weight", weight.cast("long")).withColumn("limit", passes * F.col("source_size"))
-    by_ratio = Window.orderBy((F.col("limit") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    planned = planned.withColumns({
-        "level": F.row_number().over(by_ratio),
-        "left": F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), zero),
-        "shares": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), zero),
-    })
+    total = sizes.agg(F.sum("source_size")).first()[0]
+    named = ranged_sums(sizes.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], {"nth": "one"}, "mixing-sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    planned = named.withColumn("weight", weight.cast("long")).withColumn("limit", passes * F.col("source_size"))
+    by_ratio = [(F.col("limit") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    planned = ranged_sums(planned.drop("nth"), by_ratio, {"level": "one", "limits": "limit", "upto": "weight"}, "mixing-levels")
+    every = planned.agg(F.sum("weight")).first()[0]
+    left = F.lit(total).cast("long") - F.col("limits") + F.col("limit")
+    planned = planned.withColumns({"left": left, "shares": F.lit(every).cast("long") - F.col("upto") + F.col("weight")})
     holds = F.col("left").cast("decimal(19,0)") * F.col("weight").cast("decimal(19,0)") <= F.col("limit").cast("decimal(19,0)") * F.col("shares").cast("decimal(19,0)")
-    planned = planned.withColumn("cut", F.min(F.when(holds, F.struct("level", "left", "shares"))).over(every))
-    shared = (F.col("weight") * F.col("cut.left")).cast("double") / F.col("cut.shares").cast("double")
-    return planned.select("source", "source_size", F.when(F.col("level") < F.col("cut.level"), F.col("limit").cast("double")).otherwise(shared).alias("target"))
+    cut = planned.filter(holds).agg(F.min(F.struct("level", "left", "shares")).alias("cut")).select("cut.*").first()
+    level, left, shares = cut if cut and cut[0] is not None else (1, 0, 1)
+    shared = (F.col("weight") * F.lit(left)).cast("double") / F.lit(shares).cast("double")
+    return planned.select("source", "source_size", F.when(F.col("level") < level, F.col("limit").cast("double")).otherwise(shared).alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with _size: the number of words of text, 0 for null."""
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+def _size(text) -> Column:
+    """The number of words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = PASSES) -> DataFrame:
@@ -60,8 +58,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: i
     alike, so reruns give the same rows. Other columns are ignored.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    chosen = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source")))
-    rows = chosen.select("doc_id", "source", F.col("_size").alias("size"), F.concat(F.lit("."), "source").alias("_named"), key.alias("_key"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size("text").alias("size"))
+    rows = chosen.select("doc_id", "source", "size", F.concat(F.lit("."), "source").alias("_named"), key.alias("_key"))
     rows = materialize(rows.withColumn("_named", F.coalesce("_named", F.lit(""))).withColumn("_block", F.substring("_key", 1, 3)), "mixing-sizes")
     targets = source_targets(rows.groupBy("_named", "source").agg(F.sum("size").alias("source_size")).drop("_named"), weights, passes)
     targets = materialize(targets.withColumn("_named", F.coalesce(F.concat(F.lit("."), "source"), F.lit(""))).drop("source"), "mixing-targets")
@@ -77,8 +75,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: i
     totals = totals.select("_step", F.sum("sent").over(Window.orderBy("_step")).alias("upto"), "sent")
     cut = totals.filter(F.col("upto") > budget).agg(F.min(F.struct("_step", F.col("upto") - F.col("sent")))).first()[0]
     step, sent = cut or (2 * STEPS + 1, 0)
-    inside = Window.orderBy("_finish", "_named", "_key", "doc_id", "size", "_pass")
-    last = passed.filter(F.col("_step") == step).withColumn("_sent", sent + F.sum("size").over(inside)).filter(F.col("_sent") <= budget)
+    last = ranged_sums(passed.filter(F.col("_step") == step), ["_finish", "_named", "_key", "doc_id", "size", "_pass"], {"_within": "size"}, "mixing-last")
+    last = last.filter(sent + F.col("_within") <= budget)
     last = last.groupBy("_named", "_upto").agg(F.count("*").alias("_last"))  # _upto differs among a source's rows of any size above 0
     earlier = sum((F.least(F.floor((k * F.col("source_size") + F.col("_upto")).cast("double") / F.col("target") * STEPS), F.lit(2 * STEPS)) < step).cast("long") for k in range(passes))
     out = queued.join(last, ["_named", "_upto"], "left").withColumn("times", earlier + F.coalesce("_last", F.lit(0)))
@@ -87,21 +85,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: i
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = PASSES) -> DataFrame:
-    """The rows of docs, with all columns, each as often as the mix has it."""
+    """The rows of docs, with all columns whatever their names, each as often as the mix has it.
+
+    Of rows that are alike in doc_id, source and size, those taken more often come first by the text's hash.
+    """
     keys = ["doc_id", "source", "size"]
     mixed = materialize(mix_sources(docs, weights, passes).select(*keys, "times"), "mixing-times")
-    chosen = sized(docs).withColumnRenamed("_size", "size") if "size" not in docs.columns else sized(docs.withColumnRenamed("size", "_own_size")).withColumnRenamed("_size", "size")
-    nth = Window.partitionBy(*keys)
+    own = [F.col("doc_id").cast("long").alias("_d"), F.col("source").cast("string").alias("_s"), _size("text").alias("_z"), F.xxhash64("text").alias("_h")]
+    chosen = docs.select(F.struct("*").alias("row"), *own)
     if mixed.groupBy(*keys).count().filter("count > 1").isEmpty():
-        mixed, chosen = mixed.withColumn("_nth", F.lit(1)), chosen.withColumn("_nth", F.lit(1))
-    else:  # rows that are alike in the keys: the n-th by text gets the n-th number of times
-        mixed = mixed.withColumn("_nth", F.row_number().over(nth.orderBy(F.col("times").desc())))
-        chosen = chosen.withColumn("_nth", F.row_number().over(nth.orderBy(F.xxhash64("text"))))
-    taken = mixed.filter("times > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_nth").alias("_n"), "times")
+        mixed, chosen = mixed.withColumn("nth", F.lit(1)), chosen.withColumn("_n", F.lit(1))
+    else:
+        mixed = mixed.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("times").desc())))
+        chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy("_h")))
+    taken = mixed.filter("times > 0")
     if mixed.count() <= BROADCAST_ROWS:
         taken = F.broadcast(taken)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_nth") == F.col("_n"))
-    out = chosen.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    if "_own_size" in out.columns:
-        out = out.drop("size").withColumnRenamed("_own_size", "size")
-    return out.select(docs.columns)
+    same = F.col("_d").eqNullSafe(F.col("doc_id")) & F.col("_s").eqNullSafe(F.col("source")) & (F.col("_z") == F.col("size")) & (F.col("_n") == F.col("nth"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return chosen.join(taken, same).select("row", copies.alias("copy")).select("row.*")

@@ -60,12 +60,14 @@ def text_counts(text: Column) -> list[dict[str, Column]]:
 _KEPT = ["_q_n_words", "_q_chars", "_q_n_lines", "_q_symbols", "_q_dup_lines", "_q_repeats"]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with the counts (_q_ columns), ratios in thousandths, group keys and _q_base."""
-    out = docs
-    for columns in text_counts(F.col("text")):
-        out = out.withColumns(columns)
-    out = out.select(*docs.columns, *_KEPT)
+def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of docs' columns, or those in keep), the counts (_q_ columns), ratios in thousandths, group keys and _q_base."""
+    named = {k: F.coalesce(F.concat(F.lit("."), F.col(k).cast("string")), F.lit("")).alias(f"_q_{k}") for k in ("lang", "source")}
+    columns = [F.col(f"`{c}`") for c in docs.columns if keep is None or c in keep]
+    out = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("_q_raw"), *named.values())
+    for more in text_counts(F.col("_q_raw")):
+        out = out.withColumns(more)
+    out = out.select("row", "_q_lang", "_q_source", *_KEPT)
 
     def ratio(part: str, whole: str) -> Column:
         return F.floor(1000 * F.col(part) / F.greatest(F.col(whole), F.lit(1))).cast("long")
@@ -75,8 +77,6 @@ def measured(docs: DataFrame) -> DataFrame:
         "_q_r_dup_lines": ratio("_q_dup_lines", "_q_n_lines"),
         "_q_r_repeats": ratio("_q_repeats", "_q_n_words"),
         "_q_r_word_length": ratio("_q_chars", "_q_n_words"),
-        "_q_lang": F.coalesce(F.concat(F.lit("."), F.col("lang").cast("string")), F.lit("")),
-        "_q_source": F.coalesce(F.concat(F.lit("."), F.col("source").cast("string")), F.lit("")),
         "_q_base": (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_repeats") > 50 * F.col("_q_n_words")),
     })
 
@@ -121,15 +121,14 @@ def fences(counts: DataFrame) -> DataFrame:
     return rows.groupBy("_q_lang", "_q_source").agg(*sides)
 
 
-def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in keep) with the counts as _q_ columns, _q_base (a fixed rule failed) and _q_kept.
+def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row (docs' columns, or those in keep, as a struct), the counts, _q_base (a fixed rule failed) and _q_kept.
 
-    docs needs text, lang and source; its columns are kept, and must not begin with _q_. Null texts have no words and
-    fail; null languages and sources are groups of their own. Every row is judged, so repeated rows get the same
-    verdict. An empty table gives an empty result.
+    docs needs text, lang and source; other columns may have any names. Null texts have no words and fail; null languages
+    and sources are groups of their own. Every row is judged, so repeated rows get the same verdict. An empty table gives
+    an empty result. Texts may have up to 2**26 words.
     """
-    rows = measured(docs)
-    rows = materialize(rows.drop(*(c for c in docs.columns if keep is not None and c not in keep)), "quality-rows")
+    rows = materialize(measured(docs, keep), "quality-rows")
     limits = materialize(fences(sketches(rows)), "quality-fences")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
@@ -138,4 +137,9 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         kept = kept & F.coalesce(F.col(f"_q_r_{k}") <= F.col(f"_q_high_{k}"), F.lit(False))
         if below is not None:
             kept = kept & F.coalesce(F.col(f"_q_r_{k}") >= F.col(f"_q_low_{k}"), F.lit(False))
-    return rows.join(limits, ["_q_lang", "_q_source"], "left").select(*rows.columns, kept.alias("_q_kept"))
+    return rows.join(limits, ["_q_lang", "_q_source"], "left").select("row", *_KEPT, "_q_base", kept.alias("_q_kept"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that the rules keep."""
+    return judged(docs).filter("_q_kept").select("row.*")

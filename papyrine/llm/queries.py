@@ -57,9 +57,9 @@ SELECT query_id, rank, vec_id, score FROM (
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     # The texts aren't needed again, so only what the rules look at is written.
-    rows = quality_rules.quality_rules(docs, keep=["doc_id"])
+    rows = quality_rules.judged(docs, keep=["doc_id"])
     names = {"_q_n_words": "n_words", "_q_chars": "word_chars", "_q_symbols": "n_symbols", "_q_dup_lines": "n_dup_lines", "_q_repeats": "n_repeat_words", "_q_base": "base_failed", "_q_kept": "kept"}
-    return rows.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()))
+    return rows.select("row.doc_id", *(F.col(k).alias(v) for k, v in names.items()))
 
 
 OP3_SQL = r"""
