@@ -29,7 +29,8 @@ CLASSES = 48
 DEPTH = 5
 #: Share of the fitted repeats that is kept; the other pieces are left for gaps. All of them would leave too few small pieces.
 KEPT_SHARE = 0.5
-BLOCKS = 1024
+#: Pieces of one length that are put in order together, about.
+BLOCK_PIECES = 20_000
 #: Words, and parts of words, whose ids a Python worker remembers.
 REMEMBERED, REMEMBERED_PARTS = 600_000, 50_000
 
@@ -50,7 +51,7 @@ class WordIds:
     """Token ids by word, for tokenizers that drop white space and never join words across it.
 
     Words of printable ASCII and Latin-1 letters are split as the tokenizer's pattern does and sent to its BPE model
-    directly; all others go through the whole tokenizer.
+    directly; all others go through the whole tokenizer. Remembered words are told apart by a 64-bit hash.
     """
 
     def __init__(self, path: str):
@@ -276,9 +277,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     # At most capacity rows come to the driver, whatever the input.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan_packs(histogram, capacity)
-    # The number of runs is bounded by the capacity and the patterns, not by the documents: a broadcast is safe.
-    plan = spark.createDataFrame(runs, "length long, first long, count long, sequence long, offset long")
-    ranked = pieces.withColumns({"_block": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BLOCKS)), "_one": F.lit(1)})
-    ranked = running_sums(ranked, ["length"], "_block", ["doc_id", "piece", "ids_crc32"], "_one", "_rank")
-    placed = ranked.withColumn("_rank", F.col("_rank") - 1).join(F.broadcast(plan), "length").filter("_rank >= first and _rank < first + count")
+    # The number of runs is bounded by the capacity and the patterns, not by the documents: a broadcast is safe. Each
+    # length's ranks are cut into buckets, about as many as it has runs, and a piece looks at the runs of its bucket only.
+    of_length: dict[int, list[tuple[int, int, int, int]]] = {}
+    for length, *run in runs:
+        of_length.setdefault(length, []).append(tuple(run))
+    shapes, placing = [], []
+    for length, own in of_length.items():
+        wide = -(-histogram[length] // len(own))
+        shapes.append((length, -(-histogram[length] // BLOCK_PIECES), wide))
+        placing += [(length, bucket, *run) for run in own for bucket in range(run[0] // wide, (run[0] + run[1] - 1) // wide + 1)]
+    shape = F.broadcast(spark.createDataFrame(shapes, "length long, blocks long, wide long"))
+    plan = F.broadcast(spark.createDataFrame(placing, "length long, bucket long, first long, count long, sequence long, offset long"))
+    ranked = pieces.join(shape, "length").withColumns({"_block": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("blocks")), "_one": F.lit(1)})
+    ranked = running_sums(ranked, ["length"], "_block", ["doc_id", "piece", "ids_crc32"], "_one", "_rank").withColumn("_rank", F.col("_rank") - 1)
+    placed = ranked.withColumn("bucket", F.floor(F.col("_rank") / F.col("wide"))).join(plan, ["length", "bucket"]).filter("_rank >= first and _rank < first + count")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("_rank") - F.col("first")).alias("sequence_id"), "offset")
