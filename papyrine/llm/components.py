@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from papyrine.storage import materialize
 
 
+#: A node with more neighbours than MANY is a hub.
+MANY, SALTS = 1_000, 64
+#: Up to this many hubs are broadcast (16 MB); there is one at most for each MANY links.
+BROADCAST_HUBS = 1_000_000
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
@@ -15,8 +21,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     sides = _both_ways(edges)
-    least = sides.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"))
-    joined = sides.filter("dst > src").join(least, "src")
+    least = sides.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"), F.count("*").alias("n"))
+    # A hub's neighbours are spread over as many tasks as SALTS, each with the hub's least.
+    hubs = F.when(F.col("n") > MANY, SALTS).otherwise(1)
+    copies = least.select("src", "least", F.explode(F.sequence(F.lit(0), hubs - 1)).alias("salt"))
+    degree = least.filter(F.col("n") > MANY).select("src", F.lit(SALTS).alias("salts"))
+    up = sides.filter("dst > src").join(F.broadcast(degree) if degree.count() <= BROADCAST_HUBS else degree, "src", "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int"))
+    joined = up.join(copies, ["src", "salt"])
     return joined.select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct()
 
 

@@ -30,6 +30,12 @@ from papyrine.storage import materialize
 
 #: Sets in a group with a common signature of which all pairs are compared at once.
 HOT = 24
+#: One set in so many is looked at to find signatures that very many sets share; sets of these are spread over SALTS tasks.
+SAMPLED, SALTS = 64, 64
+#: Very frequent signatures that are known to the tasks, at most; the less frequent ones meet in one task each.
+SPREAD = 100_000
+#: Sets with a common rare shingle that are compared in one cell.
+CELL = 256
 #: Least and next sizes of bands have about this ratio.
 BAND_RATIO = 1.4
 #: Cost of a segment with at most one element, in signatures.
@@ -149,9 +155,21 @@ def _signatures(h: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, np.
     return np.concatenate(sigs), kinds, empty
 
 
-def _signature_batches(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows of sig, cls, n, z and tag (4 * band + kind, negative if not the set's own band), once per set and task."""
+def _signature_batches(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of sig, cls, n, z, tag (4 * band + kind, negative if not the set's own band) and salt, once per set and task.
+
+    salt is -1, but for frequent signatures (sorted) a number that spreads their sets.
+    """
     bands, seen = _bands(num, den), set()
+
+    def table(parts: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        salt = np.full(len(columns[0]), -1)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, columns[0]), len(frequent) - 1)
+            salt = np.where(frequent[at] == columns[0], columns[1] % SALTS, -1)
+        return _columns([*columns, salt], "sig cls n z tag salt")
+
     for batch in batches:
         out: list[tuple] = []
         size = 0
@@ -169,15 +187,14 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], width: int, num: int,
                 out.append((sigs.view(np.int64), np.full(len(sigs), cls), np.full(len(sigs), len(h)), np.full(len(sigs), empty), -tags if k else tags))
                 size += len(sigs)
             if size > 50_000:
-                yield _columns(out, "sig cls n z tag")
+                yield table(out)
                 out, size = [], 0
         if out:
-            yield _columns(out, "sig cls n z tag")
+            yield table(out)
 
 
-def _columns(parts: list[tuple], names: str) -> pa.RecordBatch:
-    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    kinds = {"n": np.int32, "z": np.int32, "tag": np.int16, "band": np.int16, "units": np.int16}
+def _columns(columns: list[np.ndarray], names: str) -> pa.RecordBatch:
+    kinds = {"n": np.int32, "z": np.int32, "tag": np.int16, "salt": np.int16}
     return pa.RecordBatch.from_arrays([pa.array(c.astype(kinds.get(k, np.int64))) for k, c in zip(names.split(), columns, strict=True)], names.split())
 
 
@@ -185,7 +202,7 @@ _PAIR_NAMES = "hot sig a b na nb za zb band units"
 
 
 def _group_batches(batches: Iterator[pa.RecordBatch], num: int, den: int, hot: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of small groups and members of hot groups, from rows sorted by sig and cls.
+    """Pairs of small groups and members of hot groups, from rows sorted by sig and cls. Groups with a salt are hot.
 
     Only the last group of a batch is carried over, and of a hot group only its first rows, so memory is bounded.
     """
@@ -193,7 +210,7 @@ def _group_batches(batches: Iterator[pa.RecordBatch], num: int, den: int, hot: i
     hot_sig: int | None = None  # the group that is known to be hot and goes on
 
     def members(cols: list[np.ndarray], rows: np.ndarray) -> tuple:
-        sig, cls, n, z, tag = (c[rows] for c in cols)
+        sig, cls, n, z, tag = (c[rows] for c in cols[:5])
         kind = np.abs(tag) % 4
         one = np.zeros(len(sig), np.int64)
         return one + 1, sig, cls, one, n, one, z, one, np.abs(tag) // 4 - 1, np.where(kind == _NEAR, 2, 1)
@@ -209,7 +226,7 @@ def _group_batches(batches: Iterator[pa.RecordBatch], num: int, den: int, hot: i
         at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(at, append=len(sig))
         rest, out = None, []
-        is_hot = size > hot
+        is_hot = (size > hot) | (cols[5][at] >= 0)
         if hot_sig is not None and sig[0] == hot_sig:
             is_hot[0] = True
         last = at[-1]
@@ -282,8 +299,14 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     of_docs = materialize(shingle_classes(text, width), "ngram-classes")
     classes = materialize(of_docs.filter("n > 0").groupBy("cls", "cls2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).filter("rep is not null"), "ngram-reps")
 
-    rows = text.select("text").filter(F.col("text").isNotNull()).mapInArrow(lambda b: _signature_batches(b, width, num, den), "sig long, cls long, n int, z int, tag short")
-    found = rows.repartition("sig").sortWithinPartitions("sig", "cls", "tag").mapInArrow(lambda b: _group_batches(b, num, den, HOT), "hot short, sig long, a long, b long, na int, nb int, za int, zb int, band short, units short")
+    texts = text.filter(F.col("text").isNotNull())
+    signed, nothing = "sig long, cls long, n int, z int, tag short, salt short", np.zeros(0, np.int64)
+    # A signature that more than HOT sets of the sample share is shared by more than HOT sets; so its sets need not meet.
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(lambda b: _signature_batches(b, width, num, den, nothing), signed)
+    many = sample.groupBy("sig", "cls").count().groupBy("sig").agg(F.count("*").alias("sets")).filter(F.col("sets") > HOT)
+    frequent = np.sort(np.array([r["sig"] for r in many.orderBy(F.col("sets").desc(), "sig").limit(SPREAD).collect()], np.int64))
+    rows = texts.select("text").mapInArrow(lambda b: _signature_batches(b, width, num, den, frequent), signed)
+    found = rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "cls", "tag").mapInArrow(lambda b: _group_batches(b, num, den, HOT), "hot short, sig long, a long, b long, na int, nb int, za int, zb int, band short, units short")
     found = materialize(found, "ngram-found")
 
     hot = found.filter("hot = 1").select("sig", F.col("a").alias("cls"), F.col("na").alias("n"), F.col("za").alias("z"), "band", "units")
@@ -300,7 +323,9 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     slack = plans - 1 - _differing(F.col("n") + F.least(tops, F.floor(F.col("n") * den / num)), num, den)
     heavy = materialize(hot.join(skipped, ["cls", "band"]).filter((F.col("z") < 0) | (F.col("z") + F.col("zhot") > slack)).select("sig", "cls", "n", "band", "units", "zhot"), "ngram-hot")
     pivots = heavy.groupBy("sig").agg(F.max_by(F.struct("cls", "n"), F.struct("zhot", "cls")).alias("p"))
-    star = heavy.join(pivots, "sig").filter((F.col("cls") != F.col("p.cls")) & (num * F.greatest("n", "p.n") <= den * F.least("n", "p.n")))
+    salted = heavy.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
+    spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    star = salted.join(spread, ["sig", "salt"]).filter((F.col("cls") != F.col("p.cls")) & (num * F.greatest("n", "p.n") <= den * F.least("n", "p.n")))
     star = star.groupBy("cls", "p", "n", "band").agg(F.sum("units").alias("units"))
     star = star.filter(2 * F.col("units") >= plans - _differing(F.col("n") + F.col("p.n"), num, den))
     star = star.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"))
@@ -322,7 +347,9 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     # Those that share a skipped signature with another component are joined on their rarest shingles.
     heavy = heavy.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
     mixed = heavy.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
-    heavy = materialize(heavy.join(mixed, "sig", "left_semi").select("cls", "rep", "n", "label").distinct(), "ngram-mixed")
+    spread = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = heavy.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
+    heavy = materialize(salted.join(spread, ["sig", "salt"], "left_semi").select("cls", "rep", "n", "label").distinct(), "ngram-mixed")
     if not heavy.isEmpty():
         more = _verify(materialize(_named(_rarest_pairs(sets, heavy, num, den), reps), "ngram-more"), sets, num, den)
         labels = materialize(connected_components(verified.union(more)), "ngram-labels2")
@@ -348,26 +375,31 @@ def _rarest_pairs(sets: DataFrame, heavy: DataFrame, num: int, den: int) -> Data
     ranked = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("at", F.row_number().over(order) - 1)
     ranked = ranked.filter((F.col("at") <= F.col("n") - F.ceil(num * F.col("n") / den)) & (F.col("df") > 1)).select("token", "cls", "n", "label", "at")
     ranked = materialize(ranked, "ngram-rarest")
-    mixed = ranked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    ranked = ranked.join(mixed, "token", "left_semi")
-    other = ranked.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "label", "at")))
+    mixed = ranked.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    # The sets of a token fall into blocks, and each pair of blocks is a cell of its own, at most CELL by CELL or so.
+    ranked = ranked.join(mixed.select("token", F.ceil(F.col("m") / CELL).cast("long").alias("blocks")), "token")
+    own, every = F.pmod(F.xxhash64("cls"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = ranked.select("token", "cls", "n", "label", "at", own.alias("i"), every.alias("j"))
+    other = ranked.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "label", "at")), own.alias("j"), every.alias("i"))
     common = F.ceil(num * (F.col("n") + F.col("n2")) / (num + den))
     near = (F.col("label") < F.col("label2")) & (F.col("at") <= F.col("n") - common) & (F.col("at2") <= F.col("n2") - common)
-    return ranked.join(other, "token").filter(near).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+    return left.join(other, ["token", "i", "j"]).filter(near).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is the least of their component.
+    """The rows of docs, with all columns whatever their names, whose doc_id is the least of their component.
 
-    Of rows that share such a doc_id the first by hash of text stays. Rows without a doc_id can't be named and stay.
+    Of rows that share such a doc_id the first by hash of text, then by their columns, stays. Rows without a doc_id can't
+    be named and stay.
     """
     found = ngram_components(docs, width, num, den)
     stay = materialize(found.filter("doc_id is not null and component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "ngram-stay")
     ids = F.broadcast(stay.select("doc_id")) if stay.count() <= BROADCAST_IDS else stay.select("doc_id")
     kept = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
     if not stay.filter("rows > 1").isEmpty():
-        again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith("map")))
-        kept = kept.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(docs.columns)
+        order = F.struct(F.xxhash64("text"), *(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+        packed = kept.select("doc_id", order.alias("by"), F.struct("*").alias("row"))
+        kept = packed.groupBy("doc_id").agg(F.min_by("row", "by").alias("row")).select("row.*")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -392,8 +424,22 @@ def _band_columns(bands: Bands, found: DataFrame):
     return F.element_at(F.array(*(F.lit(m + doubled) for _, _, m, doubled in values)), at), F.element_at(F.array(*(F.lit(high) for _, high, _, _ in values)), at)
 
 
+#: Pairs of one class from which on they are spread over SALTS tasks, each with the class's set.
+MANY_PAIRS = 1_000
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+    """pairs with h_ and the name of end: the set of the class in that column."""
+    many = pairs.groupBy(F.col(end).alias("cls")).agg(F.count("*").alias("m")).filter(F.col("m") > MANY_PAIRS).select("cls", F.lit(SALTS).alias("salts"))
+    copies = sets.join(many, "cls", "left").select(F.col("cls").alias(end), F.col("h").alias(f"h_{end}"), F.coalesce("salts", F.lit(1)).alias("salts"))
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salt = F.pmod(F.xxhash64("src", "dst"), F.coalesce("salts", F.lit(1))).cast("int")
+    salted = pairs.join(F.broadcast(many.withColumnRenamed("cls", end)) if many.count() <= BROADCAST_IDS else many.withColumnRenamed("cls", end), end, "left").withColumn("salt", salt).drop("salts")
+    return salted.join(copies, [end, "salt"]).drop("salt")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """src, dst of the pairs a, b of classes whose whole sets are similar enough."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("cls").alias("b"), F.col("h").alias("hb")), "b")
-    counted = both.select("src", "dst", F.size(F.array_intersect("ha", "hb")).alias("common"), (F.size("ha") + F.size("hb")).alias("total"))
+    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
+    counted = both.select("src", "dst", F.size(F.array_intersect("h_a", "h_b")).alias("common"), (F.size("h_a") + F.size("h_b")).alias("total"))
     return counted.filter(den * F.col("common") >= num * (F.col("total") - F.col("common"))).select("src", "dst")

@@ -12,7 +12,7 @@ import pytest
 
 from pyspark.sql.functions import lit as F_lit
 
-from papyrine.llm import license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, textbytes, toxicity
+from papyrine.llm import components, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, textbytes, toxicity
 from papyrine.llm.labelled import labelled_sample
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
@@ -30,7 +30,7 @@ def shingles(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def components(sets):
+def linked(sets):
     parent = list(range(len(sets)))
 
     def find(x):
@@ -68,6 +68,10 @@ def edited(rng, words, n, vocabulary):
 @pytest.mark.parametrize(("seed", "hot"), [(1, 24), (2, 3)])
 def test_ngram_components_match_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(ngram_join, "HOT", hot)
+    if seed == 2:  # as if there were very many sets, so that all that is spread over tasks is spread here
+        for module, limits in ((ngram_join, {"SAMPLED": 1, "MANY_PAIRS": 3, "CELL": 4}), (components, {"MANY": 2})):
+            for name, value in limits.items():
+                monkeypatch.setattr(module, name, value)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(1500)]
     docs = []
@@ -82,7 +86,7 @@ def test_ngram_components_match_brute_force(spark, monkeypatch, seed, hot):
     sets = [shingles(x) for x in texts]
     got = ngram_join.ngram_components(frame(spark, texts)).toPandas().sort_values("doc_id")
     assert got.n_shingles.tolist() == [len(x) for x in sets]
-    assert got.component_id.tolist() == components(sets)
+    assert got.component_id.tolist() == linked(sets)
 
 
 def test_ngram_links_at_the_threshold(spark, monkeypatch):
@@ -94,7 +98,7 @@ def test_ngram_links_at_the_threshold(spark, monkeypatch):
         words = [f"v{rng.getrandbits(48)}" for _ in range(n + 4 + n // 4)]
         texts += [" ".join(words[: n + 4]), " ".join(words)]
     got = ngram_join.ngram_components(frame(spark, texts)).toPandas().sort_values("doc_id")
-    assert got.component_id.tolist() == components([shingles(x) for x in texts]) == [i - i % 2 for i in range(len(texts))]
+    assert got.component_id.tolist() == linked([shingles(x) for x in texts]) == [i - i % 2 for i in range(len(texts))]
 
 
 def test_ngram_components_of_nothing(spark):
@@ -126,28 +130,95 @@ def counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def judged(docs):
+    return quality_rules.judged(docs).select("row.*", *quality_rules._KEPT, "_q_kept").toPandas().set_index("doc_id").sort_index()
+
+
 def test_quality_counts_and_verdicts(spark):
     rng = random.Random(0)
     good = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho".split()) + str(rng.randrange(99)) for _ in range(120)) for _ in range(60)]
     odd = [None, "", "a b a b a b a", "x " * 30, "line one here\nline one here\n\n \nline", "#" * 50 + " " + good[0].replace(" ", "## "), "a b c " * 40, "é ü\tß\n" * 3]
     texts = good + odd
-    rows = quality_rules.quality_rules(frame(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    rows = judged(frame(spark, texts))
     got = rows[["_q_n_words", "_q_chars", "_q_symbols", "_q_dup_lines", "_q_repeats"]].values.tolist()
     assert got == [list(counts(x)) for x in texts]
     kept = rows["_q_kept"].tolist()
     assert all(kept[:60])
     assert not any(kept[60:])
-    assert quality_rules.quality_rules(frame(spark, ["x"]).filter("false")).count() == 0
+    assert quality_rules.judged(frame(spark, ["x"]).filter("false")).count() == 0
 
 
 def test_lines_keep_their_outer_white_space(spark):
     texts = [" a b\na b", "a b\na b ", "x\r\nx\r\n", "\tx\nx\n\tx", "\n\nx\ny\nx\n ", " \n ", "a b\na b"]
-    rows = quality_rules.quality_rules(frame(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    rows = judged(frame(spark, texts))
     got = rows[["_q_n_words", "_q_chars", "_q_symbols", "_q_dup_lines", "_q_repeats"]].values.tolist()
     assert got == [list(counts(x)) for x in texts]
     assert rows["_q_dup_lines"].tolist() == [0, 0, 1, 1, 1, 0, 1]
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as those that the stages add, repeated rows, nulls and an empty table."""
+    words = [" ".join(f"w{(i * 7 + j * j) % 997}" for j in range(60 + i % 3)) for i in range(40)]
+    names = ["times", "_size", "size", "_d", "_n", "_copy", "_again", "_q_words", "_q_kept", "_row", "row", "cls", "rep", "copy", "one", "nth"]
+    extra = {c: F_lit(k).alias(c) for k, c in enumerate(names)}
+    docs = frame(spark, [*words, None, ""]).drop("n_words", "kept").withColumns(extra)
+    twice = docs.union(docs)
+    good = quality_rules.keep_good(twice)
+    assert good.columns == docs.columns and good.count() == 80
+    one = ngram_join.one_of_each(twice)
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == list(range(42))
+    times = {r.doc_id: r.times for r in mixing.mix_sources(docs).collect()}
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and collections.Counter(r.doc_id for r in mixed.collect()) == {k: n for k, n in times.items() if n}
+    assert {tuple(r[c] for c in names) for r in mixed.collect()} == {tuple(range(len(names)))}
+    assert mixing.mixed_documents(twice).count() == sum(r.times for r in mixing.mix_sources(twice).collect())
+    for stage in (quality_rules.keep_good, ngram_join.one_of_each, mixing.mixed_documents):
+        assert stage(docs.filter("false")).count() == 0
+
+
+def test_mix_takes_as_plain_queueing_does(spark):
+    """Many sources, some of one document, sizes and finish times that tie, repeated ids."""
+    import hashlib
+
+    rng = random.Random(2)
+    rows = [(i % 90, " ".join("w" * rng.choice([1, 1, 2, 5])), rng.choice([f"s{k}" for k in range(9)] + [None]), "en") for i in range(300)]
+    rows += [(1000, "w " * 9, "only", "en"), (1001, None, "none", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix_sources(docs).collect()
+    sizes = collections.defaultdict(int)
+    for _, text, source, _ in rows:
+        sizes[source] += len((text or "").split())
+    weights = dict(zip(sorted(sizes, key=lambda x: (x is None, x)), [1, 2, 3] * 99, strict=False))
+    target, left, free = {}, sum(sizes.values()), set(sizes)
+    while True:
+        share = left / sum(weights[x] for x in free)
+        full = [x for x in free if share * weights[x] > 3 * sizes[x]]
+        if not full:
+            break
+        for x in full:
+            target[x] = 3 * sizes[x]
+            left -= 3 * sizes[x]
+            free.remove(x)
+    target |= {x: weights[x] * left / sum(weights[y] for y in free) for x in free}
+    assert all(abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source] for r in got)
+    queue, upto = [], collections.defaultdict(int)
+    for i, text, source, _ in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], len((r[1] or "").split()))):
+        n = len((text or "").split())
+        upto[source] += n
+        if n:
+            queue += [((p * sizes[source] + upto[source]) / target[source], "" if source is None else f".{source}", hashlib.md5(str(i).encode()).hexdigest(), i, n, p, source) for p in range(3)]
+    taken, sent = collections.Counter(), 0
+    for _, _, _, i, n, _, source in sorted(queue, key=lambda x: x[:6]):
+        sent += n
+        if sent > sum(sizes.values()):
+            break
+        taken[i, source, n] += 1
+    found = collections.Counter()
+    for r in got:
+        found[r.doc_id, r.source, r.size] += r.times
+    assert +found == taken
+
+
 def test_mix_reaches_targets(spark):
     texts = [("w " * (1 + i % 50)).strip() for i in range(400)] + [None, ""]
     docs = frame(spark, texts)
