@@ -38,8 +38,33 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("_ra", "_rb"), 6).alias("spearman"))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], blocks: int = 64) -> DataFrame:
+    """keys and a column for each share: the exact quantile of value, linear between neighbours. Nulls are left out.
+
+    Only counts by value are put in order, in blocks between approximate quantiles, so no task sees a whole group.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    splits = sorted(set(counts.approxQuantile("_v", [i / blocks for i in range(1, blocks)], 0.01)))
+    counts = counts.withColumn("_block", sum(((F.col("_v") > s).cast("int") for s in splits), F.lit(0)))
+    sums = counts.groupBy(*keys, "_block").agg(F.sum("_n").alias("_sum"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"), F.sum("_sum").over(group).alias("_all"))
+    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, "_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.join(starts, [*keys, "_block"]).withColumn("_upto", upto)
+    found = []
+    for name, share in shares.items():
+        place = share * (F.col("_all") - 1)
+        low, high = (F.min(F.when(F.col("_upto") > at, F.col("_v"))) for at in (F.floor(place), F.ceil(place)))
+        found += [low.alias(f"_low_{name}"), high.alias(f"_high_{name}"), F.first(place - F.floor(place)).alias(f"_part_{name}")]
+    ends = placed.groupBy(*keys).agg(*found)
+    return ends.select(*keys, *((F.col(f"_low_{x}") + F.col(f"_part_{x}") * (F.col(f"_high_{x}") - F.col(f"_low_{x}"))).alias(x) for x in shares))
+
+
 def mean_by_label(rows: DataFrame, label: str, value: str) -> DataFrame:
-    return rows.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("sd"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"))
+    means = rows.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
+    middle = quantiles(rows, [label], value, {"median": 0.5, "p95": 0.95})
+    return means.join(middle, label, "left").select(label, "n", "mean", "sd", "least", "most", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 def group_split(rows: DataFrame, group: str) -> DataFrame:
@@ -49,10 +74,20 @@ def group_split(rows: DataFrame, group: str) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, label: str, key: str, share: float) -> DataFrame:
-    """Of each label the first round(n * share) rows by the md5 of the key."""
-    sizes = rows.groupBy(label).agg(F.round(F.count("*") * share).cast("long").alias("_take"))
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("_at", F.row_number().over(order)).join(sizes, label).filter(F.col("_at") <= F.col("_take")).drop("_at", "_take")
+    """Of each label the first round(n * share) rows by the md5 of the key.
+
+    Counts by the first digits of the md5 tell where a label's sample ends; only rows with those digits are numbered.
+    """
+    marked = rows.withColumns({"_md5": F.md5(F.col(key).cast("string")), "_block": F.substring(F.md5(F.col(key).cast("string")), 1, 3)})
+    counts = marked.groupBy(label, "_block").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(label)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select(label, "_block", before.alias("_before"), F.round(F.sum("_n").over(group) * share).cast("long").alias("_take"), F.col("_n").alias("_size"))
+    placed = marked.join(places.filter("_before < _take"), [label, "_block"])
+    whole = placed.filter("_before + _size <= _take")
+    within = Window.partitionBy(label, "_block").orderBy("_md5", key)
+    cut = placed.filter("_before + _size > _take").withColumn("_at", F.row_number().over(within)).filter("_before + _at <= _take")
+    return whole.select(rows.columns).unionByName(cut.select(rows.columns))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -62,7 +97,8 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def at_most(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each key, with their rank."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col("rank") <= n)
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
+    return first.withColumn("rank", F.col("rank").cast("long"))
 
 
 def precision_recall(rows: DataFrame, predicted: str, actual: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import text_of
 
-NUMBER = r"(^|[^A-Za-z0-9_.])([0-9]{1,12}(,[0-9]{3})*(\.[0-9]{1,6})?)([ ]?([A-Za-z]+))?"
+NUMBER = r"(^|[^A-Za-z0-9_.])([0-9]+(,[0-9]{3})*(\.[0-9]+)?)(\s?([A-Za-z]+))?"
 # Number words and suffixes.
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "fifteen": 15, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "hundred": 100, "dozen": 12, "double": 2, "doubled": 2, "triple": 3, "tripled": 3, "twice": 2}
 SUFFIXES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "million": 1e6, "mn": 1e6, "b": 1e9, "billion": 1e9, "bn": 1e9}

@@ -36,13 +36,21 @@ def heading_styles(lines: DataFrame) -> DataFrame:
     return styled.groupBy("doc_id", "size", "is_bold", "caps").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
+def middle_size(lines: DataFrame) -> DataFrame:
+    """doc_id, _mid: the upper median of the lines' sizes in half points, from counts by size."""
+    counts = lines.groupBy("doc_id", (F.round(F.col("size") * 2) / 2).alias("_h")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("doc_id").orderBy("_h"))
+    whole = F.sum("_c").over(Window.partitionBy("doc_id"))
+    return counts.withColumns({"_upto": upto, "_whole": whole}).filter(2 * F.col("_upto") > F.col("_whole")).groupBy("doc_id").agg(F.min("_h").alias("_mid"))
+
+
 def attention(lines: DataFrame) -> DataFrame:
     """lines with weight (share of the document's peak), fixations, hot and seen.
 
     lines: doc_id, line, page, x0, y0, width, height, size, bold, role, statement (or null), place (in its statement), text.
     """
     doc = Window.partitionBy("doc_id")
-    with_body = lines.withColumn("_mid", F.element_at(F.array_sort(F.collect_list(F.round(F.col("size") * 2) / 2).over(doc)), (F.floor(F.count("*").over(doc) / 2) + 1).cast("int")))
+    with_body = lines.join(middle_size(lines), "doc_id")
     role = F.coalesce(*(F.when(F.col("role") == k, F.lit(v)) for k, v in ROLE_WEIGHTS.items()), F.lit(0.4))
     zero, one = F.lit(0.0), F.lit(1.0)
     w = role * F.exp(-VERTICAL_DECAY * F.col("y0") / F.greatest(one, F.col("height"))) * F.pow(F.lit(PAGE_DECAY), F.col("page"))

@@ -40,7 +40,8 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:
     """The k rows of each query with the highest scores, ties to the smaller chunk_id, with their rank."""
     best = Window.partitionBy("query_id").orderBy(F.col(score).desc(), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+    # The limit stands on the number itself, so each task keeps its k best before the shuffle.
+    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def dot(a: Column, b: Column) -> Column:

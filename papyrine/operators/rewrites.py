@@ -22,9 +22,10 @@ def perturbed(rows: DataFrame) -> DataFrame:
     words = F.split(text, " ")
     trim = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.floor(F.size(words) * 3 / 4).cast("int"))), " ")
     reorder = F.regexp_replace(text, r"^([^,]+), *(.+)$", "$2, $1")
-    first = F.regexp_extract(text, r"([0-9]{1,9})", 1)
-    inflated = F.when(first != "", F.regexp_replace(text, r"^([^0-9]*)([0-9]{1,9})", "$1@@")).otherwise(text)
-    inflated = F.when(first != "", F.replace(inflated, F.lit("@@"), (F.expr("try_cast(nullif(regexp_extract(text, '([0-9]{1,9})', 1), '') as bigint)") * 3 + 7).cast("string"))).otherwise(text)
+    first = F.regexp_extract(text, "[0-9]+", 0)
+    # Three times the figure and seven, in decimals so that a figure of any length is enlarged.
+    larger = F.when(F.length(first) <= 36, (F.expr("try_cast(nullif(regexp_extract(text, '[0-9]+', 0), '') as decimal(38,0))") * 3 + 7).cast("string")).otherwise(F.concat(F.lit("9"), first))
+    inflated = F.when(first != "", F.concat(F.regexp_extract(text, "^[^0-9]*", 0), larger, F.regexp_replace(text, "^[^0-9]*[0-9]+", ""))).otherwise(text)
     made = {"trim": trim, "reorder": reorder, "swap_opener": F.regexp_replace(text, r"^[^ ]+", "Delivered"), "add_percent": F.concat(text, F.lit(" by 37%")), "add_count": F.concat(text, F.lit(" for 4321 users")), "inflate_number": inflated}
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("rewrite"), F.lit(FAITHFUL[k]).alias("faithful")) for k, v in made.items()))
     return rows.select("*", F.explode(kinds).alias("p")).select(*rows.columns, "p.kind", "p.rewrite", "p.faithful").filter(F.col("rewrite").isNotNull() & (F.col("rewrite") != F.col("text")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import text_of, words
 
-# Maxima of the rules.
+# Maxima of the rules, essential and standard section names, and unprofessional parts of addresses.
 MOST = {"extractability": 20, "sections": 15, "formatting": 15, "contact": 10, "headings": 10, "dates": 10, "skills": 10, "links": 5, "parsing": 5}
 ESSENTIAL = ["experience", "education", "skills"]
 STANDARD = ["summary", "education", "experience", "skills", "projects", "certifications", "achievements", "publications", "volunteer", "languages", "interests", "references", "courses", "training", "extracurricular", "leadership"]

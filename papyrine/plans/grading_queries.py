@@ -51,8 +51,8 @@ def seniority_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return postings.answer_scores(turns)
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+    return postings.answer_scores(turns, "conv_id", "turn")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +114,13 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_VERBS, _IRREGULAR, _NOT = (", ".join(map(q, x)) for x in (S.VERBS, S.IRREGULAR, S.NOT_ACTIONS))
+_VERBS, _IRREGULAR, _NOT = (", ".join(map(q, x)) for x in (S.PRESENT_FORMS, S.IRREGULAR, S.NOT_ACTIONS))
 
 
 def _action(w: str) -> str:
-    return f"""({w} IN ({_VERBS}, {_IRREGULAR}) OR ({w} LIKE '%s' AND left({w}, length({w}) - 1) IN ({_VERBS})) OR ({w} LIKE '%es' AND left({w}, length({w}) - 2) IN ({_VERBS}))
-    OR (({w} LIKE '%ies' OR {w} LIKE '%ied') AND left({w}, length({w}) - 3) || 'y' IN ({_VERBS})) OR ({w} LIKE '%ed' AND (left({w}, length({w}) - 2) IN ({_VERBS}) OR left({w}, length({w}) - 1) IN ({_VERBS})))
-    OR ({w} LIKE '%ed' AND length({w}) > 5 AND left({w}, length({w}) - 3) IN ({_VERBS}) AND {w}[-3] = {w}[-4]) OR ({w} LIKE '%ed' AND length({w}) > 4 AND {w} NOT IN ({_NOT})))"""
+    forms = ", ".join(f"CASE WHEN {w} LIKE '%{end}' THEN regexp_replace({w}, '{end}$', '{instead}') END" for end, instead in S.ENDINGS)
+    doubled = f"CASE WHEN {w} LIKE '%ed' AND length({w}) > 5 AND {w}[-3] = {w}[-4] THEN left({w}, length({w}) - 3) END"
+    return f"(({w} LIKE '%ed' AND length({w}) > 4 AND {w} NOT IN ({_NOT})) OR {w} IN ({_IRREGULAR}) OR len(list_intersect([{w}, {forms}, {doubled}], [{_VERBS}])) > 0)"
 
 
 _STATEMENTS = r"""
@@ -191,9 +191,9 @@ SELECT section, kind, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM
     "seniority_levels": "SELECT coalesce(CASE " + " ".join(f"WHEN contains(lower(coalesce(text, '')), {q(w)}) THEN {q(v)}" for w, v in postings.SENIORITY) + " END, 'none') AS level, count(*) AS n_docs FROM documents GROUP BY 1",
     "answer_labels": f"""
 WITH parts AS (
-  SELECT conv_id * 1000 + turn AS doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\n]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM conversations WHERE role = 'assistant'),
-hits AS (SELECT doc_id, {_CUE} FROM parts),
-scored AS (SELECT doc_id, {_SCORE} FROM hits)
+  SELECT conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\n]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM conversations WHERE role = 'assistant'),
+hits AS (SELECT conv_id, turn, {_CUE} FROM parts),
+scored AS (SELECT conv_id, turn, {_SCORE} FROM hits)
 SELECT *, round((situation * 15 + task * 15 + action * 35 + result * 35) / 10.0::DOUBLE, 1) AS total FROM scored""",
     "body_size": _LINES + """, sums AS (SELECT doc_id, round(size * 2) AS h, sum(length(text)) AS n, min(line) AS line FROM lines GROUP BY 1, 2)
 SELECT doc_id, h / 2 AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line) AS r FROM sums) WHERE r = 1""",

@@ -101,6 +101,17 @@ spans AS (SELECT k % 97 % 5 AS m, CASE WHEN k % 53 = 0 THEN 0.0 ELSE 1.0 END AS
 c AS (SELECT *, round(1.05::DOUBLE / (0.2126::DOUBLE * {_channel("r")} + 0.7152::DOUBLE * {_channel("g")} + 0.0722::DOUBLE * {_channel("b")} + 0.05::DOUBLE), 6) AS contrast FROM spans)
 SELECT CASE WHEN m = 3 THEN 'invisible' WHEN o < 0.1 THEN 'transparent' WHEN size < 4 THEN 'tiny' WHEN contrast < 1.25 THEN 'low_contrast' WHEN contrast < 1.6 THEN 'faint' ELSE 'none' END AS reason,
   count(*) AS n, round(avg(contrast), 4) AS contrast FROM c GROUP BY 1""",
+    "reading_order_integrity": r"""
+WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+k AS (SELECT doc_id, unnest(p) AS t, unnest(range(0, len(p))) AS line, (len(p) + 1) // 2 AS half FROM l),
+r AS (SELECT doc_id, round(14.0::DOUBLE * (line % half) / 3.0) AS y, CASE WHEN line < half THEN 36 ELSE 320 END AS x, t FROM k),
+g AS (SELECT doc_id, y, string_agg(t, ' ' ORDER BY x, t) AS t FROM r GROUP BY doc_id, y),
+views AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY y) AS text FROM g GROUP BY doc_id),
+both_texts AS (SELECT doc_id, 'a' AS side, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS w FROM documents UNION ALL SELECT doc_id, 'b', regexp_extract_all(lower(text), '[a-z0-9_]+') FROM views),
+pairs AS (SELECT doc_id, side, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [array_to_string(w, '')] END) AS pair FROM both_texts),
+n AS (SELECT doc_id, pair, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM pairs GROUP BY doc_id, pair),
+i AS (SELECT doc_id, round(2 * sum(least(a, b)) / (sum(a) + sum(b))::DOUBLE, 3) AS integrity FROM n GROUP BY doc_id)
+SELECT doc_id, integrity, CASE WHEN integrity >= 0.95 THEN 'good' WHEN integrity >= 0.85 THEN 'fair' ELSE 'poor' END AS verdict FROM i""",
     "timeline_findings": """
 WITH e AS (
   SELECT o_custkey AS owner, o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN m END AS s, CASE WHEN o_orderkey % 7 <> 0 THEN m + CASE WHEN o_orderkey % 11 = 0 THEN -2 ELSE o_orderkey % 9 END END AS e, o_orderkey % 2 = 0 AS full_time

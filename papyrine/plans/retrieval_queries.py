@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import SEARCH_STOP
 from papyrine.operators import retrieval
+from papyrine.operators.evaluation import quantiles
 from papyrine.tables import table
 
 #: Results of a query.
@@ -82,7 +83,8 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5th and 95th percentile (linear) of the asked vectors' cosines, and the share of all between them."""
     pairs = retrieval.cosine_pairs(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
-    return pairs.agg(F.count("*").alias("n"), F.round(F.percentile("cosine", F.lit(0.05)), 5).alias("p5"), F.round(F.percentile("cosine", F.lit(0.95)), 5).alias("p95"))
+    ends = quantiles(pairs.withColumn("all", F.lit(1)), ["all"], "cosine", {"p5": 0.05, "p95": 0.95})
+    return pairs.agg(F.lit(1).alias("all"), F.count("*").alias("n")).join(ends, "all").select("n", F.round("p5", 5).alias("p5"), F.round("p95", 5).alias("p95"))
 
 
 QUERIES = {

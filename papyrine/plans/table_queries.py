@@ -230,7 +230,7 @@ SELECT n_name, rank, o_orderkey, c_name, coalesce(n, 0) AS n_lines FROM named LE
     "status_crosstab": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS status_f, count(*) FILTER (o_orderstatus = 'O') AS status_o, count(*) FILTER (o_orderstatus = 'P') AS status_p FROM orders GROUP BY 1",
     "auc_quality": _LABELLED + "SELECT p AS n_positive, n AS n_negative, round((r - p * (p + 1) / 2) / (p * n), 6) AS auc FROM (SELECT sum(ra) FILTER (quality = 1) AS r, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n FROM mids)",
     "spearman_quality": _LABELLED + "SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman FROM mids",
-    "mean_by_label": _LABELLED + "SELECT quality, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS sd, round(quantile_cont(n_chars, 0.5), 6) AS median FROM r GROUP BY quality",
+    "mean_by_label": _LABELLED + "SELECT quality, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS sd, min(n_chars) AS least, max(n_chars) AS most, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95 FROM r GROUP BY quality",
     "label_precision": _LABELLED + """, c AS (SELECT count(*) FILTER (p AND quality = 1) AS tp, count(*) FILTER (p AND quality = 0) AS fp, count(*) FILTER (NOT p AND quality = 1) AS fn, count(*) FILTER (NOT p AND quality = 0) AS tn FROM (SELECT *, n_chars >= 500 AS p FROM r))
 SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c""".replace(") , c", "), c"),
     "stratified_sample": "SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels) WHERE r <= round(n * 0.2::DOUBLE)",
