@@ -428,18 +428,25 @@ def _band_columns(bands: Bands, found: DataFrame):
 MANY_PAIRS = 1_000
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
-    """pairs with h_ and the name of end: the set of the class in that column."""
-    many = pairs.groupBy(F.col(end).alias("cls")).agg(F.count("*").alias("m")).filter(F.col("m") > MANY_PAIRS).select("cls", F.lit(SALTS).alias("salts"))
-    copies = sets.join(many, "cls", "left").select(F.col("cls").alias(end), F.col("h").alias(f"h_{end}"), F.coalesce("salts", F.lit(1)).alias("salts"))
-    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    salt = F.pmod(F.xxhash64("src", "dst"), F.coalesce("salts", F.lit(1))).cast("int")
-    salted = pairs.join(F.broadcast(many.withColumnRenamed("cls", end)) if many.count() <= BROADCAST_IDS else many.withColumnRenamed("cls", end), end, "left").withColumn("salt", salt).drop("salts")
-    return salted.join(copies, [end, "salt"]).drop("salt")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """src, dst, ha, hb: the written pairs with the sets of their classes. A class of very many pairs is taken as a."""
+    of_a, of_b = (sets.select(F.col("cls").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
+    ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).groupBy("cls").agg(F.count("*").alias("m"))
+    many = materialize(ends.filter(F.col("m") > MANY_PAIRS).select("cls"), "ngram-many")
+    n = many.count()
+    if not n:
+        return pairs.join(of_a, "a").join(of_b, "b")
+    hot = F.broadcast(many) if n <= BROADCAST_IDS else many
+    marked = pairs.join(hot.select(F.col("cls").alias("a"), F.lit(True).alias("hot_a")), "a", "left").join(hot.select(F.col("cls").alias("b"), F.lit(True).alias("hot_b")), "b", "left")
+    turned = F.col("hot_b").isNotNull() & F.col("hot_a").isNull()
+    spread = F.col("hot_a").isNotNull() | F.col("hot_b").isNotNull()
+    marked = marked.select("src", "dst", F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), spread.alias("spread"))
+    copies = of_a.join(hot.withColumnRenamed("cls", "a"), "a", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = marked.filter("spread").withColumn("salt", F.pmod(F.xxhash64("src", "dst"), F.lit(SALTS)).cast("int")).join(copies, ["a", "salt"]).drop("salt")
+    return marked.filter("not spread").join(of_a, "a").unionByName(salted).join(of_b, "b")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """src, dst of the pairs a, b of classes whose whole sets are similar enough."""
-    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
-    counted = both.select("src", "dst", F.size(F.array_intersect("h_a", "h_b")).alias("common"), (F.size("h_a") + F.size("h_b")).alias("total"))
+    """src, dst of the written pairs a, b of classes whose whole sets are similar enough."""
+    counted = _with_sets(pairs, sets).select("src", "dst", F.size(F.array_intersect("ha", "hb")).alias("common"), (F.size("ha") + F.size("hb")).alias("total"))
     return counted.filter(den * F.col("common") >= num * (F.col("total") - F.col("common"))).select("src", "dst")
