@@ -8,6 +8,8 @@ def test_number_gate_blocks_new_figures(spark):
     got = {r.kind: (r.accepted, r.faithful) for r in rewrites.number_gate(rewrites.perturbed(rows)).collect()}
     assert got["trim"] == (True, True) and got["reorder"] == (True, True) and got["add_percent"] == (False, False)
     assert got["add_count"] == (False, False) and got["inflate_number"] == (False, False)
+    long = spark.createDataFrame([(1, "Moved 123456789012345678901 rows")], "id long, text string")
+    assert {r.rewrite for r in rewrites.perturbed(long).collect() if r.kind == "inflate_number"} == {f"Moved {123456789012345678901 * 3 + 7} rows"}
     plain = spark.createDataFrame([(1, "No figures")], "id long, text string")
     assert "inflate_number" not in {r.kind for r in rewrites.perturbed(plain).collect()}
 
@@ -32,7 +34,7 @@ def test_hidden_spans_and_order(spark):
     assert [r.reason for r in reports.hidden_spans(rows).collect()] == ["invisible", "transparent", "tiny", "low_contrast", None, None]
     a = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "three four one two")], "doc_id long, text string")
-    assert reports.reading_order_integrity(a, b).first().integrity == 0.5
+    assert reports.reading_order_integrity(a, b).first().integrity == 0.667
 
 
 def test_timeline_findings(spark):
