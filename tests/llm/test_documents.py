@@ -176,18 +176,13 @@ def test_stages_keep_columns_of_any_name(spark):
         assert stage(docs.filter("false")).count() == 0
 
 
-def test_mix_takes_as_plain_queueing_does(spark):
-    """Many sources, some of one document, sizes and finish times that tie, repeated ids."""
+def plain_mix(rows):
+    """How often each of rows (doc_id, source, size) is taken, by (doc_id, source, size); targets and sizes by source."""
     import hashlib
 
-    rng = random.Random(2)
-    rows = [(i % 90, " ".join("w" * rng.choice([1, 1, 2, 5])), rng.choice([f"s{k}" for k in range(9)] + [None]), "en") for i in range(300)]
-    rows += [(1000, "w " * 9, "only", "en"), (1001, None, "none", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    got = mixing.mix_sources(docs).collect()
     sizes = collections.defaultdict(int)
-    for _, text, source, _ in rows:
-        sizes[source] += len((text or "").split())
+    for _, source, n in rows:
+        sizes[source] += n
     weights = dict(zip(sorted(sizes, key=lambda x: (x is None, x)), [1, 2, 3] * 99, strict=False))
     target, left, free = {}, sum(sizes.values()), set(sizes)
     while True:
@@ -200,19 +195,33 @@ def test_mix_takes_as_plain_queueing_does(spark):
             left -= 3 * sizes[x]
             free.remove(x)
     target |= {x: weights[x] * left / sum(weights[y] for y in free) for x in free}
-    assert all(abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source] for r in got)
+
+    def key(i):
+        return hashlib.md5(str(i).encode()).hexdigest()
+
     queue, upto = [], collections.defaultdict(int)
-    for i, text, source, _ in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], len((r[1] or "").split()))):
-        n = len((text or "").split())
+    for i, source, n in sorted(rows, key=lambda r: (key(r[0]), r[0], r[2])):
         upto[source] += n
         if n:
-            queue += [((p * sizes[source] + upto[source]) / target[source], "" if source is None else f".{source}", hashlib.md5(str(i).encode()).hexdigest(), i, n, p, source) for p in range(3)]
+            queue += [((p * sizes[source] + upto[source]) / target[source], "" if source is None else f".{source}", key(i), i, n, p, source) for p in range(3)]
     taken, sent = collections.Counter(), 0
     for _, _, _, i, n, _, source in sorted(queue, key=lambda x: x[:6]):
         sent += n
         if sent > sum(sizes.values()):
             break
         taken[i, source, n] += 1
+    return taken, target, sizes
+
+
+def test_mix_takes_as_plain_queueing_does(spark):
+    """Many sources, some of one document, sizes and finish times that tie, repeated ids."""
+    rng = random.Random(2)
+    rows = [(i % 90, " ".join("w" * rng.choice([1, 1, 2, 5])), rng.choice([f"s{k}" for k in range(9)] + [None]), "en") for i in range(300)]
+    rows += [(1000, "w " * 9, "only", "en"), (1001, None, "none", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix_sources(docs).collect()
+    taken, target, sizes = plain_mix([(i, source, len((text or "").split())) for i, text, source, _ in rows])
+    assert all(abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source] for r in got)
     found = collections.Counter()
     for r in got:
         found[r.doc_id, r.source, r.size] += r.times
@@ -371,6 +380,28 @@ def test_classifiers_on_held_out_documents(spark):
     assert quality_classifier.classify_quality(docs, none).select("score").distinct().count() == 1
 
 
+def test_pairwise_weights_match_a_plain_minimum():
+    """The fitted weights leave no slope in the loss over the same pairs, and a plain descent gets to the same loss."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(80) < 0.6).astype(int)
+    x = rng.normal(0, 1, (80, 3)) + y[:, None] * np.array([0.8, -0.5, 0.0])
+    model = quality_classifier.fit(x, y, 0.4, pairs=300, ridge=0.01)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    again = np.random.default_rng(0)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    pairs = list(zip(again.choice(good, 300), again.choice(bad, 300), strict=True))
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(z[i] - z[j]) @ w)) for i, j in pairs) / 300 + 0.005 * w @ w
+
+    w, step = np.zeros(3), 1e-5
+    for _ in range(400):
+        w = w - 0.5 * np.array([(loss(w + step * e) - loss(w - step * e)) / (2 * step) for e in np.eye(3)])
+    assert np.allclose(w, model.weights, atol=2e-3) and loss(model.weights) <= loss(w) + 1e-9
+    order = np.sort(model.raw(x))
+    assert order[0] < model.threshold < order[-1] and model.score(x[good]).mean() > model.score(x[bad]).mean()
+
+
 def votes_of(rng, y, rates):
     return np.column_stack([rng.random(len(y)) < np.where(y == 1, a, b) for a, b in rates]).astype(float)
 
@@ -433,3 +464,68 @@ def test_classifiers_on_odd_tables(spark):
     assert toxic[900] > 0.5 > toxic[901]
     sample = labelled_sample(docs.union(docs), labels, "toxic", F_lit(False), 50)
     assert sample.count() == 100 == sample.select("doc_id").distinct().count()
+
+
+def plain_verdicts(rows):
+    """Which of rows (doc_id, text, lang, source) the rules keep, from counts, rounded values and quartiles in plain Python."""
+    limits = {"symbols": (30, None), "dup_lines": (400, None), "repeats": (100, None), "length": (1500, 1500)}
+    seen, ratios = collections.defaultdict(list), {}
+    for k, (_, text, lang, source) in enumerate(rows):
+        n, chars, symbols, dup, repeats = counts(text)
+        if n < 50 or 100 * repeats > 50 * n:
+            continue
+        lines = sum(1 for x in (text or "").split("\n") if WORDS.search(x))
+        ratios[k] = {"symbols": 1000 * symbols // max(chars, 1), "dup_lines": 1000 * dup // max(lines, 1), "repeats": 1000 * repeats // n, "length": 1000 * chars // n}
+        for name, v in ratios[k].items():
+            v = v if v < 64 else v >> (v.bit_length() - 5) << (v.bit_length() - 5)
+            for group in ((lang, source), (lang,), ()):
+                seen[group, name].append(v)
+
+    def fence(k, name):
+        _, _, lang, source = rows[k]
+        own = next(seen[g, name] for g in ((lang, source), (lang,), ()) if len(seen[g, name]) >= 50 or g == ())
+        own = sorted(own)
+        q1, q3 = (own[-(-part * len(own) // 4) - 1] for part in (1, 3))
+        above, below = limits[name]
+        return (q1 - 3 * (q3 - q1) - below if below is not None else 0), q3 + 3 * (q3 - q1) + above
+
+    return {k for k, r in ratios.items() if all(fence(k, name)[0] <= v <= fence(k, name)[1] for name, v in r.items())}
+
+
+def test_pipeline_matches_plain_python(spark, tmp_path):
+    """All stages on a table with nulls, empty texts, repeated rows, copies and a clashing column; no labels, so none is toxic."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    vocabulary = [f"{rng.choice(['stone', 'river', 'light', 'cloud'])}{i}" for i in range(900)]
+    texts = []
+    for _ in range(70):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([60, 120, 300]))]
+        texts += [" ".join(words), *(" ".join(edited(rng, words, 2, vocabulary)) for _ in range(rng.choice([0, 0, 1, 3])))]
+    texts += [None, "", "too short", "a b c " * 60, "## " * 40 + texts[0], "\n".join(["the same line again and again"] * 30), "word " * 9000]
+    rows = [(i, x, rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3", None])) for i, x in enumerate(texts)]
+    rows += rows[:5]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(rows, schema).selectExpr("*", "7 AS times").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    kept = [rows[k] for k in sorted(plain_verdicts(rows))]
+    label = linked([shingles(r[1]) for r in kept])
+    least = {c: min(kept[k][0] for k, d in enumerate(label) if d == c) for c in set(label)}
+    once = list({r[0]: r for k, r in enumerate(kept) if r[0] == least[label[k]]}.values())
+    taken, _, _ = plain_mix([(i, source, len(WORDS.findall(text))) for i, text, _, source in once])
+    tokenizer, wanted = Tokenizer.from_file(TOKENIZER), collections.Counter()
+    for i, text, _, source in once:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        for piece, a in enumerate(range(0, len(ids), 4096)):
+            n = taken[i, source, len(WORDS.findall(text))]
+            if n:
+                wanted[i, piece, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())] += n
+    assert len(once) < len(kept) < len(rows) and got == wanted
+    empty = tmp_path / "none"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
