@@ -377,7 +377,8 @@ def _rarest_pairs(sets: DataFrame, heavy: DataFrame, num: int, den: int) -> Data
     ranked = materialize(ranked, "ngram-rarest")
     mixed = ranked.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
     # The sets of a token fall into blocks, and each pair of blocks is a cell of its own, at most CELL by CELL or so.
-    ranked = ranked.join(mixed.select("token", F.ceil(F.col("m") / CELL).cast("long").alias("blocks")), "token")
+    mixed = materialize(mixed.select("token", F.ceil(F.col("m") / CELL).cast("long").alias("blocks")), "ngram-common")
+    ranked = ranked.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "token")
     own, every = F.pmod(F.xxhash64("cls"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = ranked.select("token", "cls", "n", "label", "at", own.alias("i"), every.alias("j"))
     other = ranked.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "label", "at")), own.alias("j"), every.alias("i"))
