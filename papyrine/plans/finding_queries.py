@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import text_of
-from papyrine.operators import evaluation, layout, matching, reports
+from papyrine.operators import evaluation, matching, reports
 from papyrine.plans import grading_queries, report_queries, retrieval_queries, table_queries
 from papyrine.tables import table
 
@@ -32,10 +32,10 @@ def hidden_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def early_low_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short sections (one line) that stand before the last section of three lines or more."""
-    sizes = layout.sections(grading_queries._lines(spark, sf_dir)).groupBy("doc_id", "section").agg(F.count("*").alias("n"))
-    last = F.max(F.when(F.col("n") >= 3, F.col("section"))).over(Window.partitionBy("doc_id"))
-    rows = sizes.withColumn("last", last).filter("n = 1 and section < last")
+    """Sections of little text (three lines of under 150 characters) that stand before a document's last long one (500 or more)."""
+    sizes = grading_queries._lines(spark, sf_dir).groupBy("doc_id", F.floor(F.col("line") / 3).alias("section")).agg(F.sum(F.length("text")).alias("n"))
+    last = F.max(F.when(F.col("n") >= 500, F.col("section"))).over(Window.partitionBy("doc_id"))
+    rows = sizes.withColumn("last", last).filter("n < 150 and section < last")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_early"), F.round(1.5 * F.count("*"), 1).alias("points"))
 
 
@@ -84,11 +84,9 @@ SELECT * FROM r WHERE rank <= 2""",
 n AS (SELECT *, CASE WHEN lag(line) OVER w = line - 1 AND lag(reason) OVER w = reason THEN 0 ELSE 1 END AS fresh FROM h WHERE reason IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM n)
 SELECT doc_id, run, any_value(reason) AS reason, min(line) AS line, count(*) AS n_lines FROM r GROUP BY doc_id, run""",
-    "early_low_sections": grading_queries._LINES + """, placed AS (
-  SELECT *, coalesce(last_value(CASE WHEN head THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING), -1) AS section FROM lines),
-s AS (SELECT doc_id, section, count(*) AS n FROM placed GROUP BY 1, 2),
-m AS (SELECT *, max(section) FILTER (n >= 3) OVER (PARTITION BY doc_id) AS last FROM s)
-SELECT doc_id, count(*) AS n_early, round(1.5 * count(*), 1) AS points FROM m WHERE n = 1 AND section < last GROUP BY doc_id""",
+    "early_low_sections": grading_queries._LINES + """, s AS (SELECT doc_id, line // 3 AS section, sum(length(text)) AS n FROM lines GROUP BY 1, 2),
+m AS (SELECT *, max(section) FILTER (n >= 500) OVER (PARTITION BY doc_id) AS last FROM s)
+SELECT doc_id, count(*) AS n_early, round(1.5 * count(*), 1) AS points FROM m WHERE n < 150 AND section < last GROUP BY doc_id""",
     "skill_evidence": table_queries._PAIRS + """, w AS (SELECT DISTINCT l, skill FROM pairs JOIN want USING (r) WHERE length(skill) >= 5),
 lines AS (SELECT doc_id AS l, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents)
 SELECT * FROM (SELECT w.l AS "left", skill, line, row_number() OVER (PARTITION BY w.l, skill ORDER BY line) AS rank FROM w JOIN lines ON lines.l = w.l AND contains(text, skill)) WHERE rank <= 3""",
