@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import text_of, tokens
 from papyrine.operators import rewrites, statements
+from papyrine.plans.grading_queries import _STATEMENTS, _numbers
 from papyrine.tables import table
 
 
@@ -33,7 +34,21 @@ def unit_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"gate_matrix": gate_matrix, "turn_anchors": turn_anchors, "unit_placement": unit_placement}
 
+#: Perturbations of the texts of a table s, and what the number gate says of them.
+_PERTURBED = r"""
+w AS (SELECT *, string_split(text, ' ') AS w, regexp_extract(text, '[0-9]+') AS f FROM s),
+made AS (
+  SELECT * EXCLUDE (w, f), unnest(['trim', 'reorder', 'swap_opener', 'add_percent', 'add_count', 'inflate_number']) AS kind, unnest([true, true, true, false, false, false]) AS faithful, unnest([
+    array_to_string(w[1:greatest(1, len(w) * 3 // 4)], ' '), regexp_replace(text, '^([^,]+), *(.+)$', '\2, \1'), regexp_replace(text, '^[^ ]+', 'Delivered'), text || ' by 37%', text || ' for 4321 users',
+    CASE WHEN f = '' THEN text ELSE regexp_extract(text, '^[^0-9]*') || CASE WHEN length(f) <= 36 THEN (f::HUGEINT * 3 + 7)::VARCHAR ELSE '9' || f END || regexp_replace(text, '^[^0-9]*[0-9]+', '') END]) AS rewrite FROM w),
+""" + f"""figures AS (SELECT *, {_numbers("rewrite")} AS said, {_numbers("text")} AS v FROM made WHERE rewrite <> text),
+fresh AS (SELECT *, list_filter(said, lambda n: len(list_filter(v, lambda g: abs(n - g) <= greatest(1e-9::DOUBLE, 1e-6::DOUBLE * greatest(abs(n), abs(g))))) = 0) AS new, list_filter(v, lambda g: g > 0)[1:24] AS top FROM figures),
+gated AS (
+  SELECT *, len(list_filter(new, lambda n: len(list_filter(top, lambda a: len(list_filter(top, lambda b: a > b AND (abs(round((a - b) / a * 100) - n) <= 1
+    OR abs((a - b) / a * 100 - n) <= 0.5 OR abs(a / b - n) <= 0.15::DOUBLE OR abs(round(a / b) - n) < 1e-9::DOUBLE))) > 0)) = 0)) = 0 AS accepted FROM fresh)
+"""
 SQL = {
+    "gate_matrix": _STATEMENTS.rstrip() + ", s AS (SELECT text FROM statements)," + _PERTURBED + "SELECT kind, count(*) AS n, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (accepted = faithful) AS n_right FROM gated GROUP BY kind",
     "turn_anchors": """
 WITH t AS (SELECT conv_id AS owner, turn, role, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9+#.%-]*')) AS w FROM conversations),
 s AS (SELECT a.owner, a.turn AS id, b.turn AS st, len(list_intersect(a.w, b.w)) / len(a.w) AS score FROM t a JOIN t b ON a.owner = b.owner WHERE a.role = 'user' AND b.role = 'assistant' AND len(a.w) > 0)

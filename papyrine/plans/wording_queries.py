@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyrine.functions.text import text_of, tokens, words
 from papyrine.operators import evaluation, rewrites, statements, wording
 from papyrine.plans.grading_queries import _GRADED, q
+from papyrine.plans.rewrite_queries import _PERTURBED
 from papyrine.tables import table
 
 #: Statements of a brand's parts in eight wordings, the same in both dialects.
@@ -166,6 +167,8 @@ WITH h AS (SELECT md5(doc_id::VARCHAR) AS m, md5(coalesce(text, '')) AS h FROM d
 n AS (SELECT h, ((('0x' || left(m, 16))::UBIGINT % 100) * 16 + ('0x' || right(m, 16))::UBIGINT % 100) % 100 AS p FROM h),
 s AS (SELECT DISTINCT CASE WHEN p < 5 THEN 'test' WHEN p < 10 THEN 'val' ELSE 'train' END AS split, h FROM n)
 SELECT split, count(*) AS n_texts, count(*) FILTER (h NOT IN (SELECT h FROM s WHERE split = 'train')) AS n_unseen FROM s GROUP BY split""",
+    "faithful_rewrites": f"WITH s AS ({_BULLETS.format(part='part')}),{_PERTURBED}, b AS (SELECT st, '' AS kind, text FROM s UNION ALL SELECT st, kind, rewrite FROM gated WHERE accepted AND {_WORDS.format('rewrite')} BETWEEN 8 AND 40)"
+    + _CHAIN + "SELECT a.kind, count(*) AS n, count(*) FILTER (a.grade < o.grade) AS n_better FROM graded a JOIN graded o ON o.st = a.st AND o.kind = '' WHERE a.kind <> '' AND a.grade <= o.grade GROUP BY a.kind",
     "agreeing_labels": "SELECT quality::INT AS verdict, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality = (n_chars >= 500)::INT GROUP BY 1",
     "capped_events": "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id::VARCHAR), event_id) AS r FROM events) WHERE r <= CASE event_type WHEN 'click' THEN 40 WHEN 'view' THEN 25 WHEN 'purchase' THEN 10 ELSE 0 END",
 }
