@@ -94,6 +94,13 @@ def agreeing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrites.agreeing(labels, second, "doc_id", "verdict").groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the running text of each owner's statements: sentences, and how many read as bullets and as requirements."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("st", "text"))), lambda x: x["text"]), " • ")
+    rows = statements.training_sentences(_bullets(spark, sf_dir).groupBy("owner").agg(joined.alias("text")), "owner")
+    return rows.groupBy("owner").agg(F.count("*").alias("n"), F.sum(statements.is_bullet(F.col("sentence")).cast("long")).alias("n_bullets"), F.sum(statements.is_requirement(F.col("sentence")).cast("long")).alias("n_requirements"), F.max(F.length("sentence")).cast("long").alias("longest"))
+
+
 _CAPS = {"click": 40, "view": 25, "purchase": 10}
 
 
@@ -114,6 +121,8 @@ QUERIES = {
     "faithful_rewrites": faithful_rewrites,
     "agreeing_labels": agreeing_labels,
     "capped_events": capped_events,
+    "sentence_spans": lambda s, d: statements.sentence_spans(table(s, d, "documents")),
+    "sentence_kinds": sentence_kinds,
 }
 
 _B = f"WITH b AS ({_BULLETS.format(part='part')})"
@@ -170,5 +179,15 @@ SELECT split, count(*) AS n_texts, count(*) FILTER (h NOT IN (SELECT h FROM s WH
     "faithful_rewrites": f"WITH s AS ({_BULLETS.format(part='part')}),{_PERTURBED}, b AS (SELECT st, '' AS kind, text FROM s UNION ALL SELECT st, kind, rewrite FROM gated WHERE accepted AND {_WORDS.format('rewrite')} BETWEEN 8 AND 40)"
     + _CHAIN + "SELECT a.kind, count(*) AS n, count(*) FILTER (a.grade < o.grade) AS n_better FROM graded a JOIN graded o ON o.st = a.st AND o.kind = '' WHERE a.kind <> '' AND a.grade <= o.grade GROUP BY a.kind",
     "agreeing_labels": "SELECT quality::INT AS verdict, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality = (n_chars >= 500)::INT GROUP BY 1",
+    "sentence_spans": f"""
+WITH p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])(\\s+)([A-Z(])', '\\1\\2' || chr(2) || '\\3', 'g'), {q(statements.ABBREVIATIONS)}, '\\1\\2.\\3', 'g'), chr(2)) AS p FROM documents),
+u AS (SELECT doc_id, unnest(p) AS part, unnest(range(0, len(p))) AS i FROM p)
+SELECT doc_id, i, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(regexp_replace(part, '\\s+$', ''))::BIGINT AS length FROM u""",
+    "sentence_kinds": _B + f""", j AS (SELECT owner, string_agg(text, ' • ' ORDER BY st) AS text FROM b GROUP BY owner),
+p AS (SELECT owner, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, {q(statements.GLYPHS)}, '. ', 'g'), '([.!?;])\\s+([A-Z])', '\\1' || chr(2) || '\\2', 'g'), chr(2) || '|\\s{{2,}}')) AS part FROM j),
+s AS (SELECT owner, regexp_replace(regexp_replace(part, '\\s+', ' ', 'g'), '^[ .;]+|[ .;]+$', '', 'g') AS t FROM p),
+k AS (SELECT *, len(regexp_extract_all(t, '[^\\s]+')) AS n FROM s WHERE t <> '')
+SELECT owner, count(*) AS n, count(*) FILTER (n BETWEEN 6 AND 45 AND regexp_matches(t, {q(statements.BULLET_START)}) AND NOT regexp_matches(t, '(?i)@|https?://|(^|[^A-Za-z0-9_])phone([^A-Za-z0-9_]|$)')) AS n_bullets,
+  count(*) FILTER (n BETWEEN 4 AND 40 AND regexp_matches(t, {q(statements.REQUIREMENT)})) AS n_requirements, max(length(t)) AS longest FROM k GROUP BY owner""",
     "capped_events": "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id::VARCHAR), event_id) AS r FROM events) WHERE r <= CASE event_type WHEN 'click' THEN 40 WHEN 'view' THEN 25 WHEN 'purchase' THEN 10 ELSE 0 END",
 }
