@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import search_tokens
+from papyrine.storage import materialize
 
 K1, B, RRF_K = 1.5, 0.75, 60
+# The least cosine without shared terms, and the part of the score that the cosine has.
+NEAR, SEMANTIC_SHARE = 0.45, 0.65
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -65,16 +68,82 @@ def cosine_pairs(vectors: DataFrame, queries: DataFrame, blocks: int = 32) -> Da
     return pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("cosine"))
 
 
+def contenders(scores: DataFrame, score: str, n: int) -> DataFrame:
+    """query_id, chunk_id of each query's n best by score, ties to the smaller chunk_id."""
+    return top_k(scores.select("query_id", "chunk_id", score), score, n).select("query_id", "chunk_id")
+
+
+def ranks(scores: DataFrame, score: str, wanted: DataFrame) -> DataFrame:
+    """query_id, chunk_id, rank in its query's whole list, for the wanted pairs (query_id, chunk_id) that the list has.
+
+    No task puts a whole list in order. The wanted rows of a query are sorted into an array; each row of the list finds how
+    many of them stand before it, and the numbers of rows by that count, added up, are the ranks. The array is as long as
+    there are wanted rows of a query, so these should be few.
+    """
+    rows = scores.select("query_id", "chunk_id", F.col(score).alias("s"))
+    key = F.struct((-F.col("s")).alias("s"), F.col("chunk_id"))
+    marked = rows.join(wanted.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
+    arrays = marked.groupBy("query_id").agg(F.sort_array(F.collect_list(key)).alias("held"))
+    placed = rows.join(arrays, "query_id").select("query_id", F.size(F.filter("held", lambda h: h < key)).alias("at"))
+    counts = placed.groupBy("query_id", "at").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("at"))
+    # Of the rows that have i wanted ones before them, the wanted one itself is the last.
+    numbered = arrays.select("query_id", F.posexplode("held").alias("at", "h")).join(counts.select("query_id", "at", upto.alias("rank")), ["query_id", "at"])
+    return numbered.select("query_id", F.col("h.chunk_id").alias("chunk_id"), "rank")
+
+
+def fused_ranks(first: DataFrame, second: DataFrame, score1: str, score2: str, n: int, keep: Column | None = None) -> DataFrame:
+    """query_id, chunk_id, rrf, score1, score2, place of each query's n best by reciprocal ranks in two scored lists.
+
+    A chunk that a list doesn't have gets nothing from it. One that stands behind 2 * n + RRF_K in both lists has less than
+    each of the first n of one list, so only the others' ranks are worked out, in the whole lists. keep: which chunks count,
+    by both scores; all of the first list must, and of the second at least those before any chunk that does only by it.
+    """
+    far = 2 * n + RRF_K
+    wanted = materialize(contenders(first, score1, far).union(contenders(second, score2, far)).distinct(), "fused-contenders")
+    both = wanted
+    for scores, score, name in ((first, score1, "r1"), (second, score2, "r2")):
+        both = both.join(ranks(scores, score, wanted).withColumnRenamed("rank", name), ["query_id", "chunk_id"], "left")
+        both = both.join(scores.select("query_id", "chunk_id", score), ["query_id", "chunk_id"], "left")
+    fused = (both if keep is None else both.filter(keep)).withColumn("rrf", F.round(sum(F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0)) for r in ("r1", "r2")), 9))
+    return top_k(fused, "rrf", n).select("query_id", "chunk_id", "rrf", score1, score2, F.col("rank").alias("place"))
+
+
 def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, score1: str, score2: str, k: int) -> DataFrame:
-    """query_id, chunk_id, rrf, rank from two scored lists; a chunk that a list doesn't have gets nothing from it."""
+    """query_id, chunk_id, rrf, rank of the k best from two scored lists."""
+    return fused_ranks(first, second, score1, score2, k).select("query_id", "chunk_id", "rrf", F.col("place").alias("rank"))
 
-    def ranked(scores: DataFrame, score: str, name: str) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.col(score).desc(), "chunk_id")
-        return scores.select("query_id", "chunk_id", F.row_number().over(order).alias(name))
 
-    both = ranked(first, score1, "r1").join(ranked(second, score2, "r2"), ["query_id", "chunk_id"], "full")
-    fused = both.select("query_id", "chunk_id", F.round(sum(F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0)) for r in ("r1", "r2")), 9).alias("rrf"))
-    return top_k(fused, "rrf", k)
+def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, least: float = 0.1) -> DataFrame:
+    """query_id, chunk_id, place, score, rank: the k first of the pool by reciprocal ranks whose score is high enough.
+
+    lexical: query_id, chunk_id, bm25; semantic: query_id, chunk_id, cosine. The pool are the first max(4 * k, 20) with a
+    bm25 above 0 or a cosine of NEAR or more; the score is SEMANTIC_SHARE of the cosine and the rest of the share of the
+    query's best bm25. Scores keep rows or drop them; they don't order them.
+    """
+    pool = max(4 * k, 20)
+    good = fused_ranks(lexical.filter("bm25 > 0"), semantic, "bm25", "cosine", pool, keep=(F.col("bm25") > 0) | (F.col("cosine") >= NEAR))
+    best = lexical.groupBy("query_id").agg(F.max("bm25").alias("best"))
+    part = F.coalesce(F.try_divide(F.col("bm25"), F.col("best")), F.lit(0.0))
+    scored = good.join(best, "query_id", "left").withColumn("score", F.round(SEMANTIC_SHARE * F.coalesce("cosine", F.lit(0.0)) + (1 - SEMANTIC_SHARE) * part, 4)).filter(F.col("score") >= least)
+    order = Window.partitionBy("query_id").orderBy("place")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "place", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def assembled(parts: list[tuple[DataFrame, int]], chunks: DataFrame) -> DataFrame:
+    """query_id, n_hits, context: the first hits of several searches, in their order, each chunk once, as lines `[id] text`.
+
+    parts: results (query_id, chunk_id, rank) with how many of each to take.
+    """
+    taken = [hits.filter(F.col("rank") <= n).select("query_id", "chunk_id", F.lit(i).alias("part"), "rank") for i, (hits, n) in enumerate(parts)]
+    rows = taken[0]
+    for more in taken[1:]:
+        rows = rows.unionByName(more)
+    once = rows.groupBy("query_id", "chunk_id").agg(F.min(F.struct("part", "rank")).alias("at"))
+    texts = once.join(chunks.select("chunk_id", "text"), "chunk_id")
+    line = F.concat(F.lit("["), F.col("chunk_id").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
+    lines = texts.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", line.alias("line")))).alias("lines"))  # a few hits a query
+    return lines.select("query_id", F.size("lines").cast("long").alias("n_hits"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"))
 
 
 def final_scores(scores: DataFrame, k: int, least: float = 0.1) -> DataFrame:

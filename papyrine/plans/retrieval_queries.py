@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import SEARCH_STOP
-from papyrine.operators import retrieval
+from papyrine.operators import retrieval, semantic
 from papyrine.operators.evaluation import quantiles
+from papyrine.storage import materialize
 from papyrine.tables import table
 
 #: Results of a query.
@@ -42,8 +43,42 @@ def _overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(sizes, "query_id").select("query_id", "chunk_id", F.round(F.col("shared") / F.col("n_terms"), 6).alias("overlap"))
 
 
+def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both scored lists, written once: ranks are worked out from them in several steps."""
+    return materialize(bm25_scores(spark, sf_dir), "lexical"), materialize(_overlap_scores(spark, sf_dir), "overlap")
+
+
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.reciprocal_rank_fusion(bm25_scores(spark, sf_dir), _overlap_scores(spark, sf_dir), "bm25", "overlap", RESULTS)
+    return retrieval.reciprocal_rank_fusion(*_legs(spark, sf_dir), "bm25", "overlap", RESULTS)
+
+
+def hybrid_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five documents a passage out of a pool of twenty by reciprocal ranks. The second leg is the share of shared terms."""
+    lexical, overlap = _legs(spark, sf_dir)
+    return retrieval.hybrid(lexical, overlap.withColumnRenamed("overlap", "cosine"), 5)
+
+
+#: Languages as collections, with how many hits of each go into a context.
+COLLECTIONS = {"en": 2, "fr": 1, "de": 1}
+
+
+def passage_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each passage the best documents of three collections and of all, each once, as one text with ids."""
+    lexical, overlap = _legs(spark, sf_dir)
+    overlap = overlap.withColumnRenamed("overlap", "cosine")
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    parts = []
+    for lang, n in COLLECTIONS.items():
+        own = langs.filter(F.col("lang") == lang).select("chunk_id")
+        parts.append((retrieval.hybrid(lexical.join(own, "chunk_id", "left_semi"), overlap.join(own, "chunk_id", "left_semi"), n), n))
+    parts.append((retrieval.hybrid(lexical, overlap, 1), 1))
+    shown = retrieval.assembled(parts, _chunks(spark, sf_dir))
+    return shown.select("query_id", "n_hits", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n_chars"))
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the pairs that hold a passage word for word, those whose document is in the pool."""
+    return retrieval.verified_citations(passage_evidence(spark, sf_dir), hybrid_pool(spark, sf_dir))
 
 
 def passage_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,15 +96,56 @@ def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = retrieval.cosine_pairs(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
-    return retrieval.top_k(pairs, "cosine", 5).select("query_id", "chunk_id", "rank", "cosine")
+    return semantic.nearest(_asked_vectors(spark, sf_dir), _vectors(spark, sf_dir), 5).select("query_id", "chunk_id", "rank", "cosine")
 
 
 def chunk_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By label of the asked vectors: the mean of each one's best cosine with the rest."""
-    pairs = retrieval.cosine_pairs(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
-    best = pairs.groupBy("query_id").agg(F.max("cosine").alias("best")).join(_asked_vectors(spark, sf_dir).select("query_id", "label"), "query_id")
-    return best.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("best"), 5).alias("mean_best"))
+    asked = _asked_vectors(spark, sf_dir)
+    best = semantic.nearest(asked, _vectors(spark, sf_dir), 1).join(asked.select("query_id", "label"), "query_id")
+    return best.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 5).alias("mean_best"))
+
+
+#: One vector in ten is a requirement of a posting (its label), the others are chunks of documents, eight a label.
+def _requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).filter("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), F.col("label").cast("long").alias("right"), "embedding")
+
+
+def _document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).filter("chunk_id % 10 <> 0").select((F.col("label") * 8 + F.col("chunk_id") % 8).cast("long").alias("owner"), "chunk_id", "embedding")
+
+
+def _best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(semantic.best_chunks(_requirements(spark, sf_dir), _document_chunks(spark, sf_dir)), "best-chunks")
+
+
+def document_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.document_similarity(_best_chunks(spark, sf_dir), _requirements(spark, sf_dir))
+
+
+def _means(vectors: DataFrame, key: str) -> DataFrame:
+    """key, embedding: the mean vector, by place, so that no task holds a document's vectors."""
+    parts = vectors.select(key, F.posexplode("embedding").alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return parts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
+
+
+def semantic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings and documents: cosine of mean vectors and mean of the requirements' best chunks, between fitted percentiles."""
+    asked, chunks, best = _requirements(spark, sf_dir), _document_chunks(spark, sf_dir), _best_chunks(spark, sf_dir)
+    posts, docs = _means(asked, "right").withColumnRenamed("right", "query_id"), _means(chunks, "owner").withColumn("chunk_id", F.col("owner"))
+    whole = semantic.best_chunks(posts, docs).select(F.col("query_id").alias("right"), "owner", "cosine")
+    return semantic.semantic_scores(whole, best, asked, semantic.fitted_range(best))
+
+
+def related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each requirement and document the nearest chunk, if its cosine is in the upper twentieth: these vectors have none of .65."""
+    best = _best_chunks(spark, sf_dir)
+    return semantic.related(best.crossJoin(F.broadcast(semantic.fitted_range(best))), F.col("high"))
+
+
+def chunk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest chunks of each document for every requirement."""
+    return semantic.best_chunks(_requirements(spark, sf_dir), _document_chunks(spark, sf_dir), 3).select("query_id", "owner", "chunk_id", "rank", "cosine")
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +167,13 @@ QUERIES = {
     "bm25_search": bm25_search,
     "retrieval_scored": retrieval_scored,
     "rrf_hybrid": rrf_hybrid,
+    "hybrid_pool": hybrid_pool,
+    "passage_context": passage_context,
+    "citations": citations,
+    "document_similarity": document_similarity,
+    "semantic_match": semantic_match,
+    "related_chunks": related_chunks,
+    "chunk_pairs": chunk_pairs,
     "passage_evidence": passage_evidence,
     "cosine_topk": cosine_topk,
     "chunk_best_match": chunk_best_match,
@@ -114,6 +197,28 @@ scores AS (
   FROM asked JOIN idf USING (term) JOIN posts USING (term), totals GROUP BY query_id, chunk_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM scores)
 """
+_FUSED = _BM25 + """, legs AS (
+  SELECT query_id, chunk_id, round(count(*) / any_value(n), 6) AS overlap
+  FROM posts JOIN asked USING (term) JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id) USING (query_id) GROUP BY query_id, chunk_id)
+"""
+
+
+def _hybrid(name: str, k: int, lang: str | None = None) -> str:
+    """Common table expressions that end in name: query_id, chunk_id, place, score, rank."""
+    own = f"WHERE chunk_id IN (SELECT doc_id FROM documents WHERE lang = '{lang}')" if lang else ""
+    return f""", {name}_a AS (SELECT query_id, chunk_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS r1 FROM scores {own}),
+{name}_b AS (SELECT query_id, chunk_id, overlap, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_id) AS r2 FROM legs {own}),
+{name}_f AS (
+  SELECT query_id, chunk_id, bm25, overlap, max(bm25) OVER (PARTITION BY query_id) AS best,
+    round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS rrf FROM {name}_a FULL JOIN {name}_b USING (query_id, chunk_id)),
+{name}_p AS (
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS place,
+    round(0.65::DOUBLE * coalesce(overlap, 0) + 0.35::DOUBLE * coalesce(bm25 / best, 0), 4) AS score FROM {name}_f WHERE bm25 > 0 OR overlap >= 0.45),
+{name} AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM {name}_p WHERE place <= {max(4 * k, 20)} AND score >= 0.1) WHERE rank <= {k})
+"""
+
+
 _COS = """
 WITH v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / n) AS u
@@ -122,6 +227,16 @@ pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.label, round(list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])), 6) AS cosine
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 """
+_BEST = """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / n) AS u
+  FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)),
+pairs AS (
+  SELECT a.vec_id AS query_id, a.label::BIGINT AS p, (b.label * 8 + b.vec_id % 8)::BIGINT AS owner, b.vec_id AS chunk_id, round(list_sum(list_transform(list_zip(a.u, b.u), lambda x: x[1] * x[2])), 6) AS cosine
+  FROM v a JOIN v b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id, owner ORDER BY cosine DESC, chunk_id) AS rank FROM pairs),
+best AS (SELECT * FROM near WHERE rank = 1)
+"""
 SQL = {
     "bm25_search": _BM25 + "SELECT query_id, chunk_id, rank, bm25 FROM ranked WHERE rank <= 3",
     "retrieval_scored": _BM25 + """SELECT * FROM (
@@ -134,6 +249,26 @@ fused AS (
   SELECT query_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + rank), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS rrf
   FROM ranked FULL JOIN second USING (query_id, chunk_id))
 SELECT query_id, chunk_id, rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused) WHERE rank <= 3""",
+    "hybrid_pool": _FUSED + _hybrid("pool", 5) + "SELECT query_id, chunk_id, place, score, rank FROM pool",
+    "passage_context": _FUSED + "".join(_hybrid(f"part_{lang}", n, lang) for lang, n in COLLECTIONS.items()) + _hybrid("part_all", 1)
+    + ", hits AS (" + " UNION ALL ".join(f"SELECT query_id, chunk_id, {i} AS part, rank FROM part_{lang}" for i, lang in enumerate([*COLLECTIONS, "all"])) + """),
+once AS (SELECT query_id, chunk_id, part, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part, rank) AS r FROM hits) WHERE r = 1),
+shown AS (SELECT query_id, count(*) AS n_hits, string_agg('[' || chunk_id || '] ' || coalesce(text, ''), chr(10) ORDER BY part, rank) AS context FROM once JOIN documents ON doc_id = chunk_id GROUP BY query_id)
+SELECT query_id, n_hits, md5(context) AS context_md5, length(context) AS n_chars FROM shown""",
+    "citations": _FUSED + _hybrid("pool", 5) + "SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN pool ON query_id = item_id AND chunk_id = doc_id",
+    "document_similarity": _BEST + "SELECT p AS right, owner, round(avg(cosine), 8) AS similarity FROM best GROUP BY 1, 2".replace("AS right", 'AS "right"'),
+    "semantic_match": _BEST + """, fitted AS (SELECT round(quantile_cont(cosine, 0.05), 6) AS low, round(quantile_cont(cosine, 0.95), 6) AS high FROM best),
+means AS (SELECT p, owner, avg(greatest(0, least(1, (cosine - low) / (high - low)))) AS part, count(*) FILTER (greatest(0, least(1, (cosine - low) / (high - low))) >= 0.5) AS covered, count(*) AS n_asked FROM best, fitted GROUP BY 1, 2),
+places AS (SELECT k, label, side, i, avg(x::DOUBLE) AS x FROM (SELECT CASE WHEN vec_id % 10 = 0 THEN label ELSE label * 8 + vec_id % 8 END AS k, vec_id % 10 = 0 AS side, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL),
+whole AS (
+  SELECT a.k AS p, b.k AS owner, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 6) AS cosine
+  FROM (SELECT k, i, x FROM places WHERE side) a JOIN (SELECT k, i, x FROM places WHERE NOT side) b ON a.i = b.i GROUP BY 1, 2),
+cal AS (SELECT p, owner, greatest(0, least(1, (cosine - low) / (high - low))) AS whole FROM whole, fitted)
+SELECT p AS "right", owner, round(whole, 6) AS whole, coalesce(covered, 0) AS covered, coalesce(n_asked, 0) AS n_asked,
+  round(55 * CASE WHEN part IS NULL THEN whole ELSE 0.6::DOUBLE * whole + 0.4::DOUBLE * part END, 1) AS score FROM cal LEFT JOIN means USING (p, owner)""",
+    "related_chunks": _BEST + """SELECT query_id, owner, chunk_id, round(cosine, 4) AS similarity, round(0.8::DOUBLE * round(cosine, 4), 2) AS confidence
+FROM best WHERE cosine >= (SELECT round(quantile_cont(cosine, 0.95), 6) FROM best)""",
+    "chunk_pairs": _BEST + "SELECT query_id, owner, chunk_id, rank, cosine FROM near WHERE rank <= 3",
     "passage_evidence": "SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "cosine_topk": _COS + """SELECT query_id, chunk_id, rank, cosine FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 5""",
