@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import text_of, words
-from papyrine.operators.statements import METRIC, PRESENT_FORMS
+from papyrine.operators.statements import MEASURED, METRIC, PRESENT_FORMS
 
 # Openers that hide what was done, passive and first-person wording, links to results and gerunds.
 STRONG = (
@@ -35,8 +35,9 @@ def verb_tier(text: Column, strong: list[str] = STRONG) -> Column:
 
 
 def metric_phrase(text: Column) -> Column:
-    """The first figure as it stands; empty without one. The pattern's edges may take a sign beside it along."""
-    return F.btrim(F.regexp_extract(text, METRIC, 0), F.lit(" ,;:()."))
+    """The first figure with what it measures, as it stands; empty without one. The pattern's edges may take a sign beside it along."""
+    phrase = F.regexp_replace(F.regexp_extract(text, METRIC + MEASURED, 0), r"^[^A-Za-z0-9$₹€£#]+", "")
+    return F.regexp_replace(F.btrim(phrase, F.lit(" ,;:().")), r"\s+×", "×")
 
 
 def metric_position(text: Column) -> Column:

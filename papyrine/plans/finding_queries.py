@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.functions.text import text_of
+from papyrine.functions.text import TOKENS, text_of
 from papyrine.operators import evaluation, matching, reports
-from papyrine.plans import grading_queries, report_queries, retrieval_queries, table_queries
+from papyrine.plans import report_queries, retrieval_queries, table_queries
 from papyrine.tables import table
 
 #: How much a signal in a text matters.
@@ -31,20 +31,26 @@ def hidden_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", "run").agg(F.first("reason").alias("reason"), F.min("line").alias("line"), F.count("*").alias("n_lines"))
 
 
+#: Kinds of sections that stand for a customer's orders, in turn by key.
+_KINDS = ["experience", "interests", "projects", "languages", "education", "skills", "references", "declaration", "publications", "personal", "summary"]
+
+
 def early_low_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of little text (three lines of under 150 characters) that stand before a document's last long one (500 or more)."""
-    sizes = grading_queries._lines(spark, sf_dir).groupBy("doc_id", F.floor(F.col("line") / 3).alias("section")).agg(F.sum(F.length("text")).alias("n"))
-    last = F.max(F.when(F.col("n") >= 500, F.col("section"))).over(Window.partitionBy("doc_id"))
-    rows = sizes.withColumn("last", last).filter("n < 150 and section < last")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_early"), F.round(1.5 * F.count("*"), 1).alias("points"))
+    """Of a customer's orders as sections, those of kinds that can wait but stand before the last key section."""
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % len(_KINDS) + 1).cast("int"))
+    return reports.interrupting(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("section"), kind.alias("kind")))
 
 
 def skill_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three lines of a document that hold a skill that a passage wants; pairs are those of BM25's three best."""
+    """The first three lines of a document that hold a skill that a passage wants; pairs are those of BM25's three best.
+
+    Skills under five letters must be words of their own.
+    """
     pairs, _, want, _ = table_queries._skills(spark, sf_dir)
-    wanted = pairs.join(want.filter("length(skill) >= 5").withColumnRenamed("owner", "right"), "right").select("left", "skill").distinct()
+    wanted = pairs.join(want.withColumnRenamed("owner", "right"), "right").select("left", "skill").distinct()
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("left"), F.posexplode(F.split(F.lower(text_of(F.col("text"))), "\n")).alias("line", "text"))
-    found = wanted.join(lines, "left").filter(F.contains("text", "skill")).select("left", "skill", F.col("line").cast("long").alias("line"))
+    whole = F.array_contains(F.regexp_extract_all("text", F.lit(TOKENS["search"]), F.lit(0)), F.col("skill"))
+    found = wanted.join(lines, "left").filter(F.contains("text", "skill") & ((F.length("skill") >= 5) | whole)).select("left", "skill", F.col("line").cast("long").alias("line"))
     return evaluation.at_most(found, ["left", "skill"], ["line"], 3)
 
 
@@ -84,12 +90,12 @@ SELECT * FROM r WHERE rank <= 2""",
 n AS (SELECT *, CASE WHEN lag(line) OVER w = line - 1 AND lag(reason) OVER w = reason THEN 0 ELSE 1 END AS fresh FROM h WHERE reason IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM n)
 SELECT doc_id, run, any_value(reason) AS reason, min(line) AS line, count(*) AS n_lines FROM r GROUP BY doc_id, run""",
-    "early_low_sections": grading_queries._LINES + """, s AS (SELECT doc_id, line // 3 AS section, sum(length(text)) AS n FROM lines GROUP BY 1, 2),
-m AS (SELECT *, max(section) FILTER (n >= 500) OVER (PARTITION BY doc_id) AS last FROM s)
-SELECT doc_id, count(*) AS n_early, round(1.5 * count(*), 1) AS points FROM m WHERE n < 150 AND section < last GROUP BY doc_id""",
-    "skill_evidence": table_queries._PAIRS + """, w AS (SELECT DISTINCT l, skill FROM pairs JOIN want USING (r) WHERE length(skill) >= 5),
+    "early_low_sections": f"""WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS section, ({_KINDS})[o_orderkey % {len(_KINDS)} + 1] AS kind FROM orders),
+m AS (SELECT *, max(section) FILTER (kind IN ('experience', 'projects', 'education', 'skills', 'publications')) OVER (PARTITION BY doc_id) AS last FROM s)
+SELECT doc_id, section, kind, 1.5::DOUBLE AS points FROM m WHERE kind IN ('interests', 'languages', 'extracurricular', 'declaration', 'personal', 'references') AND section < last""",
+    "skill_evidence": table_queries._PAIRS + """, w AS (SELECT DISTINCT l, skill FROM pairs JOIN want USING (r)),
 lines AS (SELECT doc_id AS l, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents)
-SELECT * FROM (SELECT w.l AS "left", skill, line, row_number() OVER (PARTITION BY w.l, skill ORDER BY line) AS rank FROM w JOIN lines ON lines.l = w.l AND contains(text, skill)) WHERE rank <= 3""",
+SELECT * FROM (SELECT w.l AS "left", skill, line, row_number() OVER (PARTITION BY w.l, skill ORDER BY line) AS rank FROM w JOIN lines ON lines.l = w.l AND contains(text, skill) AND (length(skill) >= 5 OR list_contains(regexp_extract_all(text, '[a-z0-9_+#.-]+'), skill))) WHERE rank <= 3""",
     "claim_index": table_queries._CASCADE + """SELECT "left", sum(n_direct)::BIGINT AS found, sum(n_missing)::BIGINT AS lost, round(100.0::DOUBLE * sum(n_direct) / nullif(sum(n_direct) + sum(n_missing), 0), 1) AS cvi FROM matched GROUP BY 1""",
     "verdict_order": table_queries._CASCADE + """, judged AS (
   SELECT *, CASE WHEN n_direct = n_direct + n_related + n_partial + n_missing THEN 'met' WHEN n_direct > 0 THEN 'partial' WHEN n_related > 0 THEN 'transferable' WHEN n_partial > 0 THEN 'partial' ELSE 'missing' END AS verdict FROM matched)

@@ -11,11 +11,12 @@ from papyrine.plans.grading_queries import _GRADED, q
 from papyrine.plans.rewrite_queries import _PERTURBED
 from papyrine.tables import table
 
-#: Statements of a brand's parts in eight wordings, the same in both dialects.
+#: Statements of a brand's parts in ten wordings, the same in both dialects.
 _BULLETS = """
-  SELECT p_brand AS owner, p_partkey AS st, CASE p_partkey % 8 WHEN 0 THEN concat('Developed ', p_name, ', reducing cost by ', p_size, '%') WHEN 1 THEN concat('Responsible for various ', p_type, ' tasks and several more, etc.')
+  SELECT p_brand AS owner, p_partkey AS st, CASE p_partkey % 10 WHEN 0 THEN concat('Developed ', p_name, ', reducing cost by ', p_size, '%') WHEN 1 THEN concat('Responsible for various ', p_type, ' tasks and several more, etc.')
     WHEN 2 THEN concat('Designed ', p_name, ' achieving ', p_size, ' orders, with a focus on ', p_brand, ' quality') WHEN 3 THEN concat('Successfully built several ', p_name, ' systems in order to boost throughput for ', p_size, ' users')
     WHEN 4 THEN concat('I was asked to help and reports were reviewed by ', p_brand) WHEN 5 THEN concat('Led ', p_size, ' people at ', p_brand, ' to top ', p_size) WHEN 6 THEN 'manage the team'
+    WHEN 7 THEN concat('Saved $1,', 100 + p_size, ' in costs at -> ', p_size, '% latency') WHEN 8 THEN concat('Raised €', p_size, 'M in funding, with ', p_size, '% recall')
     ELSE concat(p_type, ' ', p_name, ' ', repeat('and much more of it ', p_size % 9)) END AS text FROM {part}"""
 
 
@@ -139,8 +140,8 @@ _FOCUS = "regexp_replace(text, '(?i),?\\s*(with a focus on|focused on)\\s+[^.]*'
 _P = f"CASE WHEN {_WORDS.format('text')} > 34 THEN 1.5 WHEN {_WORDS.format('text')} < 6 THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(text, {q(wording.PASSIVE)}) THEN 0.75 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(text, {q(wording.FIRST_PERSON)}) THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN lower(regexp_extract(text, '^\\s*([^\\s]+)', 1)) IN ({', '.join(map(q, statements.PRESENT_FORMS))}) THEN 0.5 ELSE 0 END::DOUBLE"
 SQL = {
     "bullet_marks": _B + f"""SELECT st, (CASE WHEN regexp_matches(text, {q(wording.HIDING)}) THEN 3 WHEN lower(regexp_extract(text, '[A-Za-z][A-Za-z0-9_-]*')) IN ({', '.join(map(q, wording.STRONG))}) THEN 1 ELSE 2 END)::BIGINT AS tier,
-  CASE WHEN m <> '' THEN {_WORDS.format("left(text, instr(text, m) - 1)")} END::BIGINT AS position, trim(m, ' ,;:().') AS phrase, regexp_matches(text, {q(wording.PASSIVE)}) AS passive, regexp_matches(text, {q(wording.FIRST_PERSON)}) AS first_person
-FROM (SELECT *, regexp_extract(text, {q(statements.METRIC)}) AS m FROM b)""",
+  CASE WHEN m <> '' THEN {_WORDS.format("left(text, instr(text, m) - 1)")} END::BIGINT AS position, regexp_replace(trim(regexp_replace(ph, '^[^A-Za-z0-9$₹€£#]+', ''), ' ,;:().'), '\\s+×', '×', 'g') AS phrase, regexp_matches(text, {q(wording.PASSIVE)}) AS passive, regexp_matches(text, {q(wording.FIRST_PERSON)}) AS first_person
+FROM (SELECT *, regexp_extract(text, {q(statements.METRIC)}) AS m, regexp_extract(text, {q(statements.METRIC + statements.MEASURED)}) AS ph FROM b)""",
     "bullet_rewrites": _B + f""", p AS (SELECT *, {_map(wording.GERUNDS)}[lower(regexp_extract(trim(text), {q(wording.LINKED)}, 1))] AS g, {_map(wording.RESULT)}[lower(regexp_extract(trim(text), {q(wording.LINKED)}, 3))] AS l, {_FOCUS} AS f FROM b),
 t AS (SELECT *, CASE WHEN f <> text AND rtrim(f) NOT LIKE '%.' THEN regexp_replace(f, '[ ,]+$', '') || '.' ELSE f END AS e FROM p),
 s AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(e, '(?i)(^|[^A-Za-z0-9_])(successfully|effectively|various)\\s+', '\\1', 'g'), '(?i)(^|[^A-Za-z0-9_])in order to([^A-Za-z0-9_]|$)', '\\1to\\2', 'g'), '\\s{{2,}}', ' ', 'g')) AS short FROM t),
