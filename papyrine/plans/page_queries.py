@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import text_of
-from papyrine.operators import pages
+from papyrine.operators import pages, views
 from papyrine.storage import materialize
 from papyrine.tables import table
 
@@ -22,11 +22,12 @@ SELECT doc_id, i // {PIECES} AS page, i AS piece, text, 612.0 AS width, style =
 FROM cut"""
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
+    """Pieces with regions. text: what stands in a piece, from doc_id, i and text; a piece's own words by default."""
     five = rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{0,{WORDS - 1}}}[^\x20\x09-\x0D]+"
     cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(text_of(F.col("text")), F.lit(five), F.lit(0))).alias("i", "text"))
     cut = cut.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    cut = cut.select("doc_id", F.col("i").cast("long").alias("i"), "text", (F.col("i") % PIECES).alias("j"), (F.col("doc_id") % 3).alias("style"))
+    cut = cut.select("doc_id", F.col("i").cast("long").alias("i"), (F.col("text") if text is None else text).alias("text"), (F.col("i") % PIECES).alias("j"), (F.col("doc_id") % 3).alias("style"))
     numbers = {c: F.col(c).cast("double") for c in ("x0", "x1", "y0", "size", "width")}
     pieces = spark.sql(_SET.replace("FROM cut", "FROM {cut}").replace("//", "div"), cut=cut).withColumns(numbers).withColumn("y1", F.col("y0") + 10.0)
     return pages.regions(pieces)
@@ -43,7 +44,26 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page", "line", "x0", "y0", "x1", "y1", F.md5("text").alias("text_md5"), "size", "bold", "first_bold", "is_bullet")
 
 
-QUERIES = {"page_gutters": page_gutters, "page_rows": page_rows, "layout_flags": lambda s, d: pages.flags(_placed(s, d))}
+def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Views with integrity, and contacts. The second piece is an address, the third a number; every seventh ends in a month, and of every second document in three the last of them are cells."""
+    dated = F.when(F.col("i") == 1, F.concat(F.lit("mail"), "doc_id", F.lit("@example.org"))).when(F.col("i") == 2, F.concat(F.lit("+49 30 "), F.lpad((F.col("doc_id") % 9973).cast("string"), 7, "5")))
+    dated = dated.when(F.col("i") % 7 == 3, F.concat("text", F.lit(" Mar "), 2000 + F.col("i") % 20)).otherwise(F.col("text"))
+    placed = materialize(_placed(spark, sf_dir, dated), "placed")
+    read = pages.rows(pages.in_rows(placed)).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    cells = placed.filter("doc_id % 6 = 0 and piece % 60 >= 50").select("doc_id", "page", F.col("piece").alias("cell"), "text")
+    contacts = placed.groupBy("doc_id").agg(F.max(F.when(F.col("piece") == 1, F.col("text"))).alias("email"), F.max(F.when(F.col("piece") == 2, F.col("text"))).alias("phone"))
+    return views.integrity(views.view_texts(placed, cells), read), contacts
+
+
+def parser_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.checked(*_views(spark, sf_dir))
+
+
+def parser_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.verdicts(parser_views(spark, sf_dir))
+
+
+QUERIES = {"parser_views": parser_views, "parser_verdicts": parser_verdicts, "page_gutters": page_gutters, "page_rows": page_rows, "layout_flags": lambda s, d: pages.flags(_placed(s, d))}
 
 _PLACED = rf"""
 WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
