@@ -24,7 +24,6 @@ MIN_SEEN = 50
 RATIOS = {"symbols": (30, None), "dup_lines": (400, None), "repeats": (100, None), "word_length": (1500, 1500)}
 #: Threshold tables up to this many groups are broadcast; larger ones are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
-_POSITIONS = 26
 
 
 def text_counts(text: Column) -> list[dict[str, Column]]:
@@ -33,13 +32,9 @@ def text_counts(text: Column) -> list[dict[str, Column]]:
     trimmed = F.btrim(whole, F.lit(" \t\n\x0b\f\r"))
     # Lines are compared as they are: the first and last keep their outer white space.
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    high = F.expr(f"transform(_q_grams, (x, i) -> (shiftleft(shiftright(x, {_POSITIONS}), {_POSITIONS}) | cast(i as bigint)))")
-    mask = f"{(1 << _POSITIONS) - 1}L"
-
-    def same(y: str) -> str:
-        return f"(shiftright(x, {_POSITIONS}) = shiftright({y}, {_POSITIONS}) and get(_q_grams, cast(x & {mask} as int)) = get(_q_grams, cast({y} & {mask} as int)))"
-
-    found = F.expr(f"sort_array(transform(filter(_q_sorted, (x, j) -> coalesce({same('get(_q_sorted, j + 1)')}, false) or coalesce({same('get(_q_sorted, j - 1)')}, false)), x -> x & {mask}))")
+    # Windows in order of their whole hash, then place: equal ones are neighbours, however long the text is.
+    placed = F.expr("transform(_q_grams, (x, i) -> struct(x as h, i as p))")
+    found = F.expr("sort_array(transform(filter(_q_sorted, (x, j) -> coalesce(x.h = get(_q_sorted, j + 1).h, false) or (j > 0 and x.h = get(_q_sorted, j - 1).h)), x -> cast(x.p as bigint)))")
     covered = F.expr("aggregate(transform(_q_at, (p, j) -> least(3L, coalesce(get(_q_at, j + 1) - p, 3L))), 0L, (a, x) -> a + x)")
     return [
         {"_q_text": trimmed},
@@ -51,7 +46,7 @@ def text_counts(text: Column) -> list[dict[str, Column]]:
             "_q_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
             "_q_grams": F.expr("case when size(_q_words) < 3 then array() else transform(sequence(0, size(_q_words) - 3), i -> xxhash64(get(_q_words, i), get(_q_words, i + 1), get(_q_words, i + 2))) end"),
         },
-        {"_q_sorted": F.sort_array(high)},
+        {"_q_sorted": F.sort_array(placed)},
         {"_q_at": found},
         {"_q_repeats": covered},
     ]
@@ -126,7 +121,7 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     docs needs text, lang and source; other columns may have any names. Null texts have no words and fail; null languages
     and sources are groups of their own. Every row is judged, so repeated rows get the same verdict. An empty table gives
-    an empty result. Texts may have up to 2**26 words.
+    an empty result.
     """
     rows = materialize(measured(docs, keep), "quality-rows")
     limits = materialize(fences(sketches(rows)), "quality-fences")
