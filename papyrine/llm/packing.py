@@ -3,8 +3,11 @@
 The histogram of piece lengths is all that planning needs. Lengths are put into classes of equal width; patterns of
 up to DEPTH classes that fill a sequence are enumerated; non-negative least squares fits how often each pattern
 repeats; counts are rounded, and kept to what there is. A pattern's least part is left open: the pieces that remain go,
-longest first, into the best-fitting gaps of those sequences and then into new ones. The plan is a list of runs of equal placements, whose number depends on the
-capacity and not on the number of documents. Pieces find theirs by their rank among the pieces of their length.
+longest first, into the best-fitting gaps of those sequences and then into new ones. As classes are coarser than lengths,
+taking all fitted repeats can leave gaps that no piece fills; so the share of them that is taken is the one that needs the
+fewest sequences, and best fit alone (no share) is among those that are tried. The plan is a list of runs of equal
+placements, whose number depends on the capacity and not on the number of documents. Pieces find theirs by their rank among
+the pieces of their length.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ CAPACITY = 4096
 END_ID = 1
 CLASSES = 48
 DEPTH = 5
-#: Share of the fitted repeats that is kept; the other pieces are left for gaps. All of them would leave too few small pieces.
-KEPT_SHARE = 0.5
+#: Shares of the fitted repeats that are tried; of those that need the fewest sequences the largest is taken.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1, 0.0)
 #: Pieces of one length that are put in order together, about.
 BLOCK_PIECES = 20_000
 #: Words, and parts of words, whose ids a Python worker remembers.
@@ -179,7 +182,35 @@ def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY, classes: int
     """Runs (length, first rank, count, first sequence, offset), and the number of sequences.
 
     The pieces of a length with ranks from first rank on, count of them, go to as many consecutive sequences, at offset.
+    There are never more sequences than best fit makes of the same pieces.
     """
+    rows, repeats = fitted_repeats(histogram, capacity, classes, depth)
+    best: tuple[list[tuple[int, int, int, int, int]], int] | None = None
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    for share in SHARES:
+        plan = place(histogram, rows, np.floor(share * repeats + 0.5).astype(np.int64), capacity, classes)
+        if best is None or plan[1] < best[1]:
+            best = plan
+        if best[1] == least:
+            break
+    return best
+
+
+def fitted_repeats(histogram: dict[int, int], capacity: int, classes: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The patterns, and how often each is to be repeated to use up the pieces of every class."""
+    width = -(-capacity // classes)
+    available = np.zeros(classes, np.int64)
+    for n, c in histogram.items():
+        available[-(-n // width) - 1] += c
+    rows = patterns(classes, depth)
+    if not available.sum():
+        return rows, np.zeros(len(rows))
+    weights = np.where(np.arange(1, classes + 1) * 16 <= classes, 0.1, 1.0) / np.sqrt(1 + available)
+    return rows, nonnegative_least_squares(rows.T.astype(float), available.astype(float), weights)
+
+
+def place(histogram: dict[int, int], rows: np.ndarray, repeat: np.ndarray, capacity: int, classes: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plan that takes each pattern as often as repeat says, as far as pieces go, and best fit for the others."""
     left = {n: c for n, c in histogram.items() if c}
     width = -(-capacity // classes)
     used: dict[int, int] = {}
@@ -198,9 +229,6 @@ def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY, classes: int
         queue.setdefault(-(-n // width), []).append(n)
     available = np.array([sum(left[n] for n in queue.get(k + 1, [])) for k in range(classes)], np.int64)
     if available.sum():
-        rows = patterns(classes, depth)
-        weights = np.where(np.arange(1, classes + 1) * 16 <= classes, 0.1, 1.0) / np.sqrt(1 + available)
-        repeat = np.floor(KEPT_SHARE * nonnegative_least_squares(rows.T.astype(float), available.astype(float), weights) + 0.5).astype(np.int64)
         for i in np.argsort(-repeat, kind="stable"):
             if repeat[i] <= 0:
                 break
