@@ -34,7 +34,7 @@ _TO_VALUE = re.compile(r"[^>=]*(=\s*)?")
 _BARE_VALUE = re.compile(r"[^\s>]*")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object select canvas".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr output picture q rb rp rt ruby s samp small source span strike strong sub sup time "
     "tt u var wbr script style template noscript svg math object canvas select textarea button map area embed iframe".split()
@@ -57,6 +57,8 @@ _UNLIKELY_NAMES = frozenset(
 _HEADER_WORDS = frozenset("header head topnav".split())
 #: What an unlikely name leaves of a density.
 UNLIKELY = 0.02
+#: Articles beside the chosen one belong to the text from this share of its characters.
+EQUAL = 0.5
 #: A part counts as text of its own from this share of the core's characters.
 PART = 0.1
 #: Elements whose class and id say what the article tells.
@@ -317,7 +319,7 @@ def chosen_subtree(page: Page, of: Densities, path: list[int], least: float) ->
     tags, parents, core = page.tags, page.parents, path[0]
     around = [k for k in path if tags[k] == "article"] or [k for k in path if tags[k] == "main"]
     if around:
-        return around[0], True
+        return _with_equals(page, of, path, around[0], least), True
     n, on_path = len(tags), set(path)
     text = [not of.out[k] and k not in on_path and of.density[k] >= least and of.chars[k] >= PART * of.chars[core] for k in range(n)]
     title = [of.chars[k] if tags[k] == "h1" and of.likely[k] == of.likely[core] else 0 for k in range(n)]  # characters in titles
@@ -341,6 +343,24 @@ def chosen_subtree(page: Page, of: Densities, path: list[int], least: float) ->
     return chosen, False
 
 
+def _with_equals(page: Page, of: Densities, path: list[int], own: int, least: float) -> int:
+    """The article itself, or the part of the path that also has the other articles of the same main element or body.
+
+    Such are as dense as the threshold asks, have EQUAL of the article's characters and no name that makes them unlikely.
+    """
+    if page.tags[own] != "article":
+        return own
+    up = path[path.index(own) :]
+    border = next((k for k in up if page.tags[k] == "main"), up[-1])
+    chosen = own
+    for k in range(len(page.tags)):
+        inside = page.begin[border] <= page.begin[k] and page.end[k] <= page.end[border]
+        apart = page.end[k] <= page.begin[own] or page.begin[k] >= page.end[own]
+        if page.tags[k] == "article" and inside and apart and not of.out[k] and of.likely[k] >= of.likely[own] and of.density[k] >= least and of.chars[k] >= EQUAL * of.chars[own]:
+            chosen = next(x for x in up[up.index(chosen) :] if page.begin[x] <= page.begin[k] and page.end[k] <= page.end[x])
+    return chosen
+
+
 def main_text(source: str | None) -> str:
     """The article's text; an empty text for null, empty and textless pages."""
     if not source:

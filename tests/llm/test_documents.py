@@ -284,6 +284,34 @@ def test_plans_place_every_piece_once():
     assert packing.plan_packs({}) == ([], 0) and packing.plan_packs({4096: 3})[1] == 3
 
 
+def test_plans_need_no_more_sequences_than_best_fit():
+    rng = np.random.default_rng(2)
+    uniform = {n: 50 for n in range(1, 4097)}
+    bimodal = {n: int(rng.integers(40)) for n in range(100, 400)} | {n: int(rng.integers(9)) for n in range(2500, 3600)}
+    normal = collections.Counter(np.clip(rng.lognormal(6.2, 0.8, 20_000), 1, 4096).astype(int).tolist())
+    for histogram in (uniform, bimodal, dict(normal), {2048: 7, 1: 3}, {5: 1}):
+        rows, repeats = packing.fitted_repeats(histogram, packing.CAPACITY, packing.CLASSES, packing.DEPTH)
+        alone = packing.place(histogram, rows, np.zeros(len(rows), np.int64), packing.CAPACITY, packing.CLASSES)[1]
+        assert -(-sum(n * c for n, c in histogram.items()) // 4096) <= packing.plan_packs(histogram)[1] <= alone
+    assert packing.plan_packs(uniform)[1] == 102_425
+
+
+def test_repeats_of_very_long_texts_are_exact(spark):
+    """Windows are compared by their whole hash, so the number of words sets no limit."""
+    rng = np.random.default_rng(3)
+    for n, words in ((300_000, 70_000), (5_000, 40)):
+        ids = rng.integers(words, size=n)
+        grams = ids[:-2] * words * words + ids[1:-1] * words + ids[2:]
+        _, which, seen = np.unique(grams, return_inverse=True, return_counts=True)
+        covered = np.zeros(n, bool)
+        at = np.flatnonzero(seen[which] > 1)
+        for k in range(3):
+            covered[at + k] = True
+        docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in ids), "a", "b")], "doc_id long, text string, lang string, source string")
+        row = quality_rules.judged(docs).first()
+        assert (row._q_n_words, row._q_repeats) == (n, int(covered.sum()))
+
+
 def test_licenses_are_found_whole_and_nearly_whole(spark):
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     long = "permission is hereby granted, free of charge, to any person obtaining a copy of THIS software and associated documentation files"

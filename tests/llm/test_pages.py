@@ -141,3 +141,17 @@ def test_pages_repeat_and_clash(spark):
     rows = spark.createDataFrame([(1, "u", f"<p>{DENSE.format(1)}", "x", 1)] * 3, "page_id long, url string, html string, text string, n_chars int")
     got = html_text.extract_main_text(rows).collect()
     assert [tuple(r) for r in got] == [(1, "u", DENSE.format(1), len(DENSE.format(1)))] * 3
+
+
+def test_formulas_drawings_and_fallbacks_are_text():
+    page = "<html><body><nav>menu</nav><article><p>We have <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> here.</p><p>See <svg><path d='x'/><text>axis</text></svg>, <object data='x'>a film</object> and <canvas>a plot</canvas>.</p></article></body></html>"
+    assert main_text(page) == "We have E=mc here. See axis, a film and a plot."
+
+
+def test_articles_of_like_length_stay_together():
+    said = ["word " * 60, "term " * 50, "rare " * 5]
+    page = f"<body><nav>menu</nav><main><article><h1>A</h1><p>{said[0]}</p></article><article><h2>B</h2><p>{said[1]}</p></article><article><p>{said[2]}</p></article><article class='comment'><p>{said[0]}</p></article></main><footer>end</footer></body>"
+    words = main_text(page).split()
+    assert words.count("word") == 60 and words.count("term") == 50 and "menu" not in words and "end" not in words
+    alone = f"<body><main><article><p>{said[0]}</p></article><aside><article><p>{said[1]}</p></article></aside></main></body>"
+    assert main_text(alone).split() == ["word"] * 60
