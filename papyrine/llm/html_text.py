@@ -37,7 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr output picture q rb rp rt ruby s samp small source span strike strong sub sup time "
-    "tt u var wbr script style template noscript svg math object canvas select textarea button map area embed iframe".split()
+    "tt u var wbr script style template noscript svg math object canvas select textarea button map area embed iframe "
+    "mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics annotation g path text tspan".split()
 )
 #: Elements of which none holds article text.
 OUTSIDE = frozenset("head nav footer aside form button input dialog menu".split()) | RAW
