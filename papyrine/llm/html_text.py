@@ -278,6 +278,7 @@ class Densities:
             told[up] |= told[node]
             below[up] += below[node]
         self.out, self.likely, self.unlikely = [False] * n, [1.0] * n, [False] * n
+        self.aside = [False] * n  # articles within or beside another that are named as comments, adverts and the like
         in_article, link = [False] * n, [False] * n
         for node in range(1, n):
             up, tag = parents[node], tags[node]
@@ -287,6 +288,7 @@ class Densities:
             wrapper = tag == "form" and (told[node] or 2 * below[node] > below[0])
             self.out[node] = self.out[up] or _is_outside(tag, found[node], in_article[node], heading[node], wrapper)
             self.unlikely[node] = tag not in _TELLING_TAGS and not wrapper and bool(found[node]) and _is_unlikely(tag, found[node], heading[node])
+            self.aside[node] = tag == "article" and bool(found[node]) and _is_unlikely(tag, found[node], heading[node])
             self.likely[node] = self.likely[up] * (UNLIKELY if self.unlikely[node] else 1.0)
         self.chars = [0 if self.out[k] else held[k] for k in range(n)]
         self.link_chars = [held[k] if link[k] and not self.out[k] else 0 for k in range(n)]
@@ -357,7 +359,7 @@ def _with_equals(page: Page, of: Densities, path: list[int], own: int, least: fl
     for k in range(len(page.tags)):
         inside = page.begin[border] <= page.begin[k] and page.end[k] <= page.end[border]
         apart = page.end[k] <= page.begin[own] or page.begin[k] >= page.end[own]
-        if page.tags[k] == "article" and inside and apart and not of.out[k] and of.likely[k] >= of.likely[own] and of.density[k] >= least and of.chars[k] >= EQUAL * of.chars[own]:
+        if page.tags[k] == "article" and inside and apart and not of.out[k] and not of.aside[k] and of.likely[k] >= of.likely[own] and of.density[k] >= least and of.chars[k] >= EQUAL * of.chars[own]:
             chosen = next(x for x in up[up.index(chosen) :] if page.begin[x] <= page.begin[k] and page.end[k] <= page.end[x])
     return chosen
 
@@ -377,7 +379,7 @@ def main_text(source: str | None) -> str:
         if page.begin[k] >= page.end[chosen] and page.parents[k] < chosen:
             break
         links = not told and page.tags[k] not in INLINE and of.link_count[k] >= 3 and of.link_chars[k] >= 0.8 * of.chars[k]
-        out[k] = out[k] or k not in on_path and (out[page.parents[k]] or (of.unlikely[k] or links) and of.density[k] < least)
+        out[k] = out[k] or k not in on_path and (out[page.parents[k]] or of.aside[k] or (of.unlikely[k] or links) and of.density[k] < least)
     some = slice(page.begin[chosen], page.end[chosen])
     parts = [" " if text is None else text for text, node in zip(page.events[some], page.owner[some], strict=True) if not out[node]]
     return " ".join("".join(parts).split())
