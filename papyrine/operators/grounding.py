@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import text_of
 from papyrine.operators import facts
+from papyrine.storage import materialize
 
 #: Stands before tokens that begin a sentence.
 MARK = "\x01"
@@ -27,14 +28,16 @@ def holds(text: Column, phrase: Column) -> Column:
 
 
 def phrases(column: Column, longest: int = 4) -> Column:
-    """Distinct runs of 1 to longest words of a normal text."""
-    w = F.split(column, " ")
-    runs = [F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), _run(w, n)) for n in range(1, longest + 1)]
-    return F.array_distinct(F.concat(*runs))
+    """Distinct runs of 1 to longest words of a normal text; longer runs are made of shorter ones and the next word."""
+    def runs(words: Column) -> Column:
+        found = [words]
+        for n in range(1, longest):
+            left = F.greatest(F.size(words) - n, F.lit(0))
+            found.append(F.zip_with(F.slice(found[-1], F.lit(1), left), F.slice(words, n + 1, left), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.concat(*found)
 
-
-def _run(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
+    # Within the lambda the words are split once.
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(column, " ")), runs)))
 
 
 def mentions(rows: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
@@ -69,9 +72,9 @@ def validated(rows: DataFrame, key: str, names: DataFrame, generals: DataFrame,
     """
     numbers = facts.check_numbers(rows, "rewrite", "ground").select(key, F.col("n_unsupported").alias("n_bad_numbers"), "n_derived")
     ground = rows.select(key, normal(F.col("ground")).alias("g"), facts.numbers(F.col("ground")).alias("v"))
-    grounded = mentions(ground, key, "g", names)
+    grounded = materialize(mentions(ground, key, "g", names), "grounded")
     general = grounded.join(generals, "canonical").select(key, normal(F.col("general")).alias("phrase"), F.lit(True).alias("general")).distinct()
-    terms = key_terms(rows.select(key, "rewrite"), key, "rewrite", names, ambiguous)
+    terms = materialize(key_terms(rows.select(key, "rewrite"), key, "rewrite", names, ambiguous), "key-terms")
     of_terms = terms.join(names, "phrase").join(grounded, [key, "canonical"]).select(key, "term", F.lit(True).alias("alias")).distinct()
     checked = terms.join(ground, key).join(of_terms, [key, "term"], "left").join(general, [key, "phrase"], "left")
     left = F.regexp_replace("term", "[0-9.-]+", "")

@@ -34,3 +34,10 @@ def test_sections_that_can_wait(spark):
     rows = [(1, 0, "summary"), (1, 1, "interests"), (1, 2, "projects"), (1, 3, "languages"), (2, 0, "references"), (3, 0, None), (3, 1, "skills")]
     got = reports.interrupting(spark.createDataFrame(rows, "doc_id long, section long, kind string")).collect()
     assert [tuple(r) for r in got] == [(1, 1, "interests", 1.5)]
+
+
+def test_inflected_words_are_those_with_a_listed_base_form(spark):
+    verbs = ["plan", "carry", "use", "lead", "fix", "go", "fine-tune"]
+    words = [*verbs, *(v + e for v in verbs for e in ("s", "es", "ed", "d", "ing")), "carries", "carried", "planned", "used", "goed", "fixxed", "plannedx", "usees", "planed", "carryed", "gooed", "leadded", "s", "ed", "es", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.arrays_overlap(statements.base_forms(F.col("w")), F.array(*map(F.lit, verbs))).alias("a"), F.col("w").isin(statements.inflected(verbs)).alias("b")).collect()
+    assert [(r.w, r.a) for r in rows] == [(r.w, r.b) for r in rows] and sum(r.a for r in rows) > 20
