@@ -56,8 +56,12 @@ def answer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(table(spark, sf_dir, "documents"))
+
+
+def lines(docs: DataFrame) -> DataFrame:
     """Documents' lines on pages of 50, with sizes, boldness and roles that follow from place and length."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(text_of(F.col("text")), "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long")).filter(F.btrim("text") != "")
+    lines = docs.select("doc_id", F.posexplode(F.split(text_of(F.col("text")), "\n")).alias("line", "text")).withColumn("line", F.col("line").cast("long")).filter(F.btrim("text") != "")
     head = layout.is_heading(F.col("text"))
     return lines.select(
         "doc_id", "line", "text", F.floor(F.col("line") / 50).alias("page"), (36.0 + 18 * (F.length("text") % 4)).alias("x0"), (36.0 + 14 * (F.col("line") % 50)).alias("y0"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"),
