@@ -41,15 +41,6 @@ def missed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at_most(rows, ["source"], ["grade", "doc_id", "st"], 5).select("source", "doc_id", "st", "grade", "rank")
 
 
-def posting_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = postings.posting_lines(table(spark, sf_dir, "documents"))
-    return rows.groupBy("section", "kind").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
-
-
-def seniority_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.coalesce(postings.seniority(F.col("text")), F.lit("none")).alias("level")).groupBy("level").agg(F.count("*").alias("n_docs"))
-
-
 def answer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
     return postings.answer_scores(turns, "conv_id", "turn")
@@ -102,11 +93,8 @@ QUERIES = {
     "quantification": lambda s, d: S.quantification(_statements(s, d), "doc_id"),
     "punctuation_consistency": lambda s, d: S.punctuation_consistency(_statements(s, d), "source"),
     "missed_evidence": missed_evidence,
-    "posting_kinds": posting_kinds,
-    "seniority_levels": seniority_levels,
     "answer_labels": answer_labels,
     "body_size": lambda s, d: layout.body_size(_lines(s, d)),
-    "heading_styles": lambda s, d: layout.heading_styles(_lines(s, d)),
     "section_sizes": section_sizes,
     "line_attention": line_attention,
     "grounded_answers": grounded_answers,

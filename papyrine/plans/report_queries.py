@@ -14,16 +14,6 @@ from papyrine.tables import table
 _FOUND = ["email", "percent", "ipv4", "license", "url", "masked_metric", "todo"]
 
 
-def culture_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.explode(reports.tags(F.col("text"), reports.CULTURE)).alias("tag"))
-    return docs.groupBy("tag").agg(F.count("*").alias("n_docs"))
-
-
-def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.coalesce(reports.first_tag(F.col("text"), reports.INDUSTRY), F.lit("none")).alias("industry"))
-    return docs.groupBy("industry").agg(F.count("*").alias("n_docs"))
-
-
 def formulaic_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.formulaic_share(statements.statements(table(spark, sf_dir, "documents"), "source"), "source")
 
@@ -62,8 +52,6 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "culture_tags": culture_tags,
-    "industries": industries,
     "formulaic_phrases": formulaic_phrases,
     "signal_findings": signal_findings,
     "hidden_spans": hidden_spans,

@@ -60,11 +60,6 @@ def weighted_line_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity") * value) / F.sum("l_quantity"), 4).alias("weighted"), F.round(F.sum(value), 2).alias("value"))
 
 
-def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    return left.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-
-
 def status_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
     return counted.select("o_orderpriority", *(F.coalesce(c, F.lit(0).cast("long")).alias(f"status_{c.lower()}") for c in "FOP"))
@@ -139,7 +134,6 @@ QUERIES = {
     "event_props": event_props,
     "history_join": history_join,
     "weighted_line_value": weighted_line_value,
-    "anti_join": customers_without_orders,
     "status_crosstab": status_crosstab,
     "auc_quality": lambda s, d: evaluation.roc_auc(_labelled(s, d), "n_chars", "quality"),
     "spearman_quality": lambda s, d: evaluation.spearman(_labelled(s, d), "n_chars", "quality"),
@@ -226,7 +220,6 @@ WITH named AS (SELECT n_name, o_orderkey, c_name, row_number() OVER (PARTITION B
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT n_name, rank, o_orderkey, c_name, coalesce(n, 0) AS n_lines FROM named LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE rank <= 5""",
     "weighted_line_value": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity * l_extendedprice * (1 - l_discount)) / sum(l_quantity), 4) AS weighted, round(sum(l_extendedprice * (1 - l_discount)), 2) AS value FROM lineitem GROUP BY 1, 2",
-    "anti_join": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1",
     "status_crosstab": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS status_f, count(*) FILTER (o_orderstatus = 'O') AS status_o, count(*) FILTER (o_orderstatus = 'P') AS status_p FROM orders GROUP BY 1",
     "auc_quality": _LABELLED + "SELECT p AS n_positive, n AS n_negative, round((r - p * (p + 1) / 2) / (p * n), 6) AS auc FROM (SELECT sum(ra) FILTER (quality = 1) AS r, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n FROM mids)",
     "spearman_quality": _LABELLED + "SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman FROM mids",
