@@ -24,6 +24,8 @@ MIN_SEEN = 50
 RATIOS = {"symbols": (30, None), "dup_lines": (400, None), "repeats": (100, None), "word_length": (1500, 1500)}
 #: Threshold tables up to this many groups are broadcast; larger ones are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
+#: Low bits of a sorted window that are its place.
+_POSITIONS = 26
 
 
 def text_counts(text: Column) -> list[dict[str, Column]]:
@@ -32,9 +34,25 @@ def text_counts(text: Column) -> list[dict[str, Column]]:
     trimmed = F.btrim(whole, F.lit(" \t\n\x0b\f\r"))
     # Lines are compared as they are: the first and last keep their outer white space.
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # Windows in order of their whole hash, then place: equal ones are neighbours, however long the text is.
-    placed = F.expr("transform(_q_grams, (x, i) -> struct(x as h, i as p))")
-    found = F.expr("sort_array(transform(filter(_q_sorted, (x, j) -> coalesce(x.h = get(_q_sorted, j + 1).h, false) or (j > 0 and x.h = get(_q_sorted, j - 1).h)), x -> cast(x.p as bigint)))")
+    # Windows in order of their hash's high bits, with their place in the low ones: equal ones are neighbours, unless another
+    # window with the same high bits stands between them. Texts where that can be, or that have more places, are put in order
+    # by whole hashes, which takes more memory.
+    limit = f"size(_q_grams) < {1 << _POSITIONS}L"
+    high = F.expr(f"case when {limit} then transform(_q_grams, (x, i) -> (shiftleft(shiftright(x, {_POSITIONS}), {_POSITIONS}) | cast(i as bigint))) end")
+    mask = f"{(1 << _POSITIONS) - 1}L"
+
+    def near(y: str) -> str:
+        return f"shiftright(x, {_POSITIONS}) = shiftright({y}, {_POSITIONS})"
+
+    def same(y: str) -> str:
+        return f"({near(y)} and get(_q_grams, cast(x & {mask} as int)) = get(_q_grams, cast({y} & {mask} as int)))"
+
+    after, before = "get(_q_sorted, j + 1)", "get(_q_sorted, j - 1)"
+    mixed = F.expr(f"coalesce(exists(transform(_q_sorted, (x, j) -> coalesce({near(after)} and not {same(after)}, false)), c -> c), true)")
+    packed = f"transform(filter(_q_sorted, (x, j) -> coalesce({same(after)}, false) or coalesce({same(before)}, false)), x -> x & {mask})"
+    placed = "sort_array(transform(_q_grams, (x, i) -> struct(x as h, i as p)))"
+    whole = f"transform(array({placed}), s -> transform(filter(s, (x, j) -> coalesce(x.h = get(s, j + 1).h, false) or (j > 0 and x.h = get(s, j - 1).h)), x -> cast(x.p as bigint)))[0]"
+    found = F.expr(f"sort_array(case when _q_mixed then {whole} else {packed} end)")
     covered = F.expr("aggregate(transform(_q_at, (p, j) -> least(3L, coalesce(get(_q_at, j + 1) - p, 3L))), 0L, (a, x) -> a + x)")
     return [
         {"_q_text": trimmed},
@@ -46,7 +64,8 @@ def text_counts(text: Column) -> list[dict[str, Column]]:
             "_q_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
             "_q_grams": F.expr("case when size(_q_words) < 3 then array() else transform(sequence(0, size(_q_words) - 3), i -> xxhash64(get(_q_words, i), get(_q_words, i + 1), get(_q_words, i + 2))) end"),
         },
-        {"_q_sorted": F.sort_array(placed)},
+        {"_q_sorted": F.sort_array(high)},
+        {"_q_mixed": mixed},
         {"_q_at": found},
         {"_q_repeats": covered},
     ]

@@ -296,8 +296,10 @@ def test_plans_need_no_more_sequences_than_best_fit():
     assert packing.plan_packs(uniform)[1] == 102_425
 
 
-def test_repeats_of_very_long_texts_are_exact(spark):
-    """Windows are compared by their whole hash, so the number of words sets no limit."""
+@pytest.mark.parametrize("places", [26, 60, 12])
+def test_repeats_of_very_long_texts_are_exact(spark, monkeypatch, places):
+    """Whether few bits of a hash are left to sort by, so that foreign windows stand between equal ones, or a text has more words than places."""
+    monkeypatch.setattr(quality_rules, "_POSITIONS", places)
     rng = np.random.default_rng(3)
     for n, words in ((300_000, 70_000), (5_000, 40)):
         ids = rng.integers(words, size=n)
