@@ -59,7 +59,7 @@ def arguments(toks: DataFrame) -> DataFrame:
 
 def _plain(held: Column) -> Column:
     """The text of tokens: commands and braces go, escaped signs stay, white space is made one space."""
-    kept = F.transform(held, lambda t: F.when(t.rlike(r"^\\[&%$#_{}]$"), F.substring(t, 2, 1)).when(t == "\\\\", " ").when(t.rlike(r"^\\") | t.isin("{", "}"), "").otherwise(t))
+    kept = F.transform(held, lambda t: F.when(t.rlike(r"^\\[&%$#_{}]$"), F.substring(t, 2, 1)).when(t == "\\\\", " ").when(t.rlike(r"^[\\%]") | t.isin("{", "}"), "").otherwise(t))
     return F.btrim(F.regexp_replace(F.array_join(kept, ""), r"\s+", " "))
 
 
@@ -67,7 +67,7 @@ def events(docs: DataFrame) -> DataFrame:
     """doc_id, line, kind, name, text, args: headings, items, entries (other macros with two arguments or more outside others'
     arguments) and hidden text, in order of i.
 
-    A file's tokens are gathered once to take arguments out of them: they are one source file.
+    Arguments are slices of a file's tokens, which are one array: they are one source file.
     """
     toks = tokens(docs)
     args = arguments(toks)
@@ -76,10 +76,11 @@ def events(docs: DataFrame) -> DataFrame:
     marks = toks.filter(F.col("token").isin("\\item", "\\begin", "\\end", *HEADINGS)).withColumn("stop", F.coalesce(F.lead("i").over(order), F.lit(1 << 40)))
     items = marks.filter(F.col("token") == "\\item").select("doc_id", F.col("i").alias("macro"), F.col("token").alias("name"), "line", F.array(F.struct(F.lit(1).cast("long").alias("n"), F.col("i").alias("first"), F.col("stop").alias("last"))).alias("spans"))
     asked = calls.unionByName(items).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("macro", "name", "line", "spans"))).alias("calls"))
-    whole = toks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("held"))
+    whole = docs.select("doc_id", F.regexp_extract_all(text_of(F.col("text")), F.lit(TOKEN), F.lit(0)).alias("held"))
 
     def inside(held: Column, span: Column) -> Column:
-        return _plain(F.transform(F.filter(held, lambda t: (t["i"] > span["first"]) & (t["i"] < span["last"])), lambda t: t["token"]))
+        last = F.least(span["last"], F.size(held).cast("long"))
+        return _plain(F.slice(held, (span["first"] + 2).cast("int"), F.greatest(last - span["first"] - 1, F.lit(0)).cast("int")))
 
     taken = asked.join(whole, "doc_id").select("doc_id", F.explode(F.transform("calls", lambda c: F.struct(c["macro"].alias("i"), c["name"].alias("name"), c["line"].alias("line"), c["spans"].alias("spans"), F.transform(c["spans"], lambda s: inside(F.col("held"), s)).alias("args")))).alias("e")).select("doc_id", "e.*")
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
