@@ -47,12 +47,12 @@ def text_counts(text: Column) -> list[dict[str, Column]]:
     def same(y: str) -> str:
         return f"({near(y)} and get(_q_grams, cast(x & {mask} as int)) = get(_q_grams, cast({y} & {mask} as int)))"
 
-    after, before = "get(_q_sorted, j + 1)", "get(_q_sorted, j - 1)"
-    mixed = F.expr(f"coalesce(exists(transform(_q_sorted, (x, j) -> coalesce({near(after)} and not {same(after)}, false)), c -> c), true)")
-    packed = f"transform(filter(_q_sorted, (x, j) -> coalesce({same(after)}, false) or coalesce({same(before)}, false)), x -> x & {mask})"
+    # Where all windows with a like neighbour also have an equal one, no other stands between equal ones.
+    near_ones = F.expr(f"filter(_q_sorted, (x, j) -> coalesce({near('get(_q_sorted, j + 1)')}, false) or coalesce({near('get(_q_sorted, j - 1)')}, false))")
+    equal_ones = F.expr(f"filter(_q_near, (x, j) -> coalesce({same('get(_q_near, j + 1)')}, false) or coalesce({same('get(_q_near, j - 1)')}, false))")
     placed = "sort_array(transform(_q_grams, (x, i) -> struct(x as h, i as p)))"
     whole = f"transform(array({placed}), s -> transform(filter(s, (x, j) -> coalesce(x.h = get(s, j + 1).h, false) or (j > 0 and x.h = get(s, j - 1).h)), x -> cast(x.p as bigint)))[0]"
-    found = F.expr(f"sort_array(case when _q_mixed then {whole} else {packed} end)")
+    found = F.expr(f"sort_array(case when _q_sorted is null or size(_q_equal) < size(_q_near) then {whole} else transform(_q_equal, x -> x & {mask}) end)")
     covered = F.expr("aggregate(transform(_q_at, (p, j) -> least(3L, coalesce(get(_q_at, j + 1) - p, 3L))), 0L, (a, x) -> a + x)")
     return [
         {"_q_text": trimmed},
@@ -65,7 +65,8 @@ def text_counts(text: Column) -> list[dict[str, Column]]:
             "_q_grams": F.expr("case when size(_q_words) < 3 then array() else transform(sequence(0, size(_q_words) - 3), i -> xxhash64(get(_q_words, i), get(_q_words, i + 1), get(_q_words, i + 2))) end"),
         },
         {"_q_sorted": F.sort_array(high)},
-        {"_q_mixed": mixed},
+        {"_q_near": near_ones},
+        {"_q_equal": equal_ones},
         {"_q_at": found},
         {"_q_repeats": covered},
     ]
