@@ -142,7 +142,7 @@ def tree_by_hand(texts: list[str], asked: list[str], context_share: float, symbo
     return out, stay
 
 
-@pytest.mark.parametrize("context_share, symbol_share", [(1e-5, 1e-6), (0.004, 0.002)])
+@pytest.mark.parametrize("context_share, symbol_share", [(1e-5, 1e-6), (0.0006, 0.0003), (0.001, 0.0005)])
 def test_suffix_tree_matches_dictionaries(spark, context_share, symbol_share):
     docs = made(3, 500)
     rows = spark.createDataFrame(docs, SCHEMA).repartition(4).withColumns({c: F.lit("z") for c in ("word", "row", "n", "held_out", "rare", "base")})
