@@ -149,7 +149,8 @@ def _merged(key: tuple, rows: pa.Table) -> pa.Table:
     for x, (a, one) in enumerate(sides[i]):
         for b, other in sides[j] if i != j else sides[i][x + 1 :]:
             value, seen = distance(one, other)
-            out.append((lang, a, b, v, value, seen, abs(one[2] - other[2])))
+            # Rows of a tile come in any order, but all blocks must name a pair alike, or its parts aren't added up.
+            out.append((lang, *sorted((a, b)), v, value, seen, abs(one[2] - other[2])))
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64(), pa.int64()]
     names = ["lang", "a", "b", "v", "value", "seen", "absent"]
     return pa.table([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], names=names)

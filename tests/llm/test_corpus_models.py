@@ -239,3 +239,12 @@ def test_large_counts_are_exact():
     none = np.zeros(0, np.int32), np.zeros(0, np.int64), 7
     assert divergence.distance(none, none) == (0, 0)
     assert divergence.distance(none, (np.array([1, 4]), np.array([9, 3]), 2)) == (6, 2)
+
+
+def test_sources_are_paired_alike_in_every_block():
+    columns = {"source": ["b", "a", "c"], "tile": [0, 0, 0], "total": [4, 6, 9], "v": [2, 2, 2], "ids": [[1], [1, 2], [2]], "ns": [[4], [1, 5], [9]]}
+    key = tuple(pa.scalar(k) for k in ("en", 0, 0, 0))
+    table = pa.table(columns)
+    one, other = (divergence._merged(key, t).to_pylist() for t in (table, table.take([2, 0, 1])))
+    in_order = [sorted(rows, key=lambda r: (r["a"], r["b"])) for rows in (one, other)]
+    assert in_order[0] == in_order[1] and [(r["a"], r["b"]) for r in in_order[0]] == [("a", "b"), ("a", "c"), ("b", "c")]
