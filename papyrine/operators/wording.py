@@ -87,6 +87,11 @@ def top_fixes(findings: DataFrame, owner: str, n: int = 5) -> DataFrame:
     return kept.select(owner, "st", "title", "points", severity.alias("severity"), F.col("rank").cast("long").alias("rank"))
 
 
+def one_place(x: Column) -> Column:
+    """x to one place. A sum of decimals such as 7.35 + 8.2 is a little below its half, which tenths bring back."""
+    return F.round(x * 10) / 10
+
+
 def section_balance(people: DataFrame, most: float = 15.0) -> DataFrame:
     """people with balance: .6 of the sections' part (.7 essential, .3 recommended) and .4 of the pages' part. sections: array, pages: int."""
     def part(names: list[str]) -> Column:

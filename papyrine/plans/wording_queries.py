@@ -63,7 +63,8 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wording.scannability(wording.section_balance(_people(spark, sf_dir)))
-    return rows.select("owner", "balance", "scannability", F.round(F.col("balance") + F.col("scannability"), 1).alias("total"), F.round(100 * (F.col("balance") + F.col("scannability")) / 25, 1).alias("percent"))
+    total = F.col("balance") + F.col("scannability")
+    return rows.select("owner", "balance", "scannability", wording.one_place(total).alias("total"), wording.one_place(100 * total / 25).alias("percent"))
 
 
 def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,8 @@ def test_inflected_words_are_those_with_a_listed_base_form(spark):
     words = [*verbs, *(v + e for v in verbs for e in ("s", "es", "ed", "d", "ing")), "carries", "carried", "planned", "used", "goed", "fixxed", "plannedx", "usees", "planed", "carryed", "gooed", "leadded", "s", "ed", "es", ""]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.arrays_overlap(statements.base_forms(F.col("w")), F.array(*map(F.lit, verbs))).alias("a"), F.col("w").isin(statements.inflected(verbs)).alias("b")).collect()
     assert [(r.w, r.a) for r in rows] == [(r.w, r.b) for r in rows] and sum(r.a for r in rows) > 20
+
+
+def test_totals_of_decimals_round_their_halves_up(spark):
+    rows = spark.createDataFrame([(7.35, 8.2), (6.3, 8.2), (7.34, 8.2)], "a double, b double").select(wording.one_place(F.col("a") + F.col("b")).alias("x")).collect()
+    assert [r.x for r in rows] == [15.6, 14.5, 15.5]
