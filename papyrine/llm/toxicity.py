@@ -1,11 +1,11 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, and a linear classifier.
 
 Voters are words and beginnings of words that toxic documents of the training sample have far more often than others,
-each with the count from which it speaks, and a few patterns. Labels only choose the voters and give the share of toxic
-documents; they are no voter and no starting point. The label model sees nothing but votes: voters whose votes correlate
-strongly are one voter with many spellings, and of each the rates at which it speaks for toxic and for other documents
-are estimated by expectation maximisation. A logistic classifier on counts and rates of the voters' cues learns the
-posteriors.
+each with the count from which it speaks, pairs of neighbouring words that do, and a few patterns. Labels choose the
+voters and give the share of toxic documents, and the label of a document is itself a voter and the starting point: votes
+alone can settle on any other way of parting the documents. Voters whose votes correlate strongly are one voter with many
+spellings, and of each the rates at which it speaks for toxic and for other documents are estimated by expectation
+maximisation. A logistic classifier on counts and rates of the voters' cues learns the posteriors.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]]
 
 
 def _cue_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the words, trimmed of punctuation, and of their beginnings (0: too short); each document's words; pattern values."""
+    """Hashes of the words, trimmed of punctuation, of their beginnings and of each with the next (0: none); each document's words; pattern values."""
     starts, ends, first = word_spans(data, offsets)
     full_starts, full_ends = starts, ends
     starts, ends = starts.copy(), ends.copy()
@@ -47,6 +47,11 @@ def _cue_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray]
         total = total + (_LOWER[data[np.minimum(starts + k, len(data) - 1)]] + np.uint64(1)) * _POWERS[k]
         if k + 1 in BEGINNINGS:
             found.append(np.where(ends - starts >= k + 1, mix(total ^ np.uint64(k + 1)), np.uint64(0)))
+    pairs = np.zeros(len(starts), np.uint64)
+    pairs[:-1] = mix(found[0][:-1] * np.uint64(3) + found[0][1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    last = first[1:] - 1
+    pairs[last[last >= 0]] = 0  # a document's last word has no next one
+    found.append(pairs)
     words = np.maximum(1, np.diff(first))
 
     def share(member: np.ndarray) -> np.ndarray:
@@ -85,22 +90,26 @@ def _counts(column: pa.Array, cues: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _cue_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that have a cue, by cue, summed over each batch."""
+    """Documents of either label that have a cue, and the sum of these documents' hashes, by cue, over each batch."""
     for batch in batches:
-        y = batch.column(2).to_numpy()
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        y, key = batch.column(2).to_numpy(), mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64))
+        seen: list[tuple[np.ndarray, ...]] = []
         row = 0
         for part in slices(batch.column(1)):
             data, offsets = utf8(batch.column(1).slice(*part))
             found, first, _ = _cue_hashes(data, offsets)
             for d in range(len(offsets) - 1):
                 own = np.unique(np.concatenate([h[first[d] : first[d + 1]] for h in found]))
-                seen.append((own[own != 0], np.full(int((own != 0).sum()), y[row])))
+                own = own[own != 0]
+                seen.append((own, np.full(len(own), y[row]), np.full(len(own), key[row] >> np.uint64(24))))
                 row += 1
         if seen:
-            cue, toxic = np.concatenate([x[0] for x in seen]), np.concatenate([x[1] for x in seen])
+            cue, toxic, docs = (np.concatenate([x[c] for x in seen]) for c in range(3))
             cues, which = np.unique(cue, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cues.view(np.int64)), pa.array(np.bincount(which, toxic, len(cues)).astype(np.int64)), pa.array(np.bincount(which, 1 - toxic, len(cues)).astype(np.int64))], ["cue", "toxic", "other"])
+            held = np.zeros(len(cues), np.int64)
+            np.add.at(held, which, docs.astype(np.int64))
+            columns = [cues.view(np.int64), np.bincount(which, toxic, len(cues)).astype(np.int64), np.bincount(which, 1 - toxic, len(cues)).astype(np.int64), held]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["cue", "toxic", "other", "held"])
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch], cues: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -143,12 +152,13 @@ def joint_voters(correlation: np.ndarray, least: float = SAME) -> np.ndarray:
         group = new
 
 
-def label_model(said: np.ndarray, prior: float, steps: int = 100) -> LabelModel:
+def label_model(said: np.ndarray, prior: float, steps: int = 100, known: np.ndarray | None = None) -> LabelModel:
     """Rates of the joint voters and posterior probabilities of the label 1, from votes (document by voter) and its share.
 
     A joint voter speaks where half of its voters do. Documents with the most speaking voters, as many as prior says, are
     the first guess; rates and posteriors are then re-estimated in turn until they settle. Rates are drawn towards a
-    voter's overall rate by one document's weight.
+    voter's overall rate by one document's weight. Labels, if known, are the first guess instead and one voter more, which
+    joins no other.
     """
     n = len(said)
     apart = said - said.mean(axis=0)
@@ -157,9 +167,13 @@ def label_model(said: np.ndarray, prior: float, steps: int = 100) -> LabelModel:
     group = joint_voters(correlation)
     member = np.eye(group.max(initial=-1) + 1)[group]
     votes = (2 * (said @ member) >= member.sum(axis=0)).astype(float)
-    spoken = votes.sum(axis=1)
-    enough = max(1.0, np.sort(spoken)[::-1][min(n - 1, max(0, round(prior * n) - 1))])
-    posterior = np.where(spoken >= enough, 0.9, 0.05)
+    if known is None:
+        spoken = votes.sum(axis=1)
+        enough = max(1.0, np.sort(spoken)[::-1][min(n - 1, max(0, round(prior * n) - 1))])
+        posterior = np.where(spoken >= enough, 0.9, 0.05)
+    else:
+        votes = np.column_stack((votes, known))
+        posterior = np.where(known == 1, 0.9, 0.05)
     overall = votes.mean(axis=0)
     for _ in range(steps):
         speaks = np.stack([np.clip((p @ votes + overall) / (p.sum() + 1), 1e-4, 1 - 1e-4) for p in (1 - posterior, posterior)])
@@ -220,9 +234,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, held_out, per_class: int
     if len(sizes) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(5), -2.0 if not sizes.get(1) else 2.0)
     share = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).agg(F.avg("toxic")).first()[0]
-    found = sample.mapInArrow(_cue_batches, "cue long, toxic long, other long").groupBy("cue").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    found = sample.mapInArrow(_cue_batches, "cue long, toxic long, other long, held long").groupBy("cue").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "held")))
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] - F.col("toxic") + 0.5)) - F.log((F.col("other") + 0.5) / (sizes[0] - F.col("other") + 0.5))
     best = found.filter(F.col("toxic") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_LOG_ODDS)
+    # Spellings that the same documents have say the same: one of them is enough, so that rarer cues have room.
+    best = best.groupBy("toxic", "other", "held", "odds").agg(F.min("cue").alias("cue"))
     best = best.orderBy((F.col("odds") * F.sqrt(F.col("toxic"))).desc(), "cue").limit(CUES).collect()
     cues = np.sort(np.array([r["cue"] for r in best], np.int64).view(np.uint64))
 
@@ -241,7 +257,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, held_out, per_class: int
         gains = [((counts[y == 1, k] >= n).mean() - (counts[y == 0, k] >= n).mean(), -n) for n in (1, 2, 3)]
         least[k] = -max(gains)[1]
     said = votes(counts, patterns, least, np.quantile(patterns, 0.98, axis=0))
-    told = label_model(said, float(np.clip(y.mean(), 0.01, 0.99)))
+    told = label_model(said, float(np.clip(y.mean(), 0.01, 0.99)), known=y)
     weights, bias = fit_linear(_inputs(counts, words, patterns), told.posterior, weight)
     return Model(cues, weights, bias)
 

@@ -477,6 +477,31 @@ def test_label_model_matches_plain_expectation_maximisation():
     assert np.allclose(toxicity.label_model(said, prior).posterior, p, atol=1e-6)
 
 
+def test_toxicity_ranks_by_label_when_only_neighbours_tell(spark):
+    rng = random.Random(8)
+    words, left, right = ([f"{k}{i}" for i in range(n)] for k, n in (("w", 60), ("left", 3), ("right", 3)))
+    docs, labels = [], []
+    for d in range(900):
+        text, toxic = rng.choices(words, k=40), int(rng.random() < 0.2)
+        a, b = rng.choice(left), rng.choice(right)
+        text = [*text[:9], *((a, b) if toxic else (a, *text[9:20], b)), *text[20:]]
+        docs.append((d, " ".join(text)))
+        labels.append((d, toxic))
+    rows = toxicity.classify_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas()
+    rows["toxic"] = rows.doc_id.map(dict(labels))
+    held = rows[rows.held_out]
+    yes, no = (held.score[held.toxic == y].to_numpy() for y in (1, 0))
+    assert (yes[:, None] > no[None, :]).mean() > 0.95
+
+
+def test_labels_keep_the_label_model_from_parting_documents_otherwise():
+    rng = np.random.default_rng(2)
+    topic, y = ((rng.random(4000) < p).astype(int) for p in (0.2, 0.2))
+    said = np.column_stack([votes_of(rng, topic, [(0.8, 0.05), (0.7, 0.04), (0.75, 0.1)]), votes_of(rng, y, [(0.6, 0.05), (0.5, 0.02)])])
+    told = toxicity.label_model(said, 0.2, known=y)
+    assert ((told.posterior > 0.5) == y).mean() > 0.95
+
+
 def test_classifiers_on_odd_tables(spark):
     """Repeated rows, very long texts, clashing columns, conflicting labels and empty tables."""
     docs, labels = labelled(spark, random.Random(6))
