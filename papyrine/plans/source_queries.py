@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.sources import latex
-from papyrine.storage import materialize
 from papyrine.tables import table
 
 _DATE = "concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * month(o_orderdate) - 2, 3), ' ', year(o_orderdate))"
@@ -26,11 +25,11 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latex_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latex.events(materialize(_sources(spark, sf_dir), "latex")).select("doc_id", "line", "kind", "name", "text")
+    return latex.events(_sources(spark, sf_dir)).select("doc_id", "line", "kind", "name", "text")
 
 
 def latex_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latex.model(latex.events(materialize(_sources(spark, sf_dir), "latex")))
+    return latex.model(latex.events(_sources(spark, sf_dir)))
 
 
 QUERIES = {"latex_events": latex_events, "latex_model": latex_model}

@@ -1,12 +1,15 @@
 """A walk along the macros of LaTeX sources: braces are matched by depth, so nested arguments stay whole.
 
-A source becomes tokens with their line and depth. A brace closes the last one opened at its depth, which windows over the
-tokens of a depth tell. Groups that follow a macro, one after the other, are its arguments. Sources are read tolerantly: a
-brace without its other half groups nothing, comments are left out.
+A small walk along one source's tokens tells which brace closes which and what stands before a group; texts, kinds and rows
+are Spark's. Groups that follow a macro, one after the other, are its arguments. Sources are read tolerantly: a brace without
+its other half groups nothing, comments are left out.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,45 +19,89 @@ from papyrine.operators.entries import find_dates
 #: A comment, a command, an escaped sign, a brace, a line end, or a run of anything else.
 TOKEN = r"(?<!\\)%[^\n]*|\\[A-Za-z@]+\*?|\\[^A-Za-z]|[{}]|\n|[^\\{}%\n]+"
 HEADINGS = ["\\section", "\\section*", "\\subsection", "\\subsection*", "\\cvsection", "\\chapter"]
+#: Tokens that end an item.
+MARKS = frozenset(["\\item", "\\begin", "\\end", *HEADINGS])
 UNSEEN = ["\\phantom", "\\hphantom", "\\vphantom"]
 PALE = r"^(?i)(white|#?fff(fff)?|1,\s*1,\s*1|255,\s*255,\s*255|gray!?[0-5])$"
 #: Points under which type can't be read; characters of a date at most.
 TINY, DATE_CHARS = 4, 40
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, i, token, line (from 1), depth (braces open before and, for an opening one, with it) of doc_id, text."""
-    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text_of(F.col("text")), F.lit(TOKEN), F.lit(0))).alias("i", "token"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
-    rows = cut.withColumns({"line": (1 + F.coalesce(F.sum((F.col("token") == "\n").cast("int")).over(before), F.lit(0))).cast("long"), "_open": F.coalesce(F.sum(step).over(before), F.lit(0))})
-    return rows.filter(~F.col("token").startswith("%")).select("doc_id", F.col("i").cast("long").alias("i"), "token", "line", F.when(F.col("token") == "{", F.col("_open") + 1).otherwise(F.col("_open")).alias("depth"))
+def _blank(pattern: str) -> re.Pattern:
+    """A pattern that counts white space as Java does, also before a line end that closes the text."""
+    return re.compile(pattern + "[\\x85\\u2028\\u2029]?", re.ASCII)
+
+
+_TOKENS, _EMPTY, _SPACE = re.compile(TOKEN), _blank(r"\s*(?:\[[^\]]*\]\s*)?"), _blank(r"\s+")
 
+#: Of _calls.
+CALLS = "array<struct<i: bigint, name: string, line: bigint, nested: boolean, spans: array<struct<first: bigint, last: bigint>>>>"
 
-def arguments(toks: DataFrame) -> DataFrame:
-    """doc_id, macro (its place), name, line, n, first, last: the groups that follow each macro; first and last are their braces.
 
-    Blanks, one line end and an option in brackets may stand between; a macro that none follows has no row.
+def matched(text: str) -> list[tuple]:
+    """(i, name, line, nested, spans) of the macros of one source that groups follow, and of its items, by place.
+
+    i counts tokens, comments too. spans: first and last token of each group, one after the other; an item's is its place and
+    the next item, heading or edge of an environment. nested: an earlier macro's groups reach beyond it. Blanks, one line end
+    and an option in brackets may stand before a group. A brace closes the one opened at its depth.
     """
-    by_depth = Window.partitionBy("doc_id", "depth").orderBy("i")
-    braces = toks.filter("token in ('{', '}') and depth > 0").withColumns({"_next": F.lead("token").over(by_depth), "last": F.lead("i").over(by_depth)})
-    groups = braces.filter("token = '{' and _next = '}'").select("doc_id", F.col("i").alias("first"), "last", "depth")
-    # The solid token before each brace; blanks and options don't count, but an empty line does.
-    empty = F.col("token").rlike(r"^\s*$") | F.col("token").rlike(r"^\s*\[[^\]]*\]\s*$")
-    order = Window.partitionBy("doc_id").orderBy("i")
-    back = [F.lag("token", k).over(order) for k in (1, 2)]
-    ends = F.when((F.col("token") == "\n") & ((back[0] == "\n") | (back[0].rlike(r"^\s+$") & (back[1] == "\n"))), True)
-    solid = toks.withColumn("_solid", F.when(~empty, F.struct("i", "token", "line")).when(ends, F.struct("i", F.lit("").alias("token"), "line")))
-    solid = solid.withColumn("before", F.last("_solid", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    opened = groups.join(solid.filter("token = '{'").select("doc_id", F.col("i").alias("first"), "before"), ["doc_id", "first"])
-    # A group that stands right behind another of its depth belongs to the same macro.
-    side = Window.partitionBy("doc_id", "depth").orderBy("first")
-    head = ~F.coalesce((F.lag("last").over(side) == F.col("before.i")) & (F.col("before.token") == "}"), F.lit(False))
-    runs = opened.withColumn("_head", head.cast("long")).withColumn("_run", F.sum("_head").over(side))
-    run = Window.partitionBy("doc_id", "depth", "_run").orderBy("first")
-    named = runs.withColumns({"_macro": F.first("before").over(run), "n": F.row_number().over(run)}).filter(F.col("_macro.token").rlike(r"^\\[A-Za-z]"))
-    return named.select("doc_id", F.col("_macro.i").alias("macro"), F.col("_macro.token").alias("name"), F.col("_macro.line").alias("line"), F.col("n").cast("long").alias("n"), "first", "last")
+    line, open_, before, back = 1, 0, (-1, "", 1), ("", "")
+    groups: dict[int, tuple] = {}  # by depth: the open brace and what stood before it
+    runs: dict[int, tuple] = {}  # by depth: where the last group ended, and its macro's spans
+    calls, item = [], None
+    for i, token in enumerate(_TOKENS.findall(text)):
+        if token[0] == "%":
+            continue
+        if token == "{":
+            open_ += 1
+            groups[open_] = (i, before)
+        elif token == "}":
+            if open_ > 0:
+                first, head = groups.pop(open_)
+                ended, spans = runs.get(open_, (-1, []))
+                if head[1] != "}" or head[0] != ended:
+                    spans = []
+                    if head[1][:1] == "\\" and head[1][1:2].isascii() and head[1][1:2].isalpha():
+                        calls.append((head[0], head[1], head[2], spans))
+                spans.append((first, i))
+                runs[open_] = (i, spans)
+            open_ -= 1
+        elif token in MARKS:
+            if item:
+                item.append((item.pop(), i))
+            item = None
+            if token == "\\item":
+                calls.append((i, token, line, item := [i]))
+        if token[0] in "\\{}" or not _EMPTY.fullmatch(token):
+            before = (i, token, line)
+        elif token == "\n" and (back[1] == "\n" or (back[0] == "\n" and _SPACE.fullmatch(back[1]))):
+            before = (i, "", line)
+        back = (back[1], token)
+        line += token == "\n"
+    if item:
+        item.append((item.pop(), 1 << 40))
+    out, reach = [], -1
+    for i, name, at, spans in sorted(calls):
+        out.append((i, name, at, reach > i, spans))
+        if name != "\\item":
+            reach = max(reach, spans[-1][1])
+    return out
+
+
+def _calls(texts: pa.Array) -> pa.Array:
+    """matched() of each text; what comes back are places, so it is built column by column."""
+    edges, span_edges, rows, first, last = [0], [0], [], [], []
+    for text in texts:
+        for *row, spans in matched(text.as_py() or ""):
+            rows.append(row)
+            first += [s[0] for s in spans]
+            last += [s[1] for s in spans]
+            span_edges.append(len(first))
+        edges.append(len(rows))
+    i, name, line, nested = zip(*rows, strict=True) if rows else ((), (), (), ())
+    spans = pa.ListArray.from_arrays(pa.array(span_edges, pa.int32()), pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["first", "last"]))
+    held = [pa.array(i, pa.int64()), pa.array(name, pa.string()), pa.array(line, pa.int64()), pa.array(nested, pa.bool_()), spans]
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(held, ["i", "name", "line", "nested", "spans"]))
 
 
 def _plain(held: Column) -> Column:
@@ -67,28 +114,21 @@ def events(docs: DataFrame) -> DataFrame:
     """doc_id, line, kind, name, text, args: headings, items, entries (other macros with two arguments or more outside others'
     arguments) and hidden text, in order of i.
 
-    Arguments are slices of a file's tokens, which are one array: they are one source file.
+    A source stays one row until its macros are known, so nothing of it is shuffled. Arguments are slices of its tokens, which
+    are one array: they are one source file.
     """
-    toks = tokens(docs)
-    args = arguments(toks)
-    calls = args.groupBy("doc_id", "macro", "name", "line").agg(F.sort_array(F.collect_list(F.struct("n", "first", "last"))).alias("spans"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    marks = toks.filter(F.col("token").isin("\\item", "\\begin", "\\end", *HEADINGS)).withColumn("stop", F.coalesce(F.lead("i").over(order), F.lit(1 << 40)))
-    items = marks.filter(F.col("token") == "\\item").select("doc_id", F.col("i").alias("macro"), F.col("token").alias("name"), "line", F.array(F.struct(F.lit(1).cast("long").alias("n"), F.col("i").alias("first"), F.col("stop").alias("last"))).alias("spans"))
-    asked = calls.unionByName(items).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("macro", "name", "line", "spans"))).alias("calls"))
-    whole = docs.select("doc_id", F.regexp_extract_all(text_of(F.col("text")), F.lit(TOKEN), F.lit(0)).alias("held"))
+    text = text_of(F.col("text"))
+    # The same expression cuts tokens here and in the walk, so places agree.
+    whole = docs.select("doc_id", F.arrow_udf(_calls, CALLS)(text).alias("calls"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("held"))
 
     def inside(held: Column, span: Column) -> Column:
         last = F.least(span["last"], F.size(held).cast("long"))
         return _plain(F.slice(held, (span["first"] + 2).cast("int"), F.greatest(last - span["first"] - 1, F.lit(0)).cast("int")))
 
-    taken = asked.join(whole, "doc_id").select("doc_id", F.explode(F.transform("calls", lambda c: F.struct(c["macro"].alias("i"), c["name"].alias("name"), c["line"].alias("line"), c["spans"].alias("spans"), F.transform(c["spans"], lambda s: inside(F.col("held"), s)).alias("args")))).alias("e")).select("doc_id", "e.*")
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.when(F.col("name") != "\\item", F.element_at("spans", -1)["last"])
-    nested = F.coalesce(F.max(end).over(before) > F.col("i"), F.lit(False))
+    taken = whole.select("doc_id", F.explode(F.transform("calls", lambda c: F.struct(c["i"].alias("i"), c["name"].alias("name"), c["line"].alias("line"), c["nested"].alias("nested"), F.transform(c["spans"], lambda s: inside(F.col("held"), s)).alias("args")))).alias("e")).select("doc_id", "e.*")
     name, first = F.col("name"), F.get("args", F.lit(0))
     hidden = F.when(name.isin(UNSEEN), first).when(name.isin("\\textcolor", "\\colorbox") & first.rlike(PALE), F.get("args", F.lit(1))).when((name == "\\fontsize") & (first.try_cast("double") < TINY), F.get("args", F.lit(2)))
-    kind = F.when(hidden != "", "hidden").when(name.isin(HEADINGS), "heading").when(name == "\\item", "item").when(~nested & (F.size("args") >= 2) & ~name.isin("\\newcommand", "\\renewcommand", "\\href", "\\textcolor", "\\begin"), "entry")
+    kind = F.when(hidden != "", "hidden").when(name.isin(HEADINGS), "heading").when(name == "\\item", "item").when(~F.col("nested") & (F.size("args") >= 2) & ~name.isin("\\newcommand", "\\renewcommand", "\\href", "\\textcolor", "\\begin"), "entry")
     rows = taken.withColumns({"kind": kind, "text": F.when(hidden != "", hidden).otherwise(first)}).filter("kind is not null")
     return rows.select("doc_id", "i", "line", "kind", "name", "text", "args")
 

@@ -49,3 +49,10 @@ def test_odd_sources(spark):
     for r in got:
         kinds.setdefault(r.doc_id, []).append((r.kind, r.text))
     assert kinds == {"f": [("heading", "A"), ("heading", "B")], "g": [("entry", "a")] * 200}
+
+
+def test_sources_are_not_shuffled(spark):
+    docs = spark.range(4).selectExpr("id AS doc_id", r"'\\\\x{a}{b}' AS text")
+    plan = latex.events(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+    assert latex.matched("\\x{a}[o] {\\y{b}{c}}\n\n{d}") == [(0, "\\x", 1, False, [(1, 3), (5, 13)]), (6, "\\y", 1, True, [(7, 9), (10, 12)])]
