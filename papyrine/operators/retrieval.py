@@ -13,11 +13,19 @@ K1, B, RRF_K = 1.5, 0.75, 60
 NEAR, SEMANTIC_SHARE = 0.45, 0.65
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, dl from chunks(chunk_id, text)."""
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """chunk_id, term, tf, dl from chunks(chunk_id, text); with terms (term) only of these, which are sent to all tasks.
+
+    With terms each chunk has one more row, without a term, whose n_words are the words of the chunks of this id.
+    """
     tokens = chunks.select("chunk_id", search_tokens(F.col("text")).alias("tokens"))
-    exploded = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+    held = F.col("tokens") if terms is None else F.concat("tokens", F.array(F.lit(None).cast("string")))
+    exploded = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), F.explode(held).alias("term"))
+    counts = [F.count("*").alias("tf"), F.first("dl").alias("dl")]
+    if terms is None:
+        return exploded.groupBy("chunk_id", "term").agg(*counts)
+    known = exploded.join(F.broadcast(terms.select("term", F.lit(True).alias("known")).distinct()), "term", "left").filter("known or term is null")
+    return known.groupBy("chunk_id", "term").agg(*counts, F.sum("dl").alias("n_words"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -25,19 +33,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, bm25 of all pairs that share a term. Statistics are of all chunks.
+def _by_chunk(found: DataFrame) -> DataFrame:
+    """Postings dealt by chunk, so that what is joined with them by term can be grouped by chunk without another shuffle."""
+    return found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
+
+
+def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, bm25, overlap of all pairs that share a term. Statistics are of all chunks.
 
-    Only terms of queries are joined with the postings, so frequent terms that nobody asks for cost nothing.
+    overlap: shared distinct terms per distinct term of the query. Texts are cut into words once; only terms of queries are
+    kept, so frequent terms that nobody asks for cost nothing, and pairs are made and added up where a chunk's postings are.
     """
     asked = query_terms(queries)
-    totals = chunks.select(F.size(search_tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl")).first()
-    found = postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
+    held = materialize(postings(chunks, asked), "asked-postings")
+    totals = held.filter("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum("n_words") / F.sum("tf")).alias("avgdl")).first()
+    found = held.filter("term is not null").select("chunk_id", "term", "tf", "dl")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.select("term", F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(totals["avgdl"] or 1.0))
-    pairs = asked.join(weights, "term").join(found, "term").withColumn("part", F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
-    return pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
+    terms = asked.join(weights, "term").join(sizes, "query_id")
+    pairs = _by_chunk(found).join(F.broadcast(terms), "term").withColumn("part", F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
+    return pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"), F.round(F.count("*") / F.first("n_terms"), 6).alias("overlap"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, bm25 of all pairs that share a term."""
+    return lexical_scores(chunks, queries).select("query_id", "chunk_id", "bm25")
 
 
 def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:
@@ -76,15 +98,19 @@ def contenders(scores: DataFrame, score: str, n: int) -> DataFrame:
 def ranks(scores: DataFrame, score: str, wanted: DataFrame) -> DataFrame:
     """query_id, chunk_id, rank in its query's whole list, for the wanted pairs (query_id, chunk_id) that the list has.
 
-    No task puts a whole list in order. The wanted rows of a query are sorted into an array; each row of the list finds how
-    many of them stand before it, and the numbers of rows by that count, added up, are the ranks. The array is as long as
-    there are wanted rows of a query, so these should be few.
+    No task puts a whole list in order, and the list isn't shuffled. The wanted rows of a query are sorted into an array, which
+    all tasks get; each row of the list finds by halving how many of them stand before it, and the numbers of rows by that
+    count, added up, are the ranks. The array is as long as there are wanted rows of a query, so these should be few.
     """
     rows = scores.select("query_id", "chunk_id", F.col(score).alias("s"))
     key = F.struct((-F.col("s")).alias("s"), F.col("chunk_id"))
-    marked = rows.join(wanted.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
-    arrays = marked.groupBy("query_id").agg(F.sort_array(F.collect_list(key)).alias("held"))
-    placed = rows.join(arrays, "query_id").select("query_id", F.size(F.filter("held", lambda h: h < key)).alias("at"))
+    marked = rows.join(F.broadcast(wanted.select("query_id", "chunk_id").distinct()), ["query_id", "chunk_id"], "left_semi")
+    arrays = materialize(marked.groupBy("query_id").agg(F.sort_array(F.collect_list(key)).alias("held")), "ranks-wanted")
+    placed = rows.join(F.broadcast(arrays), "query_id").select("query_id", "held", key.alias("key"), F.lit(0).alias("at"))
+    longest = arrays.agg(F.max(F.size("held"))).first()[0] or 0
+    for b in reversed(range(longest.bit_length())):
+        further = F.get("held", F.col("at") + ((1 << b) - 1)) < F.col("key")
+        placed = placed.withColumn("at", F.col("at") + F.when(further, 1 << b).otherwise(0))
     counts = placed.groupBy("query_id", "at").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("at"))
     # Of the rows that have i wanted ones before them, the wanted one itself is the last.
@@ -104,7 +130,8 @@ def fused_ranks(first: DataFrame, second: DataFrame, score1: str, score2: str, n
     both = wanted
     for scores, score, name in ((first, score1, "r1"), (second, score2, "r2")):
         both = both.join(ranks(scores, score, wanted).withColumnRenamed("rank", name), ["query_id", "chunk_id"], "left")
-        both = both.join(scores.select("query_id", "chunk_id", score), ["query_id", "chunk_id"], "left")
+        own = scores.select("query_id", "chunk_id", score).join(F.broadcast(wanted), ["query_id", "chunk_id"], "left_semi")
+        both = both.join(own, ["query_id", "chunk_id"], "left")
     fused = (both if keep is None else both.filter(keep)).withColumn("rrf", F.round(sum(F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0)) for r in ("r1", "r2")), 9))
     return top_k(fused, "rrf", n).select("query_id", "chunk_id", "rrf", score1, score2, F.col("rank").alias("place"))
 
@@ -163,7 +190,8 @@ def holders(chunks: DataFrame, passages: DataFrame, blocks: int = 32) -> DataFra
     asked = query_terms(passages.select("query_id", inner.alias("text"))).select("query_id", "term")
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     named = passages.select("query_id", F.col("text").alias("passage"))
-    found = postings(chunks).select("chunk_id", "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
+    held = postings(chunks, asked).filter("term is not null").select("chunk_id", "term")
+    found = _by_chunk(held).join(F.broadcast(asked), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
     likely = found.join(sizes, "query_id").filter("shared = n_terms").join(named, "query_id").join(chunks, "chunk_id")
     bare = named.join(sizes, "query_id", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     every = chunks.withColumn("block", F.pmod(F.hash("chunk_id"), F.lit(blocks))).join(bare, "block")

@@ -10,6 +10,7 @@ import re
 import pytest
 
 from papyrine.functions.text import SEARCH_STOP
+from papyrine.operators import retrieval
 from papyrine.plans import retrieval_queries, table_queries
 
 
@@ -82,3 +83,21 @@ def test_passages_are_held_at_any_place(spark):
     chunks = spark.createDataFrame(list(docs.items()), "chunk_id long, text string")
     items = spark.createDataFrame(list(asked.items()), "query_id long, text string")
     assert {tuple(r) for r in holders(chunks, items).collect()} == {(q, i) for q, x in asked.items() for i, y in docs.items() if y and x in y}
+
+
+def test_pairs_are_made_where_the_postings_are(spark):
+    chunks = spark.createDataFrame([(1, "red cat sat red"), (2, "blue cat"), (3, None), (4, "grey")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(7, "red cat"), (8, "cat"), (9, "none")], "query_id long, text string")
+    held = retrieval.postings(chunks, retrieval.query_terms(asked)).collect()
+    assert sorted((r.chunk_id, r.term or "", r.tf, r.dl) for r in held) == [(1, "", 1, 4), (1, "cat", 1, 4), (1, "red", 2, 4), (2, "", 1, 2), (2, "cat", 1, 2), (3, "", 1, 0), (4, "", 1, 1)]
+    scores = retrieval.lexical_scores(chunks, asked)
+    assert sorted((r.query_id, r.chunk_id, r.overlap) for r in scores.collect()) == [(7, 1, 1.0), (7, 2, 0.5), (8, 1, 1.0), (8, 2, 1.0)]
+    plan = scores._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"hashpartitioning\(chunk_id", plan) and not re.search(r"hashpartitioning\(query_id#\d+L, chunk_id", plan)
+
+
+def test_all_collections_are_searched_at_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(retrieval, "fused_ranks", lambda *a, f=retrieval.fused_ranks, **k: calls.append(1) or f(*a, **k))
+    assert retrieval_queries.passage_context(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
