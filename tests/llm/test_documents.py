@@ -432,6 +432,28 @@ def test_pairwise_weights_match_a_plain_minimum():
     assert order[0] < model.threshold < order[-1] and model.score(x[good]).mean() > model.score(x[bad]).mean()
 
 
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    """Mean, threshold and weights are those of all labelled documents, in one part or in many with a rare label in each."""
+    docs, labels = labelled(spark, random.Random(9))
+    found = quality_classifier.quality_features(docs).localCheckpoint()
+    rows = found.join(labels, "doc_id").toPandas()
+    x, y = np.array(rows.x.tolist()), rows.quality.to_numpy()
+    models = []
+    for per_part, least in ((8192, 64), (50, 64), (50, 1)):
+        monkeypatch.setattr(quality_classifier, "PER_PART", per_part)
+        monkeypatch.setattr(quality_classifier, "LEAST", least)
+        models.append(quality_classifier.learn_quality(found, labels, F_lit(False)))
+        model = models[-1]
+        assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+        order = np.sort(model.raw(x))
+        bad = int((y == 0).sum())
+        assert np.isclose(model.threshold, order[bad - 1 : bad + 1].mean()) and ((model.score(x) >= quality_classifier.CUT) == y).mean() > 0.97
+    # The weights leave no slope in the loss over the pairs of the one part.
+    held = found.join(labels, "doc_id").selectExpr("xxhash64(doc_id) AS at", "doc_id", "quality AS y", "x").orderBy("at").toPandas()
+    sums = quality_classifier._paired(held.y.to_numpy(), None, np.array(held.x.tolist()), models[0].mean, models[0].scale, models[0].weights)
+    assert sums[-1] == 16 * (y == 1).sum() and np.allclose(sums[: x.shape[1]] / sums[-1] + 1e-3 * models[0].weights, 0, atol=1e-6)
+
+
 def votes_of(rng, y, rates):
     return np.column_stack([rng.random(len(y)) < np.where(y == 1, a, b) for a, b in rates]).astype(float)
 
