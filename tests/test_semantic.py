@@ -86,3 +86,14 @@ def test_contexts_take_each_chunk_once(spark):
     chunks = spark.createDataFrame([(2, "two"), (4, "four"), (7, None), (9, "nine")], "chunk_id long, text string")
     got = {r.query_id: (r.n_hits, r.context) for r in retrieval.assembled([(hits[0], 2), (hits[1], 1), (hits[2], 1)], chunks).collect()}
     assert got == {1: (3, "[4] four\n[2] two\n[7] "), 2: (1, "[9] nine")}
+
+
+def test_cosines_are_counted_in_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(300)] + [(300, [0.0] * 5), (301, None), (302, [1.0, None, 0.0, 0.0, 0.0]), (303, [1.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = vectors.filter("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    counts = semantic.cosine_counts(asked, vectors)
+    pairs = retrieval.cosine_pairs(vectors, asked).filter("cosine is not null").groupBy("cosine").count()
+    assert sorted((round(r.cosine, 6), r.n) for r in counts.collect()) == sorted((round(r.cosine + 0.0, 6), r["count"]) for r in pairs.collect())
+    assert "Join" not in counts._jdf.queryExecution().executedPlan().toString()
