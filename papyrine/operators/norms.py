@@ -29,13 +29,20 @@ def norm_table(files: DataFrame) -> DataFrame:
 
 def chosen(people: DataFrame, norms: DataFrame) -> DataFrame:
     """people (doc_id, role, family, level) with fit and the norm's columns: that of the role and level (fit 0), else the role's
-    first level (1), else the family's at this level (2), else null (3); among equals the smaller role and place."""
+    first level (1), else the family's at this level (2), else null (3); among equals the smaller role and place.
+
+    Norms are tried for each role, family and level that somebody has, once for all people that share them.
+    """
     held = ["expected_sections", "typical_tools", "expected_metrics", "anti_patterns"]
     norm = F.struct(F.col("n.role").alias("norm_role"), F.col("n.level").alias("norm_level"), *(F.col(f"n.{c}").alias(c) for c in held))
-    own = people.alias("p").join(norms.alias("n"), F.col("p.role") == F.col("n.role")).select("p.doc_id", F.when(F.col("p.level") == F.col("n.level"), 0).otherwise(1).alias("fit"), F.col("n.place").alias("place"), norm.alias("norm"))
-    kin = people.alias("p").join(norms.alias("n"), (F.col("p.family") == F.col("n.family")) & (F.col("p.level") == F.col("n.level"))).select("p.doc_id", F.lit(2).alias("fit"), F.col("n.place").alias("place"), norm.alias("norm"))
-    best = own.unionByName(kin).groupBy("doc_id").agg(F.min_by("norm", F.struct("fit", "place", F.col("norm.norm_role"))).alias("norm"), F.min("fit").alias("fit"))
-    return people.join(best, "doc_id", "left").select(*people.columns, F.coalesce("fit", F.lit(3)).alias("fit"), "norm.*")
+    keys = ["role", "family", "level"]
+    asked = people.select(*keys).distinct()
+    own = asked.alias("p").join(norms.alias("n"), F.col("p.role") == F.col("n.role")).select(*(f"p.{c}" for c in keys), F.when(F.col("p.level") == F.col("n.level"), 0).otherwise(1).alias("fit"), F.col("n.place").alias("place"), norm.alias("norm"))
+    kin = asked.alias("p").join(norms.alias("n"), (F.col("p.family") == F.col("n.family")) & (F.col("p.level") == F.col("n.level"))).select(*(f"p.{c}" for c in keys), F.lit(2).alias("fit"), F.col("n.place").alias("place"), norm.alias("norm"))
+    best = own.unionByName(kin).groupBy(*keys).agg(F.min_by("norm", F.struct("fit", "place", F.col("norm.norm_role"))).alias("norm"), F.min("fit").alias("fit"))
+    best = best.select(*(F.col(c).alias(f"_{c}") for c in keys), "norm", "fit")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return people.join(best, same, "left").select(*people.columns, F.coalesce("fit", F.lit(3)).alias("fit"), "norm.*")
 
 
 def _missing_metrics(text: Column, metrics: Column) -> Column:
