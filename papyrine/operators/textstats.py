@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.functions.text import sentences, syllables, text_of, tokens, words
+from papyrine.functions.text import looked, sentences, syllables, text_of, tokens, words
 
 #: Signals by name: patterns that both Java and RE2 read alike.
 SIGNALS = {
@@ -84,9 +84,15 @@ def glyph_scan(docs: DataFrame) -> DataFrame:
     return counts.groupBy("glyph").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).select(code.cast("long").alias("code_point"), kind.alias("kind"), "n", "n_docs")
 
 
+def has_signal(text: Column, pattern: str) -> Column:
+    """Whether a pattern of SIGNALS is in the text; one with an @ is looked for only where there is one."""
+    found = text.rlike(looked(pattern))
+    return F.contains(text, F.lit("@")) & found if pattern == SIGNALS["email"] else found
+
+
 def signal_hits(docs: DataFrame, signals: dict[str, str] = SIGNALS) -> DataFrame:
     """Documents by signal, from one pass over the texts."""
-    found = F.array(*(F.when(text_of(F.col("text")).rlike(p), F.lit(k)) for k, p in signals.items()))
+    found = F.array(*(F.when(has_signal(text_of(F.col("text")), p), F.lit(k)) for k, p in signals.items()))
     return docs.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("signal")).groupBy("signal").agg(F.count("*").alias("n_docs"))
 
 
