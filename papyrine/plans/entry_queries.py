@@ -9,6 +9,9 @@ from papyrine.operators import entries
 from papyrine.storage import materialize
 from papyrine.tables import table
 
+#: Rows of lineitem that a task takes when entries are told apart.
+ROWS_A_TASK = 250_000
+
 #: By o_custkey % 5: titles in bold; plain rows left of bullets; larger titles over running text; items; bold titles with bullets.
 _DATE = "concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', 3 * month(o_orderdate) - 2, 3), ' ', year(o_orderdate))"
 _ROWS = f"""
@@ -38,11 +41,18 @@ body AS (
 
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = ("WITH " + _ROWS + " SELECT * FROM body").replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}")
-    return spark.sql(text, orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
+    lineitem = table(spark, sf_dir, "lineitem")
+    return spark.sql(text, orders=table(spark, sf_dir, "orders"), lineitem=lineitem.repartition(_parts(spark, lineitem), "l_orderkey"))
+
+
+def _parts(spark: SparkSession, rows: DataFrame) -> int:
+    """Tasks of so many rows that what a task sorts doesn't grow with the table; their number is read from the files' ends."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS_A_TASK + 1)
 
 
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(entries.roles(entries.segmented(_body(spark, sf_dir))), "entry-rows")
+    rows = _body(spark, sf_dir).repartition(_parts(spark, table(spark, sf_dir, "lineitem")), "doc_id", "section")
+    return materialize(entries.roles(entries.segmented(rows)), "entry-rows")
 
 
 def entry_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
