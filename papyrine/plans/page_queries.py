@@ -12,6 +12,8 @@ from papyrine.tables import table
 
 #: Pieces of a page, and words of a piece.
 PIECES, WORDS = 60, 5
+#: Documents that a task takes: what it sorts doesn't grow with the table, nor with how the files are cut.
+TEXTS_A_TASK = 5_000
 #: By doc_id % 3: rows of three pieces that begin further right on every row; two columns; two columns with a headline and heads.
 _SET = f"""
 SELECT doc_id, i // {PIECES} AS page, i AS piece, text, 612.0 AS width, style = 2 AND j < 3 AS bold,
@@ -22,15 +24,23 @@ SELECT doc_id, i // {PIECES} AS page, i AS piece, text, 612.0 AS width, style =
 FROM cut"""
 
 
+def _parts(spark: SparkSession, documents: DataFrame) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // TEXTS_A_TASK + 1)
+
+
 def _placed(spark: SparkSession, sf_dir: str, text: Column | None = None) -> DataFrame:
-    """Pieces with regions. text: what stands in a piece, from doc_id, i and text; a piece's own words by default."""
+    """Pieces with regions and rows. text: what stands in a piece, from doc_id, i and text; a piece's own words by default."""
     five = rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{0,{WORDS - 1}}}[^\x20\x09-\x0D]+"
-    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(text_of(F.col("text")), F.lit(five), F.lit(0))).alias("i", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Dealt by document before they are cut, so a page is gathered where its pieces are.
+    tasks = _parts(spark, documents)
+    documents = documents.repartition(tasks, "doc_id")
+    cut = documents.select("doc_id", F.posexplode(F.regexp_extract_all(text_of(F.col("text")), F.lit(five), F.lit(0))).alias("i", "text"))
     cut = cut.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     cut = cut.select("doc_id", F.col("i").cast("long").alias("i"), (F.col("text") if text is None else text).alias("text"), (F.col("i") % PIECES).alias("j"), (F.col("doc_id") % 3).alias("style"))
     numbers = {c: F.col(c).cast("double") for c in ("x0", "x1", "y0", "size", "width")}
     pieces = spark.sql(_SET.replace("FROM cut", "FROM {cut}").replace("//", "div"), cut=cut).withColumns(numbers).withColumn("y1", F.col("y0") + 10.0)
-    return pages.regions(pieces)
+    return pages.laid(pieces, tasks)
 
 
 def page_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +50,7 @@ def page_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in reading order; texts as md5."""
-    rows = pages.rows(pages.in_rows(materialize(_placed(spark, sf_dir), "placed")))
+    rows = pages.rows(_placed(spark, sf_dir))
     return rows.select("doc_id", "page", "line", "x0", "y0", "x1", "y1", F.md5("text").alias("text_md5"), "size", "bold", "first_bold", "is_bullet")
 
 
@@ -49,7 +59,7 @@ def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dated = F.when(F.col("i") == 1, F.concat(F.lit("mail"), "doc_id", F.lit("@example.org"))).when(F.col("i") == 2, F.concat(F.lit("+49 30 "), F.lpad((F.col("doc_id") % 9973).cast("string"), 7, "5")))
     dated = dated.when(F.col("i") % 7 == 3, F.concat("text", F.lit(" Mar "), 2000 + F.col("i") % 20)).otherwise(F.col("text"))
     placed = materialize(_placed(spark, sf_dir, dated), "placed")
-    read = pages.rows(pages.in_rows(placed)).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    read = pages.rows(placed).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
     cells = placed.filter("doc_id % 6 = 0 and piece % 60 >= 50").select("doc_id", "page", F.col("piece").alias("cell"), "text")
     contacts = placed.groupBy("doc_id").agg(F.max(F.when(F.col("piece") == 1, F.col("text"))).alias("email"), F.max(F.when(F.col("piece") == 2, F.col("text"))).alias("phone"))
     return views.integrity(views.view_texts(placed, cells), read), contacts
