@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from papyrine.functions.text import text_of
 
 # How dates are written, the height of a reader's rows, what counts as kept, and the order of readers.
-DATE = r"(?i)(?:\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+[0-9]{4}\b|\b[0-9]{1,2}/[0-9]{4}\b)"
+# Where no date can begin one look at the letter is enough.
+DATE = r"(?i)(?=[JFMASOND0-9])\b(?:(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+[0-9]{4}\b|[0-9]{1,2}/[0-9]{4}\b)"
 BAND, KEPT, FAIR = 3.0, 0.95, 0.85
 READERS = ["stream", "rows", "tables"]
 
@@ -30,11 +31,18 @@ def view_texts(pieces: DataFrame, cells: DataFrame | None = None) -> DataFrame:
 
     cells: doc_id, page, cell (their order), text. A document is gathered: its pieces are what its pages hold.
     """
-    stream = pieces.groupBy("doc_id").agg(_joined([F.col("page"), F.col("piece")], "\n").alias("text"))
-    band = F.bround(F.col("y1") / BAND, 0)
-    rows = pieces.groupBy("doc_id", "page", band.alias("row")).agg(_joined([F.col("x0"), F.col("piece")], " ").alias("text"))
-    read = rows.groupBy("doc_id").agg(_joined([F.col("page"), F.col("row")], "\n").alias("text"))
-    out = stream.select("doc_id", F.lit("stream").alias("view"), "text").unionByName(read.select("doc_id", F.lit("rows").alias("view"), "text"))
+    piece = F.struct("page", F.bround(F.col("y1") / BAND, 0).alias("row"), F.col("x0").alias("x"), "piece", text_of(F.col("text")).alias("t"))
+    held = pieces.groupBy("doc_id").agg(F.collect_list(piece).alias("p"))
+    came = F.sort_array(F.transform("p", lambda x: F.struct(x["page"], x["piece"], x["t"].alias("t"))))
+    read = held.select("doc_id", came.alias("came"), F.sort_array("p").alias("across"))
+
+    def after(x: Column, i: Column) -> Column:
+        above = F.get("across", i - 1)
+        same = above["page"].eqNullSafe(x["page"]) & above["row"].eqNullSafe(x["row"])
+        return F.when(i == 0, x["t"]).otherwise(F.concat(F.when(same, F.lit(" ")).otherwise(F.lit("\n")), x["t"]))
+
+    texts = {"stream": F.array_join(F.transform("came", lambda x: x["t"]), "\n"), "rows": F.array_join(F.transform("across", after), "")}
+    out = read.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("view"), t.alias("text")) for k, t in texts.items()))).alias("v")).select("doc_id", "v.*")
     if cells is not None:
         run = cells.groupBy("doc_id").agg(_joined([F.col("page"), F.col("cell")], "").alias("text"))
         out = out.unionByName(run.select("doc_id", F.lit("tables").alias("view"), "text"))
@@ -46,24 +54,41 @@ def common(a: list, b: list) -> int:
 
     A zero bit stands where a common subsequence of what has been read grows by one; each item moves these to its own places.
     """
+    return _grown(a, _places(b), len(b))
+
+
+def _places(b: list) -> dict:
     places: dict = {}
     for i, x in enumerate(b):
         places[x] = places.get(x, 0) | 1 << i
-    whole = (1 << len(b)) - 1
+    return places
+
+
+def _grown(a: list, places: dict, n: int) -> int:
+    whole = (1 << n) - 1
     bits = whole
     for x in a:
-        here = bits & places.get(x, 0)
-        bits = (bits + here | bits - here) & whole
-    return len(b) - bits.bit_count()
+        if x in places:
+            here = bits & places[x]
+            bits = (bits + here | bits - here) & whole
+    return n - bits.bit_count()
 
 
 def _kept(batches):
     words = re.compile(r"\w+")
+    # Readers of one document follow one another: its places are found once, and texts of the same words are compared once.
+    reference, b, places, before, share = None, [], {}, None, 0.0
     for batch in batches:
         shares = []
         for own, seen in zip(batch.column("reference").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            a, b = words.findall((own or "").lower()), words.findall((seen or "").lower())
-            shares.append(round(2 * common(a, b) / (len(a) + len(b)), 3) if a and b else 0.0)
+            if own != reference or before is None:
+                reference, b, before = own, words.findall((own or "").lower()), None
+                places = _places(b)
+            a = words.findall((seen or "").lower())
+            if a != before:
+                kept = len(b) if a == b else _grown(a, places, len(b))
+                before, share = a, round(2 * kept / (len(a) + len(b)), 3) if a and b else 0.0
+            shares.append(share)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "view", "text", "reference")), pa.array(shares, pa.float64())], ["doc_id", "view", "text", "reference", "integrity"])
 
 
@@ -82,7 +107,7 @@ def checked(views: DataFrame, contacts: DataFrame) -> DataFrame:
     contacts: doc_id, email, phone (null: not expected). Dates of the reference count once each as written. Of the tables'
     reader only fields are asked, and these aren't held against it.
     """
-    plain = lambda c: F.regexp_replace(text_of(c), "[^0-9]", "")
+    plain = lambda c: F.regexp_replace(text_of(c), "[^0-9]+", "")
     rows = views.join(contacts.select("doc_id", "email", "phone"), "doc_id", "left")
     dates = F.array_distinct(F.regexp_extract_all("reference", F.lit(DATE), F.lit(0)))
     rows = rows.withColumns({"_dates": dates, "email_kept": F.contains(F.lower("text"), F.lower("email")), "phone_kept": F.when(F.col("phone").isNotNull(), F.contains(plain(F.col("text")), plain(F.col("phone"))))})

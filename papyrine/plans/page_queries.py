@@ -59,7 +59,8 @@ def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     dated = F.when(F.col("i") == 1, F.concat(F.lit("mail"), "doc_id", F.lit("@example.org"))).when(F.col("i") == 2, F.concat(F.lit("+49 30 "), F.lpad((F.col("doc_id") % 9973).cast("string"), 7, "5")))
     dated = dated.when(F.col("i") % 7 == 3, F.concat("text", F.lit(" Mar "), 2000 + F.col("i") % 20)).otherwise(F.col("text"))
     placed = materialize(_placed(spark, sf_dir, dated), "placed")
-    read = pages.rows(placed).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    dealt = placed.repartition(_parts(spark, table(spark, sf_dir, "documents")), "doc_id")
+    read = pages.rows(dealt).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
     cells = placed.filter("doc_id % 6 = 0 and piece % 60 >= 50").select("doc_id", "page", F.col("piece").alias("cell"), "text")
     contacts = placed.groupBy("doc_id").agg(F.max(F.when(F.col("piece") == 1, F.col("text"))).alias("email"), F.max(F.when(F.col("piece") == 2, F.col("text"))).alias("phone"))
     return views.integrity(views.view_texts(placed, cells), read), contacts
