@@ -7,17 +7,24 @@ for itself, so windows over a section's rows do for what else would be a walk al
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.functions.text import text_of, words
-from papyrine.operators.statements import sentence_spans
+from papyrine.functions.text import text_of
+from papyrine.operators.statements import sentence_parts
 
 # How dates are written, signs of bullets, what stands between a title and its tags, and kinds of sections.
 MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 DATE_TOKEN = rf"(?:{MONTH}\.?\s+[0-9]{{4}}|[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{4}})"
 RANGE = rf"(?i)({DATE_TOKEN})\s*(?:[-–—]|to)\s*({DATE_TOKEN}|Present|Current|Now|Ongoing)"
 SINGLE = rf"(?i)\(?({MONTH}\.?\s+[0-9]{{4}}|\b(?:19|20)[0-9]{{2}}\b)\)?"
+#: The same where a date can begin: one look at the letter spares trying all months at each place.
+_RANGE_AT = RANGE.replace("(?i)", "(?i)(?=[JFMASOND0-9])", 1)
+#: What every range has: a year with its sign, which is looked for at figures only.
+_YEAR_TO = r"(?i)[0-9]{4}\s*(?:[-–—]|to)"
+_SINGLE_AT = SINGLE.replace("(?i)", "(?i)(?=[(JFMASOND12])", 1)
 BULLET = r"^\s*([•●▪■◦‣⁃►▶➢➤→*·○◆◇❖✓✔➔»▫◾-]\s*|-\s+[A-Za-z(\"“])"
 BULLET_SIGN = r"^\s*[•●▪■◦‣⁃►▶➢➤→*·○◆◇❖✓✔➔»▫◾-]\s*"
 DASH = r"\s+[—–|]\s+|\s+-\s+"
@@ -38,13 +45,17 @@ def bare(text: Column) -> Column:
 
 def find_dates(text: Column) -> Column:
     """'a – b' of the first range, else the first date alone, else an empty string."""
-    a, b = (F.regexp_extract(text, RANGE, k) for k in (1, 2))
-    return F.when(a != "", F.concat(a, F.lit(" – "), b)).otherwise(F.regexp_extract(text, SINGLE, 1))
+    a, b = (F.when(text.rlike(_YEAR_TO), F.regexp_extract(text, _RANGE_AT, k)).otherwise("") for k in (1, 2))
+    return F.when(a != "", F.concat(a, F.lit(" – "), b)).otherwise(F.regexp_extract(text, _SINGLE_AT, 1))
+
+
+def _n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
 def remove_dates(text: Column) -> Column:
-    out = text
-    for pattern in _REMOVED:
+    out = F.when(text.rlike(_YEAR_TO), F.regexp_replace(text, _RANGE_AT, "")).otherwise(text)
+    for pattern in _REMOVED[1:]:
         out = F.regexp_replace(out, pattern, "")
     return F.btrim(F.regexp_replace(out, r"\s{2,}", " "), F.lit(EDGES))
 
@@ -66,19 +77,22 @@ def segmented(rows: DataFrame) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     text = bare(text_of(F.col("text")))
-    marked = rows.withColumns({"_bullet": text_of(F.col("text")).rlike(BULLET), "_range": text.rlike(RANGE), "_dated": text.rlike(RANGE) | text.rlike(SINGLE), "_n": F.size(words(text))})
+    # The order comes first: what else is asked of a section needs no other sort.
+    marked = rows.withColumns({"_bullet": text_of(F.col("text")).rlike(BULLET), "_range": text.rlike(_YEAR_TO) & text.rlike(_RANGE_AT)}).withColumn("_at", F.row_number().over(order))
+    marked = marked.withColumn("_dated", ~F.col("_bullet") & (F.col("_range") | text.rlike(_SINGLE_AT)) & (_n_words(text) <= 12))
     count = lambda c: F.sum(c.cast("int")).over(section)
+    # The upper median of the bullets' left edges: the percentile keeps counts by edge.
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN _bullet THEN x0 END DESC)")
     marked = marked.withColumns({
-        "_bulleted": count(F.col("_bullet") & F.col("first_bold")) >= 2, "_title_x": F.coalesce(F.min(F.when(F.col("first_bold"), F.col("x0"))).over(section), F.lit(0.0)),
-        "_any_bold": F.bool_or("first_bold").over(section), "_max": F.max("size").over(section), "_min": F.min("size").over(section), "_bullets": count(F.col("_bullet")), "_at": F.row_number().over(order),
+        "_bulleted": count(F.col("_bullet") & F.col("first_bold")) >= 2, "_title_x": F.coalesce(F.min(F.when(F.col("first_bold"), F.col("x0"))).over(section), F.lit(0.0)), "_bullet_x": middle.over(section),
+        "_any_bold": F.bool_or("first_bold").over(section), "_max": F.max("size").over(section), "_min": F.min("size").over(section), "_bullets": count(F.col("_bullet")),
     })
     large = F.col("size") >= F.col("_max") - ALIKE
     marked = marked.withColumn("_large", ~F.col("_any_bold") & (F.col("_max") - F.col("_min") >= LARGER) & (count(large) < F.count("*").over(section)))
     marked = marked.withColumn("plain", F.col("kind").isin(ENTRY_KINDS) & ~F.col("_any_bold") & ~F.col("_large") & (F.col("_bullets") >= 2))
-    marked = marked.join(_middle_bullet(marked), ["doc_id", "section"], "left")
 
     # Plain rows: the first candidate after a bullet begins an entry.
-    candidate = ~F.col("_bullet") & ((F.col("x0") < F.col("_bullet_x") - OUTDENT) | (F.col("_dated") & (F.col("_n") <= 12)))
+    candidate = ~F.col("_bullet") & ((F.col("x0") < F.col("_bullet_x") - OUTDENT) | F.col("_dated"))
     marked = marked.withColumn("_candidate", candidate)
     last_bullet, last_candidate = (F.max(F.when(F.col(c), F.col("_at"))).over(before) for c in ("_bullet", "_candidate"))
     plain_new = F.col("_candidate") & last_bullet.isNotNull() & (last_candidate.isNull() | (last_candidate < last_bullet))
@@ -106,14 +120,6 @@ def segmented(rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "entry", part.alias("part"), "plain", F.col("_bullet").alias("bullet"))
 
 
-def _middle_bullet(marked: DataFrame) -> DataFrame:
-    """doc_id, section, _bullet_x: the upper median of the bullets' left edges, from counts by edge."""
-    counts = marked.filter("_bullet").groupBy("doc_id", "section", F.col("x0").alias("_x")).agg(F.count("*").alias("_c"))
-    section = Window.partitionBy("doc_id", "section")
-    upto = counts.withColumns({"_upto": F.sum("_c").over(section.orderBy("_x")), "_whole": F.sum("_c").over(section)})
-    return upto.filter(2 * F.col("_upto") > F.col("_whole")).groupBy("doc_id", "section").agg(F.min("_x").alias("_bullet_x"))
-
-
 def roles(rows: DataFrame) -> DataFrame:
     """Segmented rows with role: title, meta, statement or item, and group, the statement that a row of the rest belongs to.
 
@@ -123,9 +129,9 @@ def roles(rows: DataFrame) -> DataFrame:
     entry = Window.partitionBy("doc_id", "section", "entry")
     order = entry.orderBy("line")
     text = bare(text_of(F.col("text")))
-    fits = ~F.col("bullet") & (F.size(words(text)) <= 10) & ~text.endswith(".")
     rest = F.col("part") == "rest"
-    marked = rows.withColumns({"_fits": fits, "_titled": F.bool_or(~rest).over(entry), "_place": F.sum(rest.cast("int")).over(order)})
+    fits = ~F.col("bullet") & (_n_words(text) <= 10) & ~text.endswith(".")
+    marked = rows.withColumn("_fits", fits).withColumn("_place", F.sum(rest.cast("int")).over(order)).withColumn("_titled", F.bool_or(~rest).over(entry))
     unfit = F.coalesce(F.sum((rest & ~F.col("_fits")).cast("int")).over(order), F.lit(0))
     marked = marked.withColumn("_meta", rest & F.col("_titled") & (unfit == 0) & (F.col("_place") <= 2))
     told = rest & ~F.col("_meta")
@@ -143,26 +149,28 @@ def built(rows: DataFrame) -> DataFrame:
 
     An entry's rows are gathered in order: they are one entry of one section.
     """
-    text = bare(text_of(F.col("text")))
-    said = F.struct("line", text.alias("t"), text_of(F.col("text")).alias("raw"))
+    rest = F.col("part") == "rest"
+    row = F.struct("line", text_of(F.col("text")).alias("raw"), rest.alias("rest"), (F.col("role") == "meta").alias("meta"), F.col("group").alias("g"))
+    held = rows.groupBy("doc_id", "section", "entry").agg(F.sort_array(F.collect_list(row)).alias("p"), F.bool_or("plain").alias("plain"))
 
-    def joined(condition: Column, sign: str, field: str = "t", n: int | None = None) -> Column:
-        kept = F.sort_array(F.collect_list(F.when(condition, said)))
-        return F.array_join(F.transform(kept if n is None else F.slice(kept, 1, n), lambda x: x[field]), sign)
+    def joined(condition: Callable[[Column], Column], sign: str) -> Column:
+        return F.array_join(F.transform(F.filter("p", condition), lambda x: bare(x["raw"])), sign)
 
-    rest = F.col("part") == "rest"
-    whole = rows.groupBy("doc_id", "section", "entry").agg(
-        joined(~rest, " ").alias("whole"), joined(rest, " ", "raw", 2).alias("early"), joined(F.col("role") == "meta", " · ").alias("meta"), F.bool_or("plain").alias("plain"), F.countDistinct(F.when(F.col("group") > 0, F.col("group"))).alias("n_groups"),
-        joined(F.col("group") == 0, " ").alias("told"),
+    early = F.transform(F.slice(F.filter("p", lambda x: x["rest"]), 1, 2), lambda x: x["raw"])
+    groups = F.array_distinct(F.transform(F.filter("p", lambda x: x["g"] > 0), lambda x: x["g"]))
+    whole = held.select(
+        "doc_id", "section", "entry", joined(lambda x: ~x["rest"], " ").alias("whole"), F.array_join(early, " ").alias("early"), joined(lambda x: x["meta"], " · ").alias("meta"), "plain", F.size(groups).alias("n_groups"),
+        joined(lambda x: x["g"] == 0, " ").alias("told"),
     )
+    # Each is a column of its own, so none is worked out once more where it is asked for twice.
     name, tail = split_title(F.col("whole"))
-    shown = remove_dates(F.col("meta"))
-    shown = F.btrim(shown, F.lit(" ·,-–"))
-    subtitle = F.when(F.col("plain") & (shown != ""), shown).otherwise(F.col("meta"))
-    tags = F.when(tail == "", F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(tail, r",\s*"), lambda t: F.btrim(t)), lambda t: t != ""))
-    out = whole.withColumns({"title": F.when(name != "", name).otherwise(F.col("whole")), "tags": tags, "subtitle": subtitle})
-    dates = F.coalesce(*(F.when(d != "", d) for d in (find_dates(F.col("whole")), find_dates(F.col("early")), find_dates(F.col("subtitle")))), F.lit(""))
-    sentences = sentence_spans(out.filter("told <> ''").select(F.struct("doc_id", "section", "entry").alias("doc_id"), F.col("told").alias("text"))).filter("length > 0")
-    counts = sentences.groupBy("doc_id").agg(F.count("*").alias("n_sentences")).select("doc_id.*", "n_sentences")
-    done = out.withColumn("dates", dates).join(counts, ["doc_id", "section", "entry"], "left")
-    return done.select("doc_id", "section", "entry", "title", F.array_join("tags", "; ").alias("tags"), "dates", "subtitle", (F.col("n_groups") + F.coalesce("n_sentences", F.lit(0))).alias("n_statements"))
+    shown = F.btrim(remove_dates(F.col("meta")), F.lit(" ·,-–"))
+    out = whole.withColumns({"name": name, "tail": tail, "shown": shown, "dates": find_dates(F.col("whole"))})
+    out = out.withColumn("dates", F.when(F.col("dates") != "", F.col("dates")).otherwise(find_dates(F.col("early"))))
+    out = out.withColumn("subtitle", F.when(F.col("plain") & (F.col("shown") != ""), F.col("shown")).otherwise(F.col("meta")))
+    dates = F.when(F.col("dates") != "", F.col("dates")).otherwise(find_dates(F.col("subtitle")))
+    tags = F.when(F.col("tail") == "", F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split("tail", r",\s*"), lambda t: F.btrim(t)), lambda t: t != ""))
+    out = out.withColumns({"title": F.when(F.col("name") != "", F.col("name")).otherwise(F.col("whole")), "tags": tags})
+    said = F.size(F.filter(sentence_parts(F.col("told")), lambda x: F.regexp_replace(x, r"\s+$", "") != ""))
+    done = out.withColumns({"dates": dates, "n_sentences": F.when(F.col("told") != "", said).otherwise(0)})
+    return done.select("doc_id", "section", "entry", "title", F.array_join("tags", "; ").alias("tags"), "dates", "subtitle", (F.col("n_groups") + F.col("n_sentences")).cast("long").alias("n_statements"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.operators import entries
-from papyrine.storage import materialize
 from papyrine.tables import table
 
 #: Rows of lineitem that a task takes when entries are told apart.
@@ -39,10 +38,32 @@ body AS (
 """
 
 
+#: The rows of _ROWS out of narrow rows, an order's or a line's, that are dealt by customer before their texts are made.
+_NARROW = """
+SELECT o_custkey AS doc_id, o_orderkey, o_orderdate, false AS is_line, 0 AS l_linenumber, cast(0 AS double) AS l_quantity, cast(0 AS bigint) AS l_partkey FROM {orders}
+UNION ALL
+SELECT o_custkey, o_orderkey, o_orderdate, true, l_linenumber, cast(l_quantity AS double), l_partkey
+FROM {orders} JOIN (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity, min(l_partkey) AS l_partkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) ON l_orderkey = o_orderkey"""
+_MADE = f"""
+SELECT doc_id, doc_id % 5 AS layout, r.* FROM (
+  SELECT doc_id, explode(CASE WHEN is_line THEN array(
+    named_struct('line', o_orderkey * 100 + 10 + 2 * l_linenumber, 'what', 2, 'text', concat(CASE WHEN doc_id % 5 IN (2, 4) THEN '' ELSE '• ' END, 'Shipped ', cast(l_quantity AS int), ' units by order ', l_partkey, '. Checked all of them')),
+    CASE WHEN l_linenumber % 3 = 0 THEN named_struct('line', o_orderkey * 100 + 11 + 2 * l_linenumber, 'what', 3, 'text', concat('100% recall of part ', l_partkey)) END)
+  ELSE array(
+    named_struct('line', o_orderkey * 100, 'what', 0, 'text', concat(CASE WHEN doc_id % 5 = 4 OR (doc_id % 5 = 3 AND o_orderkey % 2 = 0) THEN '• ' ELSE '' END, CASE o_orderkey % 4
+      WHEN 0 THEN concat('Works ', o_orderkey % 97, ' — Parts, Tools (', {_DATE}, ' – ', year(o_orderdate) + 2, ')') WHEN 1 THEN concat('Role ', o_orderkey % 13)
+      WHEN 2 THEN concat('Study ', o_orderkey % 7, ', ', {_DATE}) ELSE concat('Post | Clerk ', year(o_orderdate)) END)),
+    CASE WHEN o_orderkey % 3 > 0 THEN named_struct('line', o_orderkey * 100 + 1, 'what', 1, 'text', concat('Office ', o_orderkey % 31, CASE WHEN o_orderkey % 4 = 1 THEN concat(', ', {_DATE}, ' to present') ELSE '' END)) END,
+    CASE WHEN o_orderkey % 3 > 1 THEN named_struct('line', o_orderkey * 100 + 2, 'what', 1, 'text', 'As far as anyone who was there at that time and place can tell') END) END) AS r FROM {{narrow}})
+WHERE r IS NOT NULL"""
+
+
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = ("WITH " + _ROWS + " SELECT * FROM body").replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}")
     lineitem = table(spark, sf_dir, "lineitem")
-    return spark.sql(text, orders=table(spark, sf_dir, "orders"), lineitem=lineitem.repartition(_parts(spark, lineitem), "l_orderkey"))
+    tasks = _parts(spark, lineitem)
+    narrow = spark.sql(_NARROW, orders=table(spark, sf_dir, "orders"), lineitem=lineitem.repartition(tasks, "l_orderkey"))
+    every = spark.sql(_MADE, narrow=narrow.repartition(tasks, "doc_id"))
+    return spark.sql("WITH body" + _ROWS.split("body", 1)[1].replace("FROM every", "FROM {every}") + " SELECT * FROM body", every=every)
 
 
 def _parts(spark: SparkSession, rows: DataFrame) -> int:
@@ -51,8 +72,7 @@ def _parts(spark: SparkSession, rows: DataFrame) -> int:
 
 
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _body(spark, sf_dir).repartition(_parts(spark, table(spark, sf_dir, "lineitem")), "doc_id", "section")
-    return materialize(entries.roles(entries.segmented(rows)), "entry-rows")
+    return entries.roles(entries.segmented(_body(spark, sf_dir)))
 
 
 def entry_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
