@@ -11,6 +11,8 @@ from papyrine.storage import materialize
 K1, B, RRF_K = 1.5, 0.75, 60
 # The least cosine without shared terms, and the part of the score that the cosine has.
 NEAR, SEMANTIC_SHARE = 0.45, 0.65
+#: Terms of a passage by which chunks that may hold it are found; what they find is then compared with the whole passage.
+RAREST = 4
 
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -38,14 +40,21 @@ def _by_chunk(found: DataFrame) -> DataFrame:
     return found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id")
 
 
-def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def asked_postings(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """postings() of the queries' terms, written once: searches for the same queries can share them."""
+    return materialize(postings(chunks, query_terms(queries)), "asked-postings")
+
+
+def lexical_scores(chunks: DataFrame, queries: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, bm25, overlap of all pairs that share a term. Statistics are of all chunks.
 
+    held: asked_postings() of these chunks and queries, if there are any already.
+
     overlap: shared distinct terms per distinct term of the query. Texts are cut into words once; only terms of queries are
     kept, so frequent terms that nobody asks for cost nothing, and pairs are made and added up where a chunk's postings are.
     """
     asked = query_terms(queries)
-    held = materialize(postings(chunks, asked), "asked-postings")
+    held = asked_postings(chunks, queries) if held is None else held
     totals = held.filter("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum("n_words") / F.sum("tf")).alias("avgdl")).first()
     found = held.filter("term is not null").select("chunk_id", "term", "tf", "dl")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
@@ -57,9 +66,9 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"), F.round(F.count("*") / F.first("n_terms"), 6).alias("overlap"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, bm25 of all pairs that share a term."""
-    return lexical_scores(chunks, queries).select("query_id", "chunk_id", "bm25")
+    return lexical_scores(chunks, queries, held).select("query_id", "chunk_id", "bm25")
 
 
 def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:
@@ -180,18 +189,23 @@ def final_scores(scores: DataFrame, k: int, least: float = 0.1) -> DataFrame:
     return shared.filter(F.col("score") >= least).select("query_id", "chunk_id", "rank", "score")
 
 
-def holders(chunks: DataFrame, passages: DataFrame, blocks: int = 32) -> DataFrame:
+def holders(chunks: DataFrame, passages: DataFrame, blocks: int = 32, held: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id of chunks (chunk_id, text) that contain a passage (query_id, text), at any place of words.
 
-    Terms with both ends inside the passage are terms of every text around it, so only chunks with all of these are
-    looked at. A passage without such a term is looked for in all chunks, in blocks.
+    Terms with both ends inside the passage are terms of every text around it, so only chunks with the RAREST of these are
+    looked at. A passage without such a term is looked for in all chunks, in blocks. held: asked_postings() of the chunks
+    and of queries with these texts, if there are any already.
     """
     inner = F.regexp_replace(F.lower("text"), r"^[a-z0-9_+#.-]+|[a-z0-9_+#.-]+$", "")
-    asked = query_terms(passages.select("query_id", inner.alias("text"))).select("query_id", "term")
+    inside = passages.select("query_id", inner.alias("text"))
+    held = (asked_postings(chunks, inside) if held is None else held).filter("term is not null").select("chunk_id", "term")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term")
+    asked = query_terms(inside).join(df, "term", "left").withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= RAREST).select("query_id", "term")
+    asked = materialize(asked, "rarest-terms")
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     named = passages.select("query_id", F.col("text").alias("passage"))
-    held = postings(chunks, asked).filter("term is not null").select("chunk_id", "term")
-    found = _by_chunk(held).join(F.broadcast(asked), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
+    found = held.join(F.broadcast(asked), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
     likely = found.join(sizes, "query_id").filter("shared = n_terms").join(named, "query_id").join(chunks, "chunk_id")
     bare = named.join(sizes, "query_id", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     every = chunks.withColumn("block", F.pmod(F.hash("chunk_id"), F.lit(blocks))).join(bare, "block")
