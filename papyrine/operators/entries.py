@@ -88,13 +88,14 @@ def segmented(rows: DataFrame) -> DataFrame:
         "_any_bold": F.bool_or("first_bold").over(section), "_max": F.max("size").over(section), "_min": F.min("size").over(section), "_bullets": count(F.col("_bullet")),
     })
     large = F.col("size") >= F.col("_max") - ALIKE
-    marked = marked.withColumn("_large", ~F.col("_any_bold") & (F.col("_max") - F.col("_min") >= LARGER) & (count(large) < F.count("*").over(section)))
+    marked = marked.withColumn("_large", ~F.col("_any_bold") & (F.col("_max") - F.col("_min") >= LARGER) & (F.col("_min") < F.col("_max") - ALIKE))
     marked = marked.withColumn("plain", F.col("kind").isin(ENTRY_KINDS) & ~F.col("_any_bold") & ~F.col("_large") & (F.col("_bullets") >= 2))
 
     # Plain rows: the first candidate after a bullet begins an entry.
     candidate = ~F.col("_bullet") & ((F.col("x0") < F.col("_bullet_x") - OUTDENT) | F.col("_dated"))
     marked = marked.withColumn("_candidate", candidate)
-    last_bullet, last_candidate = (F.max(F.when(F.col(c), F.col("_at"))).over(before) for c in ("_bullet", "_candidate"))
+    seen = {f"_last{c}": F.max(F.when(F.col(c), F.col("_at"))).over(before) for c in ("_bullet", "_candidate")}
+    last_bullet, last_candidate = (F.col(c) for c in seen)
     plain_new = F.col("_candidate") & last_bullet.isNotNull() & (last_candidate.isNull() | (last_candidate < last_bullet))
     plain_title = F.when(F.col("_at") == 1, ~F.col("_bullet") & (F.col("x0") < F.col("_bullet_x") - OUTDENT)).otherwise(plain_new)
 
@@ -104,11 +105,12 @@ def segmented(rows: DataFrame) -> DataFrame:
     far = F.col("x0") > F.col("_title_x") + INDENT
     items, listed = F.col("kind").isin(ITEM_KINDS), F.col("kind").isin(LIST_KINDS) & F.col("_bullet")
     first = F.col("_at") == 1
-    marked = marked.withColumns({"_new1": plain_new, "_title1": plain_title, "_raw": raw, "_soft": F.col("_bulleted") & raw & ~F.col("_bullet") & ~F.col("_range")})
+    marked = marked.withColumns({"_raw": raw, "_soft": F.col("_bulleted") & raw & ~F.col("_bullet") & ~F.col("_range")})
     titled = F.when(F.col("_soft") & first, ~far).otherwise(F.col("_raw"))
     firm = F.when(F.col("_soft") & ~first, F.lit(None)).otherwise(F.when(titled, "T").when((listed | first) & items, "L").otherwise("R"))
-    marked = marked.withColumn("_firm", firm)
-    above = F.lag("_firm").over(order)
+    # What both layouts ask of the rows before is asked at once.
+    marked = marked.withColumn("_firm", firm).withColumns({**seen, "_above": F.lag("_firm").over(order)}).withColumns({"_new1": plain_new, "_title1": plain_title})
+    above = F.col("_above")
     decided = F.when(F.col("_firm").isNotNull(), F.col("_firm")).when(above == "L", F.when(far, "R").otherwise("T")).otherwise(above)
     marked = marked.withColumn("_state", decided)
     marked = marked.withColumn("_state", F.last("_state", ignorenulls=True).over(upto))
@@ -131,9 +133,8 @@ def roles(rows: DataFrame) -> DataFrame:
     text = bare(text_of(F.col("text")))
     rest = F.col("part") == "rest"
     fits = ~F.col("bullet") & (_n_words(text) <= 10) & ~text.endswith(".")
-    marked = rows.withColumn("_fits", fits).withColumn("_place", F.sum(rest.cast("int")).over(order)).withColumn("_titled", F.bool_or(~rest).over(entry))
-    unfit = F.coalesce(F.sum((rest & ~F.col("_fits")).cast("int")).over(order), F.lit(0))
-    marked = marked.withColumn("_meta", rest & F.col("_titled") & (unfit == 0) & (F.col("_place") <= 2))
+    marked = rows.withColumn("_unfit", (rest & ~fits).cast("int")).withColumns({"_place": F.sum(rest.cast("int")).over(order), "_unfit": F.coalesce(F.sum("_unfit").over(order), F.lit(0))})
+    marked = marked.withColumn("_titled", F.bool_or(~rest).over(entry)).withColumn("_meta", rest & F.col("_titled") & (F.col("_unfit") == 0) & (F.col("_place") <= 2))
     told = rest & ~F.col("_meta")
     marked = marked.withColumns({"_told": told, "_signs": F.bool_or(told & F.col("bullet")).over(entry)})
     begins = F.col("_told") & (F.col("bullet") | (F.sum(F.col("_told").cast("int")).over(order) == 1)) & F.col("_signs")
