@@ -182,7 +182,7 @@ def rows(placed: DataFrame) -> DataFrame:
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sort_array(F.collect_list(piece)).alias("p"),
         F.sum(length).alias("n"), F.sum(F.when(F.col("bold"), length).otherwise(0)).alias("b"),
     )
-    joined = F.btrim(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["t"]), "  "), r"\s+", " "))
+    joined = F.btrim(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["t"]), "  "), r"\s{2,}|[^\S ]", " "))
     text = F.regexp_replace(joined, r"\s+([,.;:])", "$1")
     longest = F.array_max(F.transform("p", lambda x, i: F.struct(F.length(x["t"]).alias("n"), (-i).alias("i"), x["size"].alias("size"))))["size"]
     first = F.get(F.filter("p", lambda x: (x["t"] != "") & ~x["t"].rlike("^[•●▪■◦‣⁃►▶➢➤→*·○◆◇❖✓✔➔»▫◾-]+$")), F.lit(0))["bold"]

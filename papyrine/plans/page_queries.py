@@ -36,7 +36,7 @@ def _placed(spark: SparkSession, sf_dir: str, text: Column | None = None) -> Dat
     tasks = _parts(spark, documents)
     documents = documents.repartition(tasks, "doc_id")
     cut = documents.select("doc_id", F.posexplode(F.regexp_extract_all(text_of(F.col("text")), F.lit(five), F.lit(0))).alias("i", "text"))
-    cut = cut.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    cut = cut.withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
     cut = cut.select("doc_id", F.col("i").cast("long").alias("i"), (F.col("text") if text is None else text).alias("text"), (F.col("i") % PIECES).alias("j"), (F.col("doc_id") % 3).alias("style"))
     numbers = {c: F.col(c).cast("double") for c in ("x0", "x1", "y0", "size", "width")}
     pieces = spark.sql(_SET.replace("FROM cut", "FROM {cut}").replace("//", "div"), cut=cut).withColumns(numbers).withColumn("y1", F.col("y0") + 10.0)
