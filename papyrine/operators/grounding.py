@@ -63,14 +63,15 @@ def key_terms(rows: DataFrame, key: str, text: str, names: DataFrame, ambiguous:
     return single.unionByName(whole.select(key, F.col("canonical").alias("term"), normal(F.col("canonical")).alias("phrase"))).distinct()
 
 
-def validated(rows: DataFrame, key: str, names: DataFrame, generals: DataFrame, ambiguous: list[str]) -> DataFrame:
+def validated(rows: DataFrame, key: str, names: DataFrame, generals: DataFrame, ambiguous: list[str], partners: int | None = None) -> DataFrame:
     """key, n_terms, n_literal, n_alias, n_general, bad_terms, n_bad_numbers, n_derived, valid of rows (key, rewrite, ground).
 
     A term is supported if the ground has it word for word, has another name of the same thing, or has a thing it is a
     general name of (generals: canonical, general). A term with digits is also fine if its numbers are grounded and what
-    is left of it is supported. Every number must be grounded; those derived from grounded ones are counted.
+    is left of it is supported. Every number must be grounded; those derived from grounded ones, of which partners are
+    looked at if given, are counted.
     """
-    numbers = facts.check_numbers(rows, "rewrite", "ground").select(key, F.col("n_unsupported").alias("n_bad_numbers"), "n_derived")
+    numbers = facts.check_numbers(rows, "rewrite", "ground", partners).select(key, F.col("n_unsupported").alias("n_bad_numbers"), "n_derived")
     ground = rows.select(key, normal(F.col("ground")).alias("g"), facts.numbers(F.col("ground")).alias("v"))
     grounded = materialize(mentions(ground, key, "g", names), "grounded")
     general = grounded.join(generals, "canonical").select(key, normal(F.col("general")).alias("phrase"), F.lit(True).alias("general")).distinct()

@@ -31,9 +31,9 @@ def perturbed(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(kinds).alias("p")).select(*rows.columns, "p.kind", "p.rewrite", "p.faithful").filter(F.col("rewrite").isNotNull() & (F.col("rewrite") != F.col("text")))
 
 
-def number_gate(rows: DataFrame) -> DataFrame:
-    """rows with accepted: no number of rewrite is unsupported by text."""
-    return facts.check_numbers(rows, "rewrite", "text").withColumn("accepted", F.col("n_unsupported") == 0)
+def number_gate(rows: DataFrame, partners: int | None = None) -> DataFrame:
+    """rows with accepted: no number of rewrite is unsupported by text; partners as for the check of numbers."""
+    return facts.check_numbers(rows, "rewrite", "text", partners).withColumn("accepted", F.col("n_unsupported") == 0)
 
 
 def gate_matrix(rows: DataFrame) -> DataFrame:

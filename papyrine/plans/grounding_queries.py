@@ -46,7 +46,7 @@ def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = materialize(_names(spark, sf_dir), "grounding-names")
-    return grounding.validated(materialize(_said(spark, sf_dir), "grounding-said"), "conv_id", names, _generals(spark, sf_dir), _EVERYDAY)
+    return grounding.validated(materialize(_said(spark, sf_dir), "grounding-said"), "conv_id", names, _generals(spark, sf_dir), _EVERYDAY, partners=24)
 
 
 def number_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

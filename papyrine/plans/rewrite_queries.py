@@ -48,7 +48,7 @@ gated AS (
     OR abs((a - b) / a * 100 - n) <= 0.5 OR abs(a / b - n) <= 0.15::DOUBLE OR abs(round(a / b) - n) < 1e-9::DOUBLE))) > 0)) = 0)) = 0 AS accepted FROM fresh)
 """
 SQL = {
-    "gate_matrix": _STATEMENTS.rstrip() + ", s AS (SELECT text FROM statements)," + _PERTURBED + "SELECT kind, count(*) AS n, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (accepted = faithful) AS n_right FROM gated GROUP BY kind",
+    "gate_matrix": _STATEMENTS.rstrip() + ", s AS (SELECT text FROM statements)," + _PERTURBED.replace("[1:24] AS top", " AS top") + "SELECT kind, count(*) AS n, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (accepted = faithful) AS n_right FROM gated GROUP BY kind",
     "turn_anchors": """
 WITH t AS (SELECT conv_id AS owner, turn, role, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9+#.%-]*')) AS w FROM conversations),
 s AS (SELECT a.owner, a.turn AS id, b.turn AS st, len(list_intersect(a.w, b.w)) / len(a.w) AS score FROM t a JOIN t b ON a.owner = b.owner WHERE a.role = 'user' AND b.role = 'assistant' AND len(a.w) > 0)

@@ -83,7 +83,7 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def faithful_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perturbed statements that the number gate accepts, of 8 to 40 words and graded no worse than what they came from."""
-    rows = rewrites.number_gate(rewrites.perturbed(_bullets(spark, sf_dir))).filter("accepted").filter(F.size(words(F.col("rewrite"))).between(8, 40))
+    rows = rewrites.number_gate(rewrites.perturbed(_bullets(spark, sf_dir)), partners=24).filter("accepted").filter(F.size(words(F.col("rewrite"))).between(8, 40))
     before = _graded(spark, sf_dir).select("st", F.col("grade").alias("before"))
     after = statements.graded(rows.select("st", "kind", F.col("rewrite").alias("text"))).select("st", "kind", "grade")
     return after.join(before, "st").filter("grade <= before").groupBy("kind").agg(F.count("*").alias("n"), F.sum((F.col("grade") < F.col("before")).cast("long")).alias("n_better"))
