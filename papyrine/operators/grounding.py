@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +92,10 @@ def validated(rows: DataFrame, key: str, names: DataFrame, generals: DataFrame,
     return out.withColumn("valid", (F.col("n_bad_numbers") == 0) & (F.col("bad_terms") == ""))
 
 
+def _printed(values: pa.Array) -> pa.Array:
+    return pa.array([v and [f"{x:.6f}".rstrip("0").rstrip(".") for x in v] for v in values.to_pylist()], pa.list_(pa.string()))
+
+
 def number_strings(column: Column) -> Column:
-    """Numbers of a text as strings without trailing zeros."""
-    return F.transform(facts.numbers(column), lambda x: F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", ""))
+    """Numbers of a text as strings, to six places without trailing zeros. Printed in Python, which gives all digits of a double; Java gives some 17 and then zeros."""
+    return F.arrow_udf(_printed, "array<string>")(facts.numbers(column))
